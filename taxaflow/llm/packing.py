@@ -30,7 +30,7 @@ KEPT_WORDS = 300_000
 #: Latin-1 letters, then marks: the pre-splitting pattern always cuts between them, and lower case is letter by letter.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space as the normaliser sees it; str.split would also cut at U+001C to U+001F.
-BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordIds(dict):
