@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, html_extract, langid, near_dedup, packing, quality_rules, token_counts, toxicity
+from . import ann, byte_bpe, html_extract, langid, license_scan, near_dedup, packing, quality_rules, token_counts, toxicity
 from .common import crc_fold
 
 
@@ -28,6 +28,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 4) != 2)
