@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graphs
-
 
 def implied_subjects(found: DataFrame, accepted: DataFrame) -> DataFrame:
     """peptide, subject_id over the proteins that hold the peptide."""
@@ -22,14 +20,9 @@ def peptide_taxa(implied: DataFrame, subject_tax: DataFrame) -> DataFrame:
     return implied.join(subject_tax.where("tax_id is not null"), "subject_id").select("peptide", "tax_id").distinct()
 
 
-def peptide_lca(taxa_of: DataFrame, lines: DataFrame) -> DataFrame:
-    return graphs.lca(taxa_of, lines)
-
-
-def taxonomy_nodes_of(lcas: DataFrame, lines: DataFrame) -> DataFrame:
-    """peptide, tax_id: the lineage of each peptide's lowest common ancestor. lines must cover those ancestors."""
-    up = lines.select(F.col("tax_id").alias("lca_tax_id"), F.col("ancestor_id").alias("tax_id"))
-    return lcas.join(up, "lca_tax_id").select("peptide", "tax_id").distinct()
+def taxonomy_nodes_of(common: DataFrame) -> DataFrame:
+    """peptide, tax_id: the lineage of each peptide's lowest common ancestor."""
+    return common.select("peptide", F.col("ancestor_id").alias("tax_id"))
 
 
 def peptide_terms(implied: DataFrame, subject_go: DataFrame, closed: DataFrame) -> DataFrame:

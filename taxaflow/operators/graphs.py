@@ -31,15 +31,20 @@ def lineage(taxa: DataFrame, ids: DataFrame, most_doublings: int = 8) -> DataFra
     return paths
 
 
-def lca(sets: DataFrame, lines: DataFrame, key: str = "peptide") -> DataFrame:
-    """key, lca_tax_id: the deepest ancestor that all tax_ids of a key share; keys that share none are absent.
+def common_ancestors(sets: DataFrame, lines: DataFrame, key: str = "peptide") -> DataFrame:
+    """key, ancestor_id, dist: the ancestors that all tax_ids of a key share, with the least distance from one of them.
 
-    One distinct id is its own answer, in the tree or not. lines: the lineage of at least these ids.
+    One distinct id shares its lineage with itself, in the tree or not. lines: the lineage of at least these ids.
+    In a tree they are the lineage of the lowest common ancestor.
     """
     sets = sets.select(key, "tax_id").where("tax_id is not null").distinct()
     wanted = sets.groupBy(key).agg(F.count("*").alias("n"))
     shared = sets.join(lines, "tax_id").groupBy(key, "ancestor_id").agg(F.count("*").alias("c"), F.min("dist").alias("dist"))
-    common = shared.join(wanted, key).where("c = n")
+    return shared.join(wanted, key).where("c = n").select(key, "ancestor_id", "dist")
+
+
+def lca(common: DataFrame, key: str = "peptide") -> DataFrame:
+    """key, lca_tax_id: the deepest of the common ancestors; keys that share none are absent."""
     return common.groupBy(key).agg(F.min_by("ancestor_id", F.struct("dist", "ancestor_id")).alias("lca_tax_id"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,63 @@ from ..params import FilterPolicy, GoOptions
 
 @dataclass
 class Annotated:
-    """Everything a report needs, as long tables."""
+    """What reports need, as long tables; each is planned when it is first asked for.
 
-    flags: DataFrame  # peptide, quantity, is_annotated
-    matches: DataFrame
-    accepted: DataFrame
-    values: DataFrame | None
-    lcas: DataFrame
-    nodes_of: DataFrame
-    terms_of: DataFrame
+    peptides: peptide, quantity. Either hits with a policy, or accepted pairs (query_id, subject_id).
+    """
+
+    peptides: DataFrame
+    all_matches: DataFrame
+    subject_tax: DataFrame
+    subject_go: DataFrame
+    taxa: DataFrame
+    edges: DataFrame
+    hits: DataFrame | None = None
+    policy: FilterPolicy = field(default_factory=FilterPolicy)
+    line: Column | None = None
+    given: DataFrame | None = None
+    go: GoOptions = field(default_factory=GoOptions)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return self.all_matches.join(self.peptides.select("peptide"), "peptide", "left_semi")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return self.given if self.hits is None else hit_ops.accepted(self.hits, self.policy)
+
+    @cached_property
+    def values(self) -> DataFrame | None:
+        if self.hits is None:
+            return None
+        return hit_ops.accepted_with_values(self.hits, self.policy, F.col("line") if self.line is None else self.line)
+
+    @cached_property
+    def implied(self) -> DataFrame:
+        return annotate.implied_subjects(self.matches, self.accepted)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        """peptide, quantity, is_annotated"""
+        return annotate.flagged(self.peptides, self.implied)
+
+    @cached_property
+    def common(self) -> DataFrame:
+        taxa_of = annotate.peptide_taxa(self.implied, self.subject_tax)
+        return graphs.common_ancestors(taxa_of, graphs.lineage(self.taxa, self.subject_tax.select("tax_id")))
+
+    @cached_property
+    def lcas(self) -> DataFrame:
+        return graphs.lca(self.common)
+
+    @cached_property
+    def nodes_of(self) -> DataFrame:
+        return annotate.taxonomy_nodes_of(self.common)
+
+    @cached_property
+    def terms_of(self) -> DataFrame:
+        closed = graphs.closure(self.edges, self.subject_go.select("go_id"), self.go.edge_types, self.go.include_self)
+        return annotate.peptide_terms(self.implied, self.subject_go, closed)
 
     def coverage(self) -> DataFrame:
         return aggregate.coverage(self.flags)
@@ -37,23 +86,3 @@ class Annotated:
 
     def mapping(self) -> DataFrame:
         return annotate.mapping(self.flags, self.nodes_of, self.terms_of, self.matches, self.accepted, self.values)
-
-
-def annotate_peptides(
-    peptides: DataFrame, matches: DataFrame, subject_tax: DataFrame, subject_go: DataFrame, taxa: DataFrame, edges: DataFrame,
-    hits: DataFrame | None = None, policy: FilterPolicy | None = None, line: Column | None = None, accepted: DataFrame | None = None, go: GoOptions | None = None,
-) -> Annotated:
-    """peptides: peptide, quantity. Either hits with a policy, or accepted pairs (query_id, subject_id)."""
-    policy, go = policy or FilterPolicy(), go or GoOptions()
-    values = None
-    if accepted is None:
-        accepted = hit_ops.accepted(hits, policy)
-        values = hit_ops.accepted_with_values(hits, policy, line if line is not None else F.col("line"))
-    found = matches.join(peptides.select("peptide"), "peptide", "left_semi")
-    implied = annotate.implied_subjects(found, accepted)
-    lines = graphs.lineage(taxa, subject_tax.select("tax_id"))
-    taxa_of = annotate.peptide_taxa(implied, subject_tax)
-    lcas = annotate.peptide_lca(taxa_of, lines)
-    up = lines.unionByName(graphs.lineage(taxa, taxa.select("tax_id"))).distinct()
-    closed = graphs.closure(edges, subject_go.select("go_id"), go.edge_types, go.include_self)
-    return Annotated(annotate.flagged(peptides, implied), found, accepted, values, lcas, annotate.taxonomy_nodes_of(lcas, up), annotate.peptide_terms(implied, subject_go, closed))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import FilterPolicy, GoOptions
-from .pipeline import Annotated, annotate_peptides
+from .pipeline import Annotated
 
 POLICY = FilterPolicy(max_evalue=0.08, top_k=1)
 N_TERMS = 127
@@ -81,7 +81,7 @@ class Views:
 
     @cached_property
     def annotated(self) -> Annotated:
-        return annotate_peptides(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, POLICY, go=GoOptions())
+        return Annotated(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, POLICY, go=GoOptions())
 
 
 #: The same views for the oracle, each with the views it needs.
