@@ -103,8 +103,9 @@ def normalized(nodes: DataFrame, metric: str, log: bool) -> DataFrame:
 
 
 def search_labels(options: DataFrame, text: str, most: int = 50) -> DataFrame:
-    """The first options, in order of their label, that contain the text in any case."""
-    return options.where(F.contains(F.lower("label"), F.lit(text.lower()))).orderBy("label").limit(most)
+    """The first options, in order of their label and then other columns, that contain the text in any case."""
+    others = [c for c in options.columns if c != "label"]
+    return options.where(F.contains(F.lower("label"), F.lit(text.lower()))).orderBy("label", *others).limit(most)
 
 
 def combo_slice(combos: DataFrame, tax_id: int | None = None, go_id=None) -> DataFrame:

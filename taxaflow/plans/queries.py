@@ -298,10 +298,10 @@ def namespace_counts(v):
     return v.annotated.go_terms().join(v.terms, "go_id").groupBy("namespace").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, p_name as label from part where contains(lower(p_name), '1') order by p_name, p_partkey limit 50")
+@query("select p_partkey, p_name as label from part where contains(lower(p_name), 'an') order by p_name, p_partkey limit 50")
 def label_search(v):
     options = v.table("part").select("p_partkey", F.col("p_name").alias("label"))
-    return options.where(F.contains(F.lower("label"), F.lit("1"))).orderBy("label", "p_partkey").limit(50)
+    return hierarchy.search_labels(options, "AN")
 
 
 _GAF = "select l_orderkey as accession, l_partkey as go_id from lineitem where l_returnflag <> 'N' and l_linestatus <> 'O'"

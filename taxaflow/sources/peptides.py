@@ -13,7 +13,7 @@ def read_peptides(spark: SparkSession, path: str, list_id: str = "list_000", alp
 
     A list is an uploaded file of bounded size, so it is read as one text to number its lines.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
     lines = lines.withColumn("n", F.col("n") + 1)
     first = lines.where("n = 1").first()
     if first is None or not first.value.strip():

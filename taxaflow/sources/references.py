@@ -55,7 +55,7 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_go_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same tables from {terms, edges, obsolete_terms}. Edges of unknown children are dropped, unknown parents stay."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     term = "map<string,struct<name:string,namespace:string>>"
     doc = text.select(F.from_json("value", f"struct<terms:{term},edges:map<string,array<array<string>>>,obsolete_terms:{term}>").alias("d"))
     terms = doc.select(F.explode("d.terms").alias("go_id", "t")).select("go_id", "t.name", "t.namespace", F.lit(False).alias("is_obsolete"))
@@ -88,7 +88,7 @@ def read_ncbi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", "struct<nodes:map<string,struct<name:string,rank:string,parent_tax_id:bigint>>>").alias("d"))
     return doc.select(F.explode("d.nodes").alias("tax_id", "t")).select(F.col("tax_id").cast("bigint"), "t.name", "t.rank", "t.parent_tax_id")
 
@@ -99,14 +99,14 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mock_hits(spark: SparkSession, path: str) -> DataFrame:
     """query_id, subject_id of {background_to_subjects}."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", "struct<background_to_subjects:map<string,array<string>>>").alias("d"))
     return doc.select(F.explode("d.background_to_subjects").alias("query_id", "s")).select("query_id", F.explode("s").alias("subject_id")).distinct()
 
 
 def read_mock_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(subject_id, tax_id), (subject_id, go_id) of {subjects}."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", "struct<subjects:map<string,struct<tax_id:bigint,go_terms:array<string>>>>").alias("d"))
     rows = doc.select(F.explode("d.subjects").alias("subject_id", "t"))
     return rows.select("subject_id", "t.tax_id"), rows.select("subject_id", F.explode("t.go_terms").alias("go_id"))
