@@ -15,16 +15,21 @@ LEAST_LANGUAGE = 0.3
 LEAST_WORDS = 5
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside its text, so that no column of the table can clash with an operator's."""
+    return docs.select(F.struct("*").alias("row"), F.col("text").alias("body"))
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language."""
     field = langid.fit_on(docs, F.lit(True))
-    labelled = langid.predict(docs, field, docs.columns)
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    labelled = langid.predict(whole(docs), field, ["row"], "body")
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judge(docs, docs.columns, min_words=LEAST_WORDS).where("kept").select(*docs.columns)
+    return quality_rules.judge(whole(docs), ["row"], "body", min_words=LEAST_WORDS, keep_table=False).where("kept").select("row.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,11 +32,15 @@ from .common import Workspace, map_texts
 M, BASE, RATE, Q, ROWS = 128, 1.05, 20.0, 1022, 4
 #: A pair is dropped without a look at its sets only if similarity 0.8 is exp(SLACK) times less likely than the best.
 SLACK = 12.0
+#: Registers of documents whose bucket still holds several components, and the slack there: three standard errors.
+FINE, FINE_SLACK = 640, 4.5
 #: Ids that may be broadcast to thin out the texts before a join (8 bytes each); beyond it a plain join does.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket in one block, about.
+BLOCK = 4096
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, M, dtype=np.uint64)
+_A = _RNG.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, FINE, dtype=np.uint64)
 _BAND = _RNG.integers(1, 2**63, M // ROWS, dtype=np.uint64) | np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,11 +82,12 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    best = np.full(M, 2**64 - 1, np.uint64)
+def registers(hashes: np.ndarray, m: int = M) -> np.ndarray:
+    """The first m registers of a set of hashes."""
+    best = np.full(m, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 256):
-        x = hashes[at : at + 256, None] * _A
-        x += _B
+        x = hashes[at : at + 256, None] * _A[:m]
+        x += _B[:m]
         np.minimum(best, x.min(0), out=best)
     x = -np.log1p(-(unit(best))) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, Q + 1).astype(np.uint16)
@@ -94,14 +99,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    return mixed(regs.view(np.uint64) * _BAND + _BAND).view(np.int64)
+    return mixed(regs[:M].view(np.uint64) * _BAND + _BAND).view(np.int64)
 
 
-def likely(d_more: np.ndarray, d_less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def likely(d_more: np.ndarray, d_less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, least: float, m: int = M, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """The joint maximum-likelihood similarity from register comparisons and set sizes, and whether `least` is plausible."""
     u = n_u / (n_u + n_v)
     v = 1 - u
-    d_same = M - d_more - d_less
+    d_same = m - d_more - d_less
 
     def p(x):
         return -np.log1p(-np.maximum(x, 1e-12) * (BASE - 1) / BASE) / np.log(BASE)
@@ -118,7 +123,7 @@ def likely(d_more: np.ndarray, d_less: np.ndarray, n_u: np.ndarray, n_v: np.ndar
         low, high = np.where(up, a, low), np.where(up, high, b)
     best = (low + high) / 2
     at = np.minimum(least, most)
-    return best, (most >= least - 1e-9) & ((best >= least) | (log_likelihood(best) - log_likelihood(at) <= SLACK))
+    return best, (most >= least - 1e-9) & ((best >= least) | (log_likelihood(best) - log_likelihood(at) <= slack))
 
 
 def sketches(df: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
@@ -153,6 +158,11 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, est double")
 
 
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with these ids."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -171,8 +181,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     ids = pairs.select(F.col("b").alias("id")).union(pairs.select(F.col("a").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    texts = only(texts, ids)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -213,15 +222,73 @@ def labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def across_pairs(nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: the pairs of a bucket that lie in different components."""
+def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b, est), a < b: the pairs of a bucket that lie in different components and may reach `least`.
+
+    The documents of such buckets get FINE registers. In a bucket the members outside its largest component meet all its members. Both sides come in blocks, so a large
+    bucket is dealt to many tasks, and registers are compared inside a block: only plausible pairs become rows, each
+    in the first bucket that the two share.
+    """
     rows = labelled(nodes.select("node", "n", "keys"), comps).select("node", "n", "comp", F.explode("keys").alias("key"))
-    mixed_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(mixed_keys, "key", "left_semi")
-    x, y = rows.alias("x"), rows.alias("y")
-    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"))
+    tally = tally.where("k > most").select("key", "main", F.ceil(F.col("k") / BLOCK).alias("n_big"), F.ceil((F.col("k") - F.col("most")) / BLOCK).alias("n_small"))
+    rows = ws.write(rows.join(tally, "key").withColumn("out", F.col("comp") != F.col("main")))
+    fine = map_texts(only(texts, rows.select(F.col("node").alias("id")).distinct()), ["id"], "text", "regs binary", lambda ts: ((registers(shingle_hashes(t, size), FINE).tobytes(),) for t in ts))
+    fine = fine.groupBy(F.col("id").alias("node")).agg(F.first("regs").alias("regs"))
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    columns = ["key", "node", "n", "comp", "out"]
+    big = rows.select(*columns, spread("n_big").alias("i"), upto("n_small").alias("j"), F.lit(False).alias("asks"))
+    small = rows.where("out").select(*columns, upto("n_big").alias("i"), spread("n_small").alias("j"), F.lit(True).alias("asks"))
+    dealt = big.union(small).join(fine, "node")
+    parts = F.col("key"), F.col("i"), F.col("j")
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        """group: (key, node, n, comp, out, asks, regs) of one block."""
+        asking, all_ = [r for r in group if r[5]], [r for r in group if not r[5]]
+        if not asking or not all_:
+            return
+        key = group[0][0]
+        regs = np.frombuffer(b"".join(r[6] for r in all_), np.uint16).reshape(-1, FINE)
+        node, n, comp = (np.array([r[c] for r in all_], np.int64) for c in (1, 2, 3))
+        out = np.array([r[4] for r in all_], bool)
+        keys = np.stack([band_keys(r) for r in regs])
+        # Two sets of that similarity agree in so many registers at least, by far.
+        agree = least - 5 * (least * (1 - least) / FINE) ** 0.5
+        for _, own, own_n, own_comp, _, _, own_regs in asking:
+            mine = np.frombuffer(own_regs, np.uint16)
+            fits = least * np.maximum(n, own_n) <= np.minimum(n, own_n) + 1e-9
+            at = np.flatnonzero((comp != own_comp) & fits & (~out | (node > own)))
+            at = at[(mine == regs[at]).sum(1) >= agree * FINE]
+            if not len(at):
+                continue
+            shared = keys[at] == band_keys(mine)
+            at = at[keys[at, shared.argmax(1)] == key]
+            more, less = (mine > regs[at]).sum(1).astype(float), (mine < regs[at]).sum(1).astype(float)
+            best, keep = likely(more, less, np.full(len(at), float(own_n)), n[at].astype(float), least, FINE, FINE_SLACK)
+            for k in np.flatnonzero(keep):
+                yield min(own, int(node[at[k]])), max(own, int(node[at[k]])), float(best[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks follow each other in a sorted partition."""
+        last, group, made = None, [], []
+        for batch in batches:
+            for *row, i, j in zip(*(c.to_pylist() for c in batch.columns)):
+                if (row[0], i, j) != last:
+                    made += compare(group)
+                    last, group = (row[0], i, j), []
+                group.append(row)
+            yield from found(made)
+            made = []
+        yield from found(list(compare(group)))
+
+    def found(made: list) -> Iterator[pa.RecordBatch]:
+        if made:
+            a, b, est = zip(*made)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.float64())], names=["a", "b", "est"])
+
+    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "regs", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint, est double")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -252,8 +319,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     links2 = ws.write(confirmed(more, docs, size, percent))
     comps = components(ws, links2.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
-    tried = candidates.select("a", "b")
-    across = ws.write(estimated(across_pairs(nodes, comps, percent).join(tried, ["a", "b"], "left_anti"), nodes, least))
+    across = ws.write(across_pairs(ws, nodes, comps, docs, size, least).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
     best = across.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
     links3 = ws.write(confirmed(best, docs, size, percent))
     comps = components(ws, links3.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))

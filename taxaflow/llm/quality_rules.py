@@ -123,15 +123,16 @@ def posterior(votes: Sequence[int], share: float, false: Sequence[float], hit: S
     return 1 / (1 + math.exp(-z))
 
 
-def judge(df: DataFrame, columns: list[str], text_column: str = "text", least: float = 0.5, min_words: int = 50, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(df: DataFrame, columns: list[str], text_column: str = "text", least: float = 0.5, min_words: int = 50, keep_table: bool = True, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """columns, the base counts, base_failed, quality (posterior) and kept (not base_failed and quality >= least).
 
+    keep_table: write the counts with the columns to a table; without it texts are counted twice, which suits wide columns.
     base_failed: fewer than min_words words, or more than half of them in repeated 3-word windows.
     """
     votes = [vote(r).alias(f"__v{j}") for j, r in enumerate(rules)]
     names = [f"__v{j}" for j in range(len(rules))]
     counted = counts(df, columns, text_column)
-    if text_column not in columns:  # a small table: count once
+    if keep_table:  # count once, and read the counts back
         counted = Workspace(df.sparkSession, "quality").write(counted)
     pattern_rows = counted.select(*votes).groupBy(*names).count().collect()  # at most 3^rules rows
     share, false, hit = fit({tuple(r[:-1]): r[-1] for r in pattern_rows}, len(rules))
