@@ -208,15 +208,15 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def leader_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with three of its members, chosen by id and by hash.
+    """(a, b), a < b: each member of a bucket with two of its members, chosen by id and by hash.
 
     The choice is the same in each bucket, so the many buckets of one group of copies yield the same pairs.
     """
     rows = bucket_rows(nodes)
     me = F.struct("node", "n")
     spread = F.xxhash64("node")
-    leads = rows.groupBy("key").agg(F.min(me).alias("first"), F.min_by(me, spread).alias("low"), F.max_by(me, spread).alias("high"), F.count("*").alias("k")).where("k > 1")
-    met = rows.join(leads.select("key", F.array("first", "low", "high").alias("leads")), "key").select("node", "n", F.explode("leads").alias("lead"))
+    leads = rows.groupBy("key").agg(F.min(me).alias("first"), F.min_by(me, spread).alias("low"), F.count("*").alias("k")).where("k > 1")
+    met = rows.join(leads.select("key", F.array("first", "low").alias("leads")), "key").select("node", "n", F.explode("leads").alias("lead"))
     fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     return met.where((F.col("node") != F.col("lead.node")) & fits).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
