@@ -56,7 +56,7 @@ class WordHashes(dict):
     """Hashes of words, kept for the next texts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -26,7 +26,7 @@ from .common import Workspace, map_texts
 from .token_counts import balanced, tokenizer
 
 #: Words whose ids a worker keeps (some 250 bytes each); then it starts afresh.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 #: Latin-1 letters, then marks: the pre-splitting pattern always cuts between them, and lower case is letter by letter.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space as the normaliser sees it; str.split would also cut at U+001C to U+001F.
