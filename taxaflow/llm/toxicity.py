@@ -171,12 +171,14 @@ class Model:
 
 
 def learn_lexicon(sample: Sequence[tuple[int, str]]) -> Lexicon:
-    """Terms of labelled texts. Near-copies count once: a term's texts are told apart by the least hash of their words."""
+    """Terms of labelled texts. Near-copies count once: a term's texts are told apart by the least hash of their shingles of three words."""
     by_class: tuple[list, list] = ([], [])
     for toxic, text in sample:
-        words = {w.strip("@$_") for w in WORD.findall(text.lower())}
+        found = WORD.findall(text.lower())
+        words = {w.strip("@$_") for w in found}
         if words := {w for w in words if len(w) > 2 and w.isalpha()}:
-            by_class[toxic].append((min(zlib.crc32(w.encode()) for w in words), words))
+            group = min(zlib.crc32(" ".join(found[k : k + 3]).encode()) for k in range(max(1, len(found) - 2)))
+            by_class[toxic].append((group, words))
 
     def terms(words: set[str]) -> set[str]:
         return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
