@@ -1,14 +1,15 @@
 """Main text of web pages by site template removal.
 
-Pass one parses each page into elements and hashes the subtrees that may belong to a template; Spark counts on how many
+Pass one parses each page into elements and hashes its subtrees, inside its articles too; Spark counts on how many
 pages of a host each hash occurs. Pass two deletes the subtrees that recur on many pages of their host, and those
-whose tag, role or class says what they are, and joins the blocks of text that are left.
+whose tag, role or class says what they are, then chooses the articles from what is left and joins their blocks.
 
-A subtree counts as part of a template only outside the page's article, or inside it if most of its text is links: the
-same paragraph may stand in many articles of one host and is still their text.
+A paragraph of prose inside an article is text although it recurs if articles of another host have it too, or if most
+of the prose of its page recurs: the page is then a copy of others. A notice that stands as a single paragraph in
+articles of several hosts therefore stays; in an element of its own (div, section, list) it goes.
 
 Null html counts as empty: empty text. A null or odd url: the page has host '' and shares templates with other such
-pages. Rows that repeat a page count as pages of their own; unclosed and stray tags are closed as browsers do, roughly.
+pages. Pages whose articles are the same count as one; unclosed and stray tags are closed as browsers do, roughly.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from .common import BATCH_ROWS, Workspace
 
 #: A subtree is part of a host's template if it occurs on this many of its pages and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
-#: Rows of the table of template hashes (one for each host) up to which it may be broadcast.
-BROADCAST_HOSTS, BROADCAST_HASHES = 50_000, 500_000
+#: Rows of the table of template hashes (one for each host) up to which it may be broadcast, and hashes of one host up
+#: to which each of its pages gets them all; beyond it each page gets those that it has.
+BROADCAST_HOSTS, BROADCAST_HASHES, HOST_HASHES = 50_000, 500_000, 1000
 # Fixed values of HTML: elements without content, elements whose content is no markup, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements that hold prose, and what turns their hash inside an article into another one: they are counted apart.
+PROSE = frozenset("blockquote dd dl dt figcaption h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
+IN_ARTICLE = 0x5DEECE66D1CE4E5B
 #: Elements that are never main text.
 NEVER = frozenset("script style head title noscript template iframe nav footer aside form button select textarea input option svg canvas object menu dialog".split())
 #: Roles and words of classes and ids that mark what is no main text.
@@ -140,44 +145,89 @@ def is_marked(e: Element, in_article: bool) -> bool:
     return bool(a) and (bool(MARKED.search(a.get("class", "") + " " + a.get("id", ""))) or "display:none" in a.get("style", "").replace(" ", ""))
 
 
-def main_element(root: Element) -> Element:
-    """The article: the largest unmarked `article`, else `main` (or its role), else the whole page."""
-    best: dict[str, Element] = {}
-    stack = [(root, False)]
+def key_of(e: Element, inside: bool) -> int | None:
+    """What a block with text is counted under; None for other elements and for those that hold the page's text."""
+    if e.tag not in BLOCK or e.tag in ("html", "body", "br", "hr", "article", "main") or not e.text_size:
+        return None
+    return e.hash ^ IN_ARTICLE if inside and e.tag in PROSE and 2 * e.link_size <= e.text_size else e.hash
+
+
+def holds_text(e: Element) -> str | None:
+    return "article" if e.tag == "article" else "main" if e.tag == "main" or e.attributes.get("role") == "main" else None
+
+
+def main_elements(root: Element, template: set[int]) -> list[Element]:
+    """The elements with text outside the template, in page order and none inside another: `article`s without a marking class, else any `article`s, else `main`s; else the page."""
+    found: dict[str, list[Element]] = {"article": [], "marked": [], "main": []}
+    stack = [(root, None, False)]
     while stack:
-        e, inside = stack.pop()
-        if is_marked(e, inside):
+        e, within, inside = stack.pop()
+        if is_marked(e, inside) or key_of(e, inside) in template:
             continue
-        kind = "article" if e.tag == "article" else "main" if e.tag == "main" or e.attributes.get("role") == "main" else None
-        if kind and e.text_size > getattr(best.get(kind), "text_size", -1):
-            best[kind] = e
-        inside = inside or bool(kind)
-        stack += [(c, inside) for c in reversed(e.children) if not isinstance(c, str)]
-    return best.get("article") or best.get("main") or root
+        kind = holds_text(e)
+        if kind and within not in (kind, "article") and text_left(e, template):
+            found["marked" if kind == "article" and is_marked(e, True) else kind].append(e)
+            within = kind
+        stack += [(c, within, inside or bool(kind)) for c in reversed(e.children) if not isinstance(c, str)]
+    return found["article"] or found["marked"] or found["main"] or [root]
+
 
+def text_left(top: Element, template: set[int]) -> bool:
+    stack: list = [top]
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str):
+            if e.strip():
+                return True
+        elif e is top or not (is_marked(e, True) or key_of(e, True) in template):
+            stack += e.children
+    return False
 
-def template_hashes(page: str) -> list[int]:
-    """Hashes of the page's subtrees that could be part of a template."""
+
+def template_hashes(page: str) -> tuple[int, list[int], list[int]]:
+    """What the page's articles are, and the hashes of the subtrees that could be part of a template: prose of articles, and all others."""
     root = parse(page)
     measure(root)
-    article = main_element(root)
-    found, stack = set(), [(root, False)]
+    prose, other, stack = set(), set(), [(root, False)]
     while stack:
         e, inside = stack.pop()
         if is_marked(e, inside):
             continue  # goes anyway
-        inside = inside or e is article and article is not root
-        if e.tag in BLOCK and e.tag not in ("html", "body", "br", "hr") and e.text_size and (not inside or 2 * e.link_size > e.text_size):
-            found.add(e.hash)
+        if (key := key_of(e, inside)) is not None:
+            (other if key == e.hash else prose).add(key)
+        inside = inside or bool(holds_text(e))
         stack += [(c, inside) for c in e.children if not isinstance(c, str)]
-    return sorted(found)
+    articles = "\x00".join(str(e.hash) for e in main_elements(root, set()))
+    return xxhash.xxh3_64_intdigest(articles) - (1 << 63), sorted(prose), sorted(other)
+
+
+def without_copied(root: Element, template: set[int]) -> set[int]:
+    """The template without the prose of articles, if that is most of the prose that this page's articles have."""
+    recurring, size, all_, stack = set(), 0, 0, [(root, False, False, False)]
+    while stack:
+        e, inside, counted, recurs = stack.pop()
+        key = key_of(e, inside)
+        if is_marked(e, inside) or key == e.hash and key in template:
+            continue
+        if key is not None and key != e.hash:
+            all_ += 0 if counted else e.text_size
+            counted = True
+            if key in template:
+                recurring.add(key)
+                size += 0 if recurs else e.text_size
+                recurs = True
+        inside = inside or bool(holds_text(e))
+        stack += [(c, inside, counted, recurs) for c in e.children if not isinstance(c, str)]
+    return template - recurring if 2 * size > all_ else template
 
 
 def main_text(page: str, template: set[int]) -> str:
-    """Blocks of the article in page order, joined by one newline."""
+    """Blocks of the articles in page order, joined by one newline."""
     root = parse(page)
     measure(root)
-    article = main_element(root)
+    if template:
+        template = without_copied(root, template)
+    tops = main_elements(root, template)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -187,23 +237,24 @@ def main_text(page: str, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    stack: list = [article]
-    whole = article is root
-    while stack:
-        e = stack.pop()
-        if e is None:
-            flush()
-        elif isinstance(e, str):
-            run.append(e)
-        elif e is not article and (is_marked(e, not whole) or e.hash in template and (whole or 2 * e.link_size > e.text_size)):
-            if e.tag in BLOCK:
+    for top in tops:
+        stack: list = [(top, top is not root)]
+        while stack:
+            e, inside = stack.pop()
+            if e is None:
                 flush()
-        elif e.tag in BLOCK:
-            flush()
-            stack += [None, *reversed(e.children)]
-        else:
-            stack += reversed(e.children)
-    flush()
+            elif isinstance(e, str):
+                run.append(e)
+            elif e is not top and (is_marked(e, inside) or key_of(e, inside) in template):
+                if e.tag in BLOCK:
+                    flush()
+            else:
+                inside = inside or bool(holds_text(e))
+                if e.tag in BLOCK:
+                    flush()
+                    stack.append((None, inside))
+                stack += [(c, inside) for c in reversed(e.children)]
+        flush()
     return "\n".join(blocks)
 
 
@@ -217,21 +268,37 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS // 2))
     ws = Workspace(spark, "html")
     rows = pages.select(F.col(id_column), F.col(url_column), host_of(url_column).alias("__host"), F.coalesce(F.col(html_column), F.lit("")).alias("__html"))
+    rows = rows.withColumn("__page", F.unhex(F.md5(F.concat_ws("\n", "__host", "__html"))))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [template_hashes(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["host", "hashes"])
-
-    seen = ws.write(rows.select("__host", "__html").mapInArrow(hashed, "host string, hashes array<bigint>"))
-    sizes = seen.groupBy("host").count().withColumnRenamed("count", "pages")
-    often = seen.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count().where(F.col("count") >= LEAST_PAGES)
-    templates = often.join(sizes, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("__template"))
-    templates = ws.write(templates.withColumnRenamed("host", "__host"))
-    size = templates.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0))).first()
-    if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_HASHES:
-        templates = F.broadcast(templates)
-    out = rows.join(templates, "__host", "left").select(id_column, url_column, "__html", "__template")
+            made = [template_hashes(x) for x in batch.column(2).to_pylist()]
+            articles, prose, other = ([m[k] for m in made] for k in range(3))
+            arrays = [batch.column(0), batch.column(1), pa.array(articles, pa.int64()), pa.array(prose, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "page", "articles", "prose", "other"])
+
+    seen = ws.write(rows.select("__host", "__page", "__html").mapInArrow(hashed, "host string, page binary, articles bigint, prose array<bigint>, other array<bigint>"))
+    sizes = seen.select("host", "articles").distinct().groupBy("host").count().withColumnRenamed("count", "pages")
+
+    def often(kind: str) -> DataFrame:
+        on = seen.select("host", "articles", F.explode(kind).alias("hash")).distinct().groupBy("host", "hash").count()
+        if kind == "prose":
+            elsewhere = on.groupBy("hash").agg(F.count("*").alias("hosts"), F.max(F.struct("count", "host")).alias("most"))
+            on = elsewhere.where("hosts = 1").select("most.host", "hash", "most.count")
+        return on.where(F.col("count") >= LEAST_PAGES)
+
+    keys = often("prose").unionByName(often("other")).join(sizes, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages")).select("host", "hash")
+    keys = ws.write(keys)
+    templates = keys.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__template"))
+    size = templates.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0)), F.coalesce(F.max(F.size("__template")), F.lit(0))).first()
+    if size[2] <= HOST_HASHES:
+        if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_HASHES:
+            templates = F.broadcast(templates)
+        out = rows.join(templates, "__host", "left")
+    else:
+        has = seen.select("host", "page", F.explode(F.concat("prose", "other")).alias("hash")).distinct().join(keys, ["host", "hash"])
+        out = rows.join(has.groupBy(F.col("page").alias("__page")).agg(F.collect_list("hash").alias("__template")), "__page", "left")
+    out = out.select(id_column, url_column, "__html", "__template")
     kinds = [pages.schema[id_column].simpleString().split(":", 1), pages.schema[url_column].simpleString().split(":", 1)]
     schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds) + ", text string, n_chars bigint"
 

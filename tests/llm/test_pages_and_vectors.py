@@ -32,6 +32,26 @@ def test_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    return [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_recurring_blocks_of_articles(spark, monkeypatch):
+    block = "<div class='x1'><h3>Stay in touch</h3><p>Write to us.</p></div>"
+    rows = [("http://a.example/", f"<article><h1>Head {i}</h1><p>Own words {i}</p><p>A common line</p>{block}<p>Printed on paper</p></article><article class='related'><p>Other</p></article><article><p>Second {i}</p></article>") for i in range(8)]
+    rows += [("http://b.example/", "<article><p>Alone</p><p>A common line</p></article>")]
+    # Copies of one article with one changed line are no template.
+    rows += [("http://c.example/", f"<article><h1>Copied</h1><p>The same long words</p><ul><li>item</li></ul><p>v{i}</p></article>") for i in range(8)]
+    # An article that is all template leaves the text to the others.
+    rows += [("http://a.example/", f"<article>{block}</article><main><p>Rest {i}</p></main>") for i in range(2)]
+    want = [f"Head {i}\nOwn words {i}\nA common line\nSecond {i}" for i in range(8)] + ["Alone\nA common line"]
+    want += [f"Copied\nThe same long words\nitem\nv{i}" for i in range(8)] + ["Rest 0", "Rest 1"]
+    assert extracted(spark, rows) == want
+    monkeypatch.setattr(html_extract, "HOST_HASHES", 0)
+    assert extracted(spark, rows) == want
+
+
 def test_deep_and_broken_markup():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</span></p>", set()) == "deep"
     assert html_extract.main_text("a <b", set()) == "a"
