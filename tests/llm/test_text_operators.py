@@ -86,6 +86,16 @@ def test_registers_merge_and_estimate():
     assert abs(best[0] - 0.8) < 0.06 and keep[0]
 
 
+def test_last_comparison_keeps_links():
+    """Registers of pairs whose similarity is 0.8 exactly: the last comparison drops none of them."""
+    chance = lambda x: -np.log1p(-x * (near_dedup.BASE - 1) / near_dedup.BASE) / np.log(near_dedup.BASE)
+    differ = chance(0.5 - 0.5 * 0.8)
+    more, less, _ = np.random.default_rng(4).multinomial(near_dedup.FINE, [differ, differ, 1 - 2 * differ], size=50_000).T.astype(float)
+    size = np.full(len(more), 900.0)
+    _, keep = near_dedup.likely(more, less, size, size, 0.8, near_dedup.FINE, near_dedup.FINE_SLACK)
+    assert keep.all()
+
+
 def test_byte_bpe(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = byte_bpe.encoding(path, public_tokenizers.PATTERN)
