@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, Workspace
 
-#: A subtree is part of a host's template if it occurs on this many of its pages and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.05
+#: A subtree is part of a host's template if it occurs on this many of its pages, and on one more each time the host
+#: doubles beyond so many pages: 18 on a host of a million.
+LEAST_PAGES, FREE_PAGES = 5, 100
 #: Rows of the table of template hashes (one for each host) up to which it may be broadcast, and hashes of one host up
 #: to which each of its pages gets them all; beyond it each page gets those that it has.
 BROADCAST_HOSTS, BROADCAST_HASHES, HOST_HASHES = 50_000, 500_000, 1000
@@ -287,7 +288,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             on = elsewhere.where("hosts = 1").select("most.host", "hash", "most.count")
         return on.where(F.col("count") >= LEAST_PAGES)
 
-    keys = often("prose").unionByName(often("other")).join(sizes, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages")).select("host", "hash")
+    keys = often("prose").unionByName(often("other")).join(sizes, "host").where(F.col("count") >= LEAST_PAGES + F.log2(F.greatest(F.col("pages") / FREE_PAGES, F.lit(1.0)))).select("host", "hash")
     keys = ws.write(keys)
     templates = keys.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__template"))
     size = templates.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0)), F.coalesce(F.max(F.size("__template")), F.lit(0))).first()

@@ -52,6 +52,12 @@ def test_recurring_blocks_of_articles(spark, monkeypatch):
     assert extracted(spark, rows) == want
 
 
+def test_sections_of_a_large_host(spark):
+    """The menu of each section is on a hundredth of the host's pages."""
+    rows = [("http://big.example/", f"<div><b>Menu of section {i % 100}</b></div><p>Text {i}</p>") for i in range(1000)]
+    assert extracted(spark, rows) == [f"Text {i}" for i in range(1000)]
+
+
 def test_deep_and_broken_markup():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</span></p>", set()) == "deep"
     assert html_extract.main_text("a <b", set()) == "a"
