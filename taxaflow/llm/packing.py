@@ -4,7 +4,7 @@ Bulk-synchronous best-fit. Pieces are sorted by length and gaps by size; a sweep
 pieces, longest first, to the smallest gaps that hold them (the successor of their length). Inside a run conflicts are
 resolved by rank: the r-th piece takes the r-th gap. The gaps shrink, and the sweep goes on with the next length.
 A sweep needs only how many pieces have each length, at most `capacity` numbers whatever the size of the data, so
-all rounds are settled on runs. Ranks are found in Spark: length and a hash spread every length over many tasks.
+all rounds are settled on runs, in one loop on the driver (`plan`), not as Spark jobs. Ranks are found in Spark: length and a hash spread every length over many tasks.
 
 A null text counts as empty: one piece with the end mark only. Rows that repeat an id are separate documents with
 equal columns; other columns are left out.
