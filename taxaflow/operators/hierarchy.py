@@ -113,12 +113,19 @@ def combo_slice(combos: DataFrame, tax_id: int | None = None, go_id=None) -> Dat
     return combos.where(F.col("tax_id") == tax_id) if tax_id is not None else combos.where(F.col("go_id") == go_id)
 
 
-def drill_down(mapping: DataFrame, tax_ids: list[int] | None = None, go_id=None) -> DataFrame:
-    """Mapping rows of any of the organisms and of the function; nothing is selected by no selection."""
-    if not tax_ids and go_id is None:
+def drill_down(mapping: DataFrame, tax_ids: list[int] | DataFrame | None = None, go_id=None) -> DataFrame:
+    """Mapping rows of any of the organisms and of the function; nothing is selected by no selection.
+
+    tax_ids: a few ids, or a DataFrame with the column tax_id, however many rows it has.
+    """
+    many = isinstance(tax_ids, DataFrame)
+    if not many and not tax_ids and go_id is None:
         return mapping.limit(0)
     rows = mapping
-    if tax_ids:
+    if many:
+        pairs = mapping.select("peptide", F.explode("peptide_lca_tax_ids").alias("tax_id")).distinct()
+        rows = rows.join(pairs.join(tax_ids, "tax_id", "left_semi").select("peptide").distinct(), "peptide", "left_semi")
+    elif tax_ids:
         rows = rows.where(F.arrays_overlap("peptide_lca_tax_ids", F.array(*[F.lit(t).cast("bigint") for t in tax_ids])))
     if go_id is not None:
         rows = rows.where(F.array_contains("peptide_go_terms", go_id))

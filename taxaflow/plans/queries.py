@@ -189,9 +189,9 @@ _HAS_TAX = "exists (select 1 from nodes_of n where n.peptide = m.peptide and n.t
 _HAS_GO = "exists (select 1 from terms_of n where n.peptide = m.peptide and n.go_id = 35)"
 
 
-def _below(v) -> list[int]:
-    """The ids that a click on one node selects: a few hundred at most, as the page holds them."""
-    return [r[0] for r in graphs.descendants(v.taxa, 11, graphs.lineage(v.taxa, v.taxa)).collect()]
+def _below(v) -> DataFrame:
+    """The ids that a click on one node selects."""
+    return graphs.descendants(v.taxa, 11, graphs.lineage(v.taxa, v.taxa))
 
 
 def _drilled(v, **selection) -> DataFrame:

@@ -184,6 +184,13 @@ def test_drill_down_of_nothing_is_empty(spark):
     assert hierarchy.drill_down(m).count() == 0 and hierarchy.drill_down(m, [2, 9], "g").count() == 1 and hierarchy.drill_down(m, [9]).count() == 0
 
 
+def test_drill_down_by_a_table_of_ids(spark):
+    m = spark.createDataFrame([("P", [1, 2], ["g"]), ("P", [1, 2], ["g"]), ("Q", [1], ["g"]), ("R", [5], ["h"])], "peptide string, peptide_lca_tax_ids array<bigint>, peptide_go_terms array<string>")
+    ids = spark.range(2, 5000).withColumnRenamed("id", "tax_id")
+    assert sorted(r.peptide for r in hierarchy.drill_down(m, ids).collect()) == ["P", "P", "R"]
+    assert hierarchy.drill_down(m, ids, "h").count() == 1 and hierarchy.drill_down(m, ids.limit(0)).count() == 0
+
+
 def test_inbox(spark, tmp_path):
     from taxaflow.streaming.inbox import watch
 
