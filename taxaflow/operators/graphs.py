@@ -13,21 +13,23 @@ from pyspark.sql import functions as F
 from ..plans.tables import written
 
 
-def lineage(taxa: DataFrame, ids: DataFrame, most_doublings: int = 8) -> DataFrame:
+def lineage(taxa: DataFrame, ids: DataFrame) -> DataFrame:
     """tax_id, ancestor_id, dist of each id: itself at 0, then its parents.
 
     An id that is not in the tree has only itself; a parent that is not in the tree is still an ancestor; a cycle ends
-    where it meets itself. Paths double in each round, so a tree of depth d takes log2(d) rounds.
+    where it meets itself. Paths double in each round, so a tree of depth d takes log2(d) rounds;
+    they end when no path is new, in a cycle too.
     """
     jump = written(taxa.where("parent_tax_id is not null and parent_tax_id <> tax_id").select("tax_id", F.col("parent_tax_id").alias("to")).distinct())
     paths = ids.select("tax_id").where("tax_id is not null").distinct().select("tax_id", F.col("tax_id").alias("ancestor_id"), F.lit(0).alias("dist"))
-    for k in range(most_doublings):
-        if jump.isEmpty():
-            break
+    size, k = -1, 0
+    while not jump.isEmpty() and (now := paths.count()) != size:
+        size = now
         step = jump.select(F.col("tax_id").alias("ancestor_id"), "to")
-        further = paths.join(step, "ancestor_id").select("tax_id", F.col("to").alias("ancestor_id"), (F.col("dist") + 2**k).alias("dist"))
+        further = paths.join(step, "ancestor_id").select("tax_id", F.col("to").alias("ancestor_id"), (F.col("dist") + F.lit(2**k)).cast("int").alias("dist"))
         paths = written(paths.unionByName(further).groupBy("tax_id", "ancestor_id").agg(F.min("dist").alias("dist")))
         jump = written(jump.join(jump.select(F.col("tax_id").alias("to"), F.col("to").alias("next")), "to").where("next <> tax_id").select("tax_id", F.col("next").alias("to")).distinct())
+        k += 1
     return paths
 
 

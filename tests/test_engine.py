@@ -103,6 +103,13 @@ def test_lineage_and_lca_edge_cases(spark):
     assert {r.ancestor_id for r in lines.where("tax_id = 90").collect()} == {90, 91}
 
 
+def test_lineage_of_a_deep_tree(spark):
+    parent = F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_tax_id")
+    taxa = spark.range(601).select(F.col("id").alias("tax_id"), F.lit("n").alias("name"), F.lit("r").alias("rank"), parent)
+    got = graphs.lineage(taxa, taxa.where("tax_id = 600")).collect()
+    assert {(r.ancestor_id, r.dist) for r in got} == {(600 - d, d) for d in range(601)} and len(got) == 601
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([(c, k, p) for k, c, p in EDGES] + [(20, "is_a", 21), (21, "is_a", 20)], "child bigint, edge_type string, parent bigint")
     ids = spark.createDataFrame([(5,), (7,), (20,), (99,)], "go_id bigint")
