@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to Python. Texts average a few KB, the longest over 100 KB.
-BATCH_ROWS = 512
+#: Rows, and bytes, in one Arrow batch that goes to Python: a batch ends with the row that reaches either. Texts average
+#: a few KB; a batch of the longest ones holds few of them. The same values serve every operator.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches. Plans are lazy, so the limits have to stay set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(key, make: Callable[[], object]):
+    """What a Python worker keeps from batch to batch. Workers serve one operator after another, so it keeps one thing only."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 class Workspace:
-    """Tables that cut the lineage of an iterative job; they survive the loss of any executor."""
+    """Tables that cut the lineage of an iterative job; they survive the loss of any executor.
+
+    Tables that a result no longer reads go with drop_all_but, the rest when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.live: set[str] = set()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -57,7 +82,7 @@ def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, fn: Cal
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
     made = _parse_datatype_string(schema)
     out = StructType([df.schema[c] for c in columns] + made.fields)
     kinds = [_arrow(f.dataType.simpleString()) for f in made.fields]

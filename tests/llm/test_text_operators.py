@@ -14,6 +14,7 @@ BASE = "the quick brown fox jumps over the lazy dog while seven old men watch fr
 ODD = [
     None, "", " \n\t ", "one", "One two", "one two", "Tie tie tie", "a" * 5000, "x y " * 4000, "naïve café — “quoted” 数据 don't stop's 1234 <|endoftext|> end",
     "tabs\tand\x1cseparators\x85here　now", "a b\na b\n\na b\nc", "#### $$$ %%% &&& " * 30,
+    "it's l'été µm x²³ ¼cup ÀÉÎ ßtraße 99.5% 'tis we'll i'd a_b ª º × ÷ \xa0nbsp\xadsoft",
 ]
 
 
@@ -150,19 +151,37 @@ def test_packing(spark, docs, rows):
     assert packing.best_fit(empty(spark), path, capacity).count() == 0
 
 
-def test_packing_plan_is_best_fit():
-    rng = np.random.default_rng(2)
-    counts = Counter(map(int, rng.integers(1, 101, 3000)))
-    gaps = []  # one by one: the smallest gap that holds the piece
-    for length in sorted(counts.elements(), reverse=True):
+def best_fit_decreasing(lengths, capacity):
+    """Sequences of a plain best-fit: one piece after another, each into the smallest gap that holds it."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
         fits = [k for k, g in enumerate(gaps) if g >= length]
         if fits:
             gaps[min(fits, key=lambda k: gaps[k])] -= length
         else:
-            gaps.append(100 - length)
-    runs = packing.plan(counts, 100)
-    used = {s for _, _, n, first, _ in runs for s in range(first, first + n)}
-    assert len(used) <= len(gaps) + 1 and sum(r[2] for r in runs) == 3000
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("lengths", ["mixed", "equal", "tiny", "one long"])
+def test_sweeps_pack_as_tightly_as_plain_best_fit(spark, lengths):
+    rng = np.random.default_rng(2)
+    made = {"mixed": rng.integers(1, 101, 2000), "equal": np.full(900, 34), "tiny": rng.integers(1, 4, 2000), "one long": np.append(rng.integers(1, 5, 500), 50)}[lengths]
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(made)], "item bigint, length bigint")
+    ws = packing.Workspace(spark, "test")
+    rows = packing.pack(ws, ws.write(pieces), 100).join(pieces, "item").collect()
+    assert sorted(r.item for r in rows) == list(range(len(made)))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r["offset"])):
+        assert ends.get(r.sequence_id, 0) == r["offset"]
+        ends[r.sequence_id] = r["offset"] + r.length
+    assert max(ends.values()) <= 100 and len(ends) <= 1.01 * best_fit_decreasing(made, 100) + 1
+
+
+def test_sequences_needed():
+    assert packing.sequences_needed({50: 3}, {}, 100) == 2
+    assert packing.sequences_needed({50: 3}, {60: 2, 49: 9}, 100) == 1
+    assert packing.sequences_needed({1: 100, 90: 1}, {89: 2}, 100) == 1
 
 
 def test_quality_counts(spark, docs, rows):
