@@ -2,12 +2,15 @@
 
 Equal vectors are indexed once (all their ids stay attached, through the k + 1 smallest, which are all that a list of
 the k nearest can hold under ties to smaller ids). Distinct vectors are dealt to shards of about SHARD rows by hash;
-each shard's graph is built by inserting its vectors level by level and kept as flat neighbour arrays in a table.
-Queries, in blocks, walk every shard's graph, many queries at a time; shard results are merged, then scored
-exactly in double precision on the original vectors.
+each shard's graph is built from its top level down, a node entering a level where the levels above lead it, and kept
+as flat neighbour arrays in a table. Queries, in blocks as large as a shard's graph, walk every shard's graph, many at a
+time. All that a walk's beam holds is scored in double precision on the original vectors, and then shard results are merged.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, as rows with a null id. With fewer
-than k candidates all are returned. Ties go to the smaller id. Rows that repeat an id and vector count once.
+A query meets each shard once, so the work is (queries) * (vectors / SHARD) walks; larger shards mean fewer of them, and
+a shard of SHARD vectors takes about 1 KB for each.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, as rows with a null id. Vectors of other
+lengths are compared with their like only. With fewer than k candidates all are returned. Ties go to the smaller id. Rows that repeat an id and vector count once.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Vectors in a shard, queries in a block, neighbours of a node, width of the beam at building and at searching.
-SHARD, BLOCK, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 2048, 512, 12, 48, 96
+SHARD, BLOCK, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 1 << 14, 1 << 14, 12, 48, 256
+#: Bytes of the table of visited nodes (walks * vectors) of one step.
+VISITED = 1 << 25
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,25 +95,31 @@ def diverse(own: np.ndarray, near: np.ndarray, vectors: np.ndarray, places: int)
 def build(vectors: np.ndarray, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
     """(level of each node, links of each level) of a graph over unit vectors.
 
-    Nodes are inserted in growing batches: a batch searches the graph so far (the first few, each other), then links
+    Levels are built from the top. On each, the members of the level above come first; then nodes are inserted in growing
+    batches: a batch enters where the levels above lead it, searches the graph so far (the first few, each other), and links
     both ways; a node with too many links keeps a diverse choice of them.
     """
     n = len(vectors)
     rng = np.random.default_rng(seed)
-    levels = np.minimum((-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int), 4)
-    levels[0] = levels.max() if n else 0
-    all_links: list[np.ndarray] = []
-    for level in range(levels.max() + 1 if n else 0):
+    levels = np.minimum((-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int), 6)
+    top = int(levels.max()) if n else -1
+    all_links: list[np.ndarray] = [np.zeros((0, 0), np.int64)] * (top + 1)
+    for level in range(top, -1, -1):
         places = LINKS * (2 if level == 0 else 1)
         links = np.full((n, places), -1, np.int64)
         members = np.flatnonzero(levels >= level)
+        members = members[np.argsort(levels[members] == level, kind="stable")]
+        above = int((levels > level).sum())
         at = 0
         while at < len(members):
-            batch = members[at : at + (64 if at == 0 else max(64, at // 2))]
+            batch = members[at : at + min(max(64, at // 2), max(64, VISITED // n))]
             sims = vectors[batch] @ vectors[batch].T
             peers = batch[np.argsort(-sims, 1, kind="stable")[:, : LINKS + 1]]
             if at:
-                entries = members[:at][(vectors[batch] @ vectors[members[: min(at, 32)]].T).argmax(1)]
+                if above and at >= above:
+                    entries = descended(vectors[batch], vectors, levels, all_links, level)
+                else:  # the first few, where no level leads
+                    entries = members[:at][(vectors[batch] @ vectors[members[: min(at, 32)]].T).argmax(1)]
                 found, _ = beam(vectors[batch], vectors, links, entries, BUILD_WIDTH)
                 peers = np.concatenate([found, peers], 1)
             touched: dict[int, list[int]] = {}
@@ -127,17 +138,26 @@ def build(vectors: np.ndarray, seed: int = 7) -> tuple[np.ndarray, list[np.ndarr
                 links[node] = -1
                 links[node, : len(near)] = near
             at += len(batch)
-        all_links.append(links)
+        all_links[level] = links
     return levels, all_links
 
 
-def search(queries: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, similarities) of the k best that each query finds, from the top level down."""
+def descended(queries: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray], to: int) -> np.ndarray:
+    """Where each query enters level `to`: the best node that a narrow walk down from the top level finds."""
     entries = np.full(len(queries), int(levels.argmax()))
-    for level in range(len(links) - 1, 0, -1):
+    for level in range(len(links) - 1, to, -1):
         entries = beam(queries, vectors, links[level], entries, 4)[0][:, 0]
-    nodes, sims = beam(queries, vectors, links[0], entries, max(SEARCH_WIDTH, k))
-    return nodes[:, :k], sims[:, :k]
+    return entries
+
+
+def search(queries: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray], width: int) -> np.ndarray:
+    """The nodes (-1: none) that a beam of this width holds for each query after a walk from the top level down."""
+    out = np.empty((len(queries), width), np.int64)
+    step = max(1, VISITED // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        out[at : at + step] = beam(part, vectors, links[0], descended(part, vectors, levels, links, 0), width)[0]
+    return out
 
 
 def usable(vector: Column) -> Column:
@@ -157,7 +177,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_i
 
     order = Window.partitionBy("key").orderBy("id")
     ids = rows.select("key", "id").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("key", "id")
-    index = rows.groupBy("key").agg(F.first("v").alias("v")).select("key", "v", dims)
+    index = rows.groupBy("key").agg(F.first("v").alias("v"), F.min("id").alias("least")).select("key", "v", "least", dims)
     counts = {r[0]: r[1] for r in index.groupBy("dims").count().collect()}  # one row for each vector length
     shards = max(1, -(-max(counts.values(), default=1) // shard))
     index = ws.write(index.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
@@ -168,10 +188,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_i
         levels, links = build(unit(vectors).astype(np.float32))
         return pd.DataFrame({
             "shard": [group["shard"].iloc[0]], "dims": [vectors.shape[1]], "vectors": [vectors.tobytes()], "keys": [group["key"].tolist()],
-            "levels": [levels.astype(np.int8).tobytes()], "links": [[x.astype(np.int32).tobytes() for x in links]],
+            "least": [group["least"].to_numpy(np.int64).tobytes()], "levels": [levels.astype(np.int8).tobytes()], "links": [[x.astype(np.int32).tobytes() for x in links]],
         })
 
-    graphs = ws.write(index.groupBy("shard", "dims").applyInPandas(built, "shard int, dims int, vectors binary, keys array<string>, levels binary, links array<binary>"))
+    graphs = ws.write(index.groupBy("shard", "dims").applyInPandas(built, "shard int, dims int, vectors binary, keys array<string>, least binary, levels binary, links array<binary>"))
 
     asked = rows.where("q").select("key", "v", dims).distinct()
     n_asked = asked.count()
@@ -181,27 +201,31 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_i
     meetings = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dims"])
 
     def searched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: tuple[list, list, list, list] = ([], [], [], [])
         for row in group.itertuples():
-            vectors = np.frombuffer(row.vectors).reshape(-1, row.dims)
+            vectors, least = np.frombuffer(row.vectors).reshape(-1, row.dims), np.frombuffer(row.least, np.int64)
             links = [np.frombuffer(x, np.int32).reshape(len(vectors), -1).astype(np.int64) for x in row.links]
             wanted = np.stack([q["v"] for q in row.asked]).astype(float)
-            queries, units = unit(wanted), unit(vectors)
-            nodes, _ = search(queries.astype(np.float32), units.astype(np.float32), np.frombuffer(row.levels, np.int8), links, k + 1)
             names = [q["key"] for q in row.asked]
-            i, place = np.nonzero(nodes >= 0)
-            found = nodes[i, place]
-            dots = np.einsum("ij,ij->i", wanted[i], vectors[found])
-            score = dots / (np.linalg.norm(wanted, axis=1)[i] * np.linalg.norm(vectors, axis=1)[found])
-            out.append(pd.DataFrame({"asked": [names[x] for x in i], "key": [row.keys[x] for x in found], "score": score}))
-        return pd.concat(out)
-
-    found = meetings.groupBy("shard", "dims", "block").applyInPandas(searched, "asked string, key string, score double")
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "key")
-    found = ws.write(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
+            nodes = search(unit(wanted).astype(np.float32), unit(vectors).astype(np.float32), np.frombuffer(row.levels, np.int8), links, max(SEARCH_WIDTH, k + 1))
+            norms, own_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(wanted, axis=1)
+            for i, found in enumerate(nodes):
+                found = found[found >= 0]
+                score = vectors[found] @ wanted[i] / (norms[found] * own_norms[i])
+                best = np.lexsort((least[found], -score))[: k + 1]
+                for column, values in zip(out, ([names[i]] * len(best), [row.keys[x] for x in found[best]], least[found[best]].tolist(), score[best].tolist())):
+                    column += values
+        return pd.DataFrame(dict(zip(("asked", "key", "least", "score"), out)))
+
+    found = meetings.groupBy("shard", "dims", "block").applyInPandas(searched, "asked string, key string, least bigint, score double")
+    # Of keys with equal scores those with the smallest ids: each key before the cut has an id that goes first.
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "least")
+    found = ws.write(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r", "least"))
 
     queries = rows.where("q").select(F.col("key").alias("asked"), F.col("id").alias("query_id")).distinct()
     pairs = queries.join(found, "asked").join(ids.withColumnRenamed("id", "vec_id"), "key").where("vec_id != query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(final).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = ws.write(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    ws.drop_all_but(out)
+    return out

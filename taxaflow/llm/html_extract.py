@@ -1,8 +1,10 @@
 """Main text of web pages by site template removal.
 
-Pass one parses each page into elements and hashes its subtrees, inside its articles too; Spark counts on how many
-pages of a host each hash occurs. Pass two deletes the subtrees that recur on many pages of their host, and those
-whose tag, role or class says what they are, then chooses the articles from what is left and joins their blocks.
+Pass one parses each page into elements and hashes its subtrees, whatever their tag or class, inside its articles too;
+Spark counts on how many pages of a host each hash occurs. Pass two deletes the subtrees that recur on many pages of
+their host. What a single page shows of menus, comments or notices does not recur: of what is left, a tag, role or class
+that says so deletes a subtree too. Articles are chosen from the rest, and their blocks joined. n_recurring and n_marked
+tell how many subtrees of a page the counts deleted, and how many the tags and classes alone.
 
 A paragraph of prose inside an article is text although it recurs if articles of another host have it too, or if most
 of the prose of its page recurs: the page is then a copy of others. A notice that stands as a single paragraph in
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Workspace
+from .common import Workspace, bound_batches
 
 #: A subtree is part of a host's template if it occurs on this many of its pages, and on one more each time the host
 #: doubles beyond so many pages: 18 on a host of a million.
@@ -163,7 +165,7 @@ def main_elements(root: Element, template: set[int]) -> list[Element]:
     stack = [(root, None, False)]
     while stack:
         e, within, inside = stack.pop()
-        if is_marked(e, inside) or key_of(e, inside) in template:
+        if key_of(e, inside) in template or is_marked(e, inside):
             continue
         kind = holds_text(e)
         if kind and within not in (kind, "article") and text_left(e, template):
@@ -192,8 +194,6 @@ def template_hashes(page: str) -> tuple[int, list[int], list[int]]:
     prose, other, stack = set(), set(), [(root, False)]
     while stack:
         e, inside = stack.pop()
-        if is_marked(e, inside):
-            continue  # goes anyway
         if (key := key_of(e, inside)) is not None:
             (other if key == e.hash else prose).add(key)
         inside = inside or bool(holds_text(e))
@@ -222,8 +222,24 @@ def without_copied(root: Element, template: set[int]) -> set[int]:
     return template - recurring if 2 * size > all_ else template
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """Blocks of the articles in page order, joined by one newline."""
+def deleted(root: Element, template: set[int]) -> tuple[int, int]:
+    """How many subtrees of the page go because they recur, and how many more because of their tag or class."""
+    recurring = marked = 0
+    stack = [(root, False)]
+    while stack:
+        e, inside = stack.pop()
+        if key_of(e, inside) in template:
+            recurring += 1
+        elif e.text_size and is_marked(e, inside):
+            marked += 1
+        else:
+            inside = inside or bool(holds_text(e))
+            stack += [(c, inside) for c in e.children if not isinstance(c, str)]
+    return recurring, marked
+
+
+def main_text(page: str, template: set[int]) -> tuple[str, int, int]:
+    """Blocks of the articles in page order, joined by one newline; what `deleted` counts."""
     root = parse(page)
     measure(root)
     if template:
@@ -256,7 +272,7 @@ def main_text(page: str, template: set[int]) -> str:
                     stack.append((None, inside))
                 stack += [(c, inside) for c in reversed(e.children)]
         flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), *deleted(root, template)
 
 
 def host_of(url: str):
@@ -264,9 +280,9 @@ def host_of(url: str):
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """id_column, url_column, text, n_chars of every page."""
+    """id_column, url_column, text, n_chars, n_recurring, n_marked of every page."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS // 2))
+    bound_batches(spark)
     ws = Workspace(spark, "html")
     rows = pages.select(F.col(id_column), F.col(url_column), host_of(url_column).alias("__host"), F.coalesce(F.col(html_column), F.lit("")).alias("__html"))
     rows = rows.withColumn("__page", F.unhex(F.md5(F.concat_ws("\n", "__host", "__html"))))
@@ -301,12 +317,15 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         out = rows.join(has.groupBy(F.col("page").alias("__page")).agg(F.collect_list("hash").alias("__template")), "__page", "left")
     out = out.select(id_column, url_column, "__html", "__template")
     kinds = [pages.schema[id_column].simpleString().split(":", 1), pages.schema[url_column].simpleString().split(":", 1)]
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds) + ", text string, n_chars bigint"
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds) + ", text string, n_chars bigint, n_recurring bigint, n_marked bigint"
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, set(t or ())) for x, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_column, url_column, "text", "n_chars"])
-
-    return out.mapInArrow(extracted, schema)
+            made = [main_text(x, set(t or ())) for x, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts, recurring, marked = ([m[k] for m in made] for k in range(3))
+            arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(list(v), pa.int64()) for v in (map(len, texts), recurring, marked))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_column, url_column, "text", "n_chars", "n_recurring", "n_marked"])
+
+    out = ws.write(out.mapInArrow(extracted, schema))
+    ws.drop_all_but(out)
+    return out

@@ -4,9 +4,11 @@ Every word of a text gets a language by forward-backward: emissions are sums of
 character n-grams and its whole form (the lexicon), transitions between languages are learned too, from texts spliced
 together, so code-switched text is labelled word by word. A document's language has the largest mean posterior.
 
-The field is fitted on a bounded sample of labelled rows (FIT_DOCS of each language, FIT_CHARS characters of each) on
-the driver; prediction covers whole texts. Null text, or text without a letter: `und` with score 0, as for every
-text when there is nothing to learn from. Ties go to the first language in order. Rows repeat as in the input.
+The field is fitted on a bounded sample of labelled rows (FIT_DOCS whole texts of each language, a small closed set)
+on the driver; prediction covers whole texts. Null text, or text without a letter: `und` with score 0, as for every
+text when there is nothing to learn from. Bytes that are no UTF-8 count as U+FFFD. Very long texts are walked in
+blocks of BLOCK words. Ties go to the first language in order. Rows repeat as in the input. `columns` may not be named
+lang_pred or score.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Labelled documents of each language, and characters of each, that the field is fitted on.
-FIT_DOCS, FIT_CHARS = 300, 6000
+#: Labelled documents of each language that the field is fitted on, and how many times as many a first cut by hash leaves.
+FIT_DOCS, SPARE = 300, 4
+#: More values than this in the column of languages are an error: there are some 7000 languages.
+MOST_LANGS = 10_000
 #: Hashed weights of one kind of feature.
 SIZE = 1 << 16
-#: Words of a text that are its opening.
-OPENING = 12
 #: Words in a block of the blocked forward-backward pass.
 BLOCK = 64
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to words: ASCII letters and all bytes of other characters.
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _P = np.uint32(0x9E3779B1)
+_INVERSE = np.uint32(pow(0x9E3779B1, -1, 1 << 32))
 _BYTES = np.random.default_rng(3).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -41,7 +44,6 @@ class Field:
     langs: list[str]
     weights: np.ndarray  # kinds x (SIZE, then a row of zeros) x languages
     transitions: np.ndarray  # languages x languages, log
-    opening: float = 0.0  # weight of a text's opening words in the document's decision
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +69,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ends = np.flatnonzero(~inside & in1)
     index = np.stack([pair & np.uint32(SIZE - 1), triple, quad]).astype(np.int32)
     index[0][~here] = index[1][~(here & in1)] = index[2][~(here & in1 & in2)] = -1
-    # A word as a whole: the sum of its scrambled bytes with its first and last triples.
-    total = np.cumsum(_BYTES[b], dtype=np.uint32)
-    whole = (total[ends] - total[starts]) ^ (triple[starts] * np.uint32(40503)) ^ (triple[ends] << np.uint32(16))
+    # A word as a whole: a polynomial in its bytes, taken from running sums and shifted to the word's start.
+    up, down = (np.multiply.accumulate(np.full(len(b), x, np.uint32), dtype=np.uint32) for x in (_P, _INVERSE))
+    total = np.cumsum(_BYTES[b] * up, dtype=np.uint32)
+    whole = (total[ends - 1] - total[starts - 1]) * down[starts]
     index_words = ((whole * _P) >> np.uint32(16)).astype(np.int32)
     return index, index_words, starts, counts
 
@@ -192,18 +195,11 @@ def fit(sample: list[tuple[str, str]], seed: int = 5, sequences: int = 1200, wor
             grad = (np.einsum("sti,stj->ij", gold[:, :-1], gold[:, 1:]) - pairs) / group
             seen_t += grad**2
             transitions += 0.3 * grad / np.sqrt(seen_t)
-    field = Field(langs, weights, transitions)
-    known = [(lang, text) for lang, text in sample if lang in langs and _LETTER.search(text)]
-    right = {}
-    for weight in (0.0, 0.25, 0.5, 1.0):
-        field.opening = weight
-        right[weight] = sum(got == lang for (lang, _), (got, _) in zip(known, decide(field, [t for _, t in known])))
-    field.opening = max(right, key=lambda w: (right[w], -w))
-    return field
+    return Field(langs, weights, transitions)
 
 
 def decide(field: Field, texts: list[str]) -> list[tuple[str, float]]:
-    """(language, score) of each text. Where two languages have near shares, the opening words count more."""
+    """(language, score) of each text."""
     index, index_words, starts, counts = features(texts)
     gamma = posteriors(emissions(index, index_words, starts, field.weights), field.transitions, counts)
     out = []
@@ -211,8 +207,7 @@ def decide(field: Field, texts: list[str]) -> list[tuple[str, float]]:
         if not c or not _LETTER.search(text):
             out.append(("und", 0.0))
             continue
-        own = gamma[e - c : e]
-        share = (own.mean(0) + field.opening * own[:OPENING].mean(0)) / (1 + field.opening)
+        share = gamma[e - c : e].mean(0)
         out.append((field.langs[int(share.argmax())], min(1.0, float(share.max()))))
     return out
 
@@ -238,15 +233,21 @@ def _expected(e: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit_on(df: DataFrame, learn_from: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Field | None:
-    """The field fitted on a bounded sample of the rows that learn_from holds for."""
+    """The field fitted on a bounded sample of the rows that learn_from holds for: those of least hash in each language."""
     from pyspark.sql import Window
 
     usable = df.where(learn_from & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIT_DOCS)
-    chosen = [r.id for r in ids.select("id").collect()]  # FIT_DOCS of each language
-    rows = usable.where(F.col(id_column).isin(chosen)).select(F.col(lang_column).cast("string"), F.substring(text_column, 1, FIT_CHARS), id_column)
-    return fit([tuple(r[:2]) for r in sorted(rows.collect(), key=lambda r: (r[0], r[2], r[1]))])
+    usable = usable.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("hash"))
+    # Hashes are even, so this bound leaves about SPARE times as many rows as are wanted, however many a language has.
+    counts = usable.groupBy("lang").agg((F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FIT_DOCS * SPARE)) / F.count("*")) - 2.0**63).alias("bound"))
+    bounds = counts.limit(MOST_LANGS + 1).collect()
+    if len(bounds) > MOST_LANGS:
+        raise ValueError(f"{lang_column} has more than {MOST_LANGS} values")
+    bounds = df.sparkSession.createDataFrame(bounds, counts.schema)
+    near = usable.join(F.broadcast(bounds), "lang").where(F.col("hash").cast("double") <= F.col("bound"))
+    order = Window.partitionBy("lang").orderBy("hash", "text")
+    rows = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIT_DOCS).select("lang", "text", "hash").collect()  # FIT_DOCS of each language
+    return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.hash, r.text))])
 
 
 def label_words(field: Field, texts: list[str]) -> list[list[tuple[str, str, float]]]:
@@ -259,12 +260,12 @@ def label_words(field: Field, texts: list[str]) -> list[list[tuple[str, str, flo
 
 
 def predict(df: DataFrame, field: Field | None, columns: list[str], text_column: str = "text") -> DataFrame:
-    """columns, lang_pred and score (mean posterior of that language over the text's words, see `decide`)."""
+    """columns, lang_pred and score (mean posterior of that language over the text's words)."""
     shared = df.sparkSession.sparkContext.broadcast(field)  # 1 MB for each language
 
     def run(texts: Iterable[bytes | None]) -> Iterator[tuple]:
         own = shared.value
-        texts = ["" if t is None else t.decode() for t in texts]
+        texts = ["" if t is None else t.decode(errors="replace") for t in texts]
         at = 0
         while at < len(texts):
             end, size = at, 0

@@ -5,7 +5,8 @@ each rule's accuracy on good and on bad documents, and the share of good documen
 so one failed rule among many passed does not reject a document. The patterns are counted over all documents in Spark;
 at most 3^rules of them reach the driver.
 
-A null text counts as empty: no words, base_failed. Rows repeat as often as in the input.
+A null text counts as empty: no words, base_failed. Bytes that are no UTF-8 count as U+FFFD. Very long texts are read
+whole. Rows repeat as often as in the input. `columns` may not hold the names that `judge` makes.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def repeat_words(words: Sequence) -> int:
 
 def text_counts(text: bytes) -> tuple:
     """The counts of _SCHEMA for one text."""
-    chars = text.decode()
+    chars = text.decode(errors="replace")
     words = _WORD.findall(chars)
     lines = [x for x in chars.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
     n_symbols = len(_SYMBOL.findall(chars))

@@ -3,7 +3,7 @@
 A text is cut at every safe boundary of the byte-level pre-splitting pattern, so a count is a sum over pieces.
 Pieces recur, so each worker keeps the counts of those it has met (a bounded table) and gives only new ones
 to the tokenizer, in batches of about the same number of bytes.
-A null text counts as empty: no tokens. Rows repeat as often as they do in the input; other columns are left out.
+A null text counts as empty: no tokens. Bytes that are no UTF-8 count as U+FFFD (n_bytes as they are). Rows repeat as often as they do in the input; other columns are left out.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .byte_bpe import SAFE
-from .common import map_texts
+from .common import map_texts, worker_cache
 
 #: Bytes of new pieces in one call of the tokenizer, about.
 BATCH_BYTES = 1 << 18
-#: Pieces whose counts a worker keeps; then it starts afresh.
-KEPT_PIECES = 400_000
+#: Pieces whose counts a worker keeps, and their longest; then it starts afresh.
+KEPT_PIECES, KEPT_LENGTH = 400_000, 256
 #: Letters (Latin-1), then marks: the pattern always cuts between them.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -57,7 +57,7 @@ class PieceCounts(dict):
         size = 0
         for piece in need:
             batch.append(piece)
-            size += len(piece)
+            size += len(piece.encode())
             if size > BATCH_BYTES:
                 self._count(batch)
                 batch, size = [], 0
@@ -72,11 +72,6 @@ class PieceCounts(dict):
                 self[piece] = len(got)
 
 
-@lru_cache(maxsize=2)
-def piece_counts(path: str) -> PieceCounts:
-    return PieceCounts(path)
-
-
 def pieces(text: str) -> list[str]:
     """The text cut before every safe space."""
     first, *rest = SAFE.split(text)
@@ -87,13 +82,17 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, id_column: str
     """id_column, n_bytes (of UTF-8), n_tokens, over_limit (n_tokens > limit)."""
 
     def run(texts: Iterable[bytes]) -> Iterator[tuple]:
-        known = piece_counts(tokenizer_path)
+        known = worker_cache(("pieces", tokenizer_path), lambda: PieceCounts(tokenizer_path))
         for group in balanced(texts):
-            cut = [pieces(t.decode()) for t in group]
-            known.learn(set().union(*cut))
+            cut = [pieces(t.decode(errors="replace")) for t in group]
+            distinct = set().union(*cut)
+            known.learn(distinct)
             for text, parts in zip(group, cut):
                 n = sum(map(known.__getitem__, parts))
                 yield len(text), n, n > limit
+            for piece in distinct:
+                if len(piece) > KEPT_LENGTH:
+                    del known[piece]
 
     return map_texts(df, [id_column], text_column, "n_bytes bigint, n_tokens bigint, over_limit boolean", run)
 

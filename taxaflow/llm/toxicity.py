@@ -1,13 +1,18 @@
 """Toxicity scores from a learned lexicon, misspellings and context.
 
-Fitting (on at most FIT_ROWS labelled rows) learns which words and word beginnings stand almost only in toxic texts.
-A word of a text hits the lexicon exactly, by its beginning, or misspelled: a Levenshtein automaton of the word, run
-against a trie of the lexicon, finds terms within one edit. Around each hit a window of words is read: hits in quotation
-marks or after a reporting verb are counted apart from hits in a direct voice, and dense hits more than scattered ones.
-A logistic function of these counts is the score.
-
-Null and empty texts have no hits and get the score of such texts. With no labelled rows, or only one class among them,
-every score is 0. Rows repeat as often as in the input.
+Fitting (on at most FIT_ROWS labelled rows, whole texts) learns which words and word beginnings stand almost only in
+toxic texts. A word of a text hits the lexicon exactly, by its beginning, or misspelled: a
+Levenshtein automaton of the word, run against a trie of the lexicon, finds terms within one edit; a word that the
+fit's clean texts use is no misspelling. A window of words around each hit tells a quotation (between marks, or after a verb of
+speech) from a direct voice, and dense hits from scattered ones. A logistic function of these counts is the score.
+
+Weights are cross-fitted: the evidence in either half of the rows is found with a lexicon from the other half. Few
+labelled texts misspell or quote a term, so each toxic one that holds a term also counts in two altered forms: with one
+random edit in each term, still toxic, and with each term quoted, clean. The lexicon that serves comes from all the rows.
+
+Null and empty texts have no hits and get the score of such texts. Bytes that are no UTF-8 count as U+FFFD. Very long
+texts are read whole. With no labelled rows, or only one class among them, every score is 0. Rows repeat as often as in
+the input. `columns` may not hold the names that `score` makes.
 """
 
 from __future__ import annotations
@@ -22,20 +27,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, worker_cache
 
-#: Labelled rows, characters of each and lexicon terms that a fit uses at most.
-FIT_ROWS, FIT_CHARS, FIT_TERMS = 6000, 20_000, 2000
+#: Labelled rows that a fit uses at most.
+FIT_ROWS = 6000
 #: A term stands in this many different toxic texts, and this many times as often in toxic texts as in others.
-LEAST_TEXTS, LEAST_RATIO = 5, 15.0
+LEAST_TEXTS, LEAST_RATIO = 5, 40.0
 #: Lengths of the word beginnings that may become terms, and of terms that are found misspelled.
 STEMS, LEAST_FUZZY = (4, 5, 6, 7), 5
 #: Words on either side of a hit that are its context.
 WINDOW = 8
 #: Words whose verdict a worker keeps; then it starts afresh.
 KEPT_WORDS = 400_000
-WORD = re.compile(r"[\w@$]+|[\"“”„«»‘’]")
-QUOTES = frozenset("\"“”„«»‘’")
+WORD = re.compile(r"[\w@$]+|[\"“”„«»]")
+QUOTES = frozenset("\"“”„«»")
 # Letters that digits and signs stand for; verbs and nouns of reported speech; words of direct address.
 FOLDED = str.maketrans("013457@$", "oieastas")
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term reported claims claimed sagte nannte wort dit appelle mot dijo llama palabra".split())
@@ -91,10 +96,11 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """Terms and stems with their log-odds of toxic text."""
+    """Terms and stems with their log-odds of toxic text; words near a term that clean texts use."""
 
     words: dict[str, float]
     stems: dict[str, float]
+    known: set[str] = field(default_factory=set)
     trie: Trie = field(init=False)
     halves: set[str] = field(init=False)
 
@@ -119,7 +125,7 @@ class Lexicon:
             if plain in self.words:
                 return -self.words[plain]
         n = len(plain)
-        if n >= LEAST_FUZZY - 1 and any(f"{n}<{plain[:k]}" in self.halves or f"{n}>{plain[-k:]}" in self.halves for k in self.sizes):
+        if n >= LEAST_FUZZY - 1 and plain not in self.known and any(f"{n}<{plain[:k]}" in self.halves or f"{n}>{plain[-k:]}" in self.halves for k in self.sizes):
             near = self.trie.near(plain, 1)
             return -max((self.words[t] for t in near), default=0.0)
         return 0.0
@@ -138,28 +144,45 @@ class Verdicts(dict):
 
 
 def evidence(text: str, verdicts: Verdicts) -> list[float]:
-    """What a score is made of: exact and misspelled hits in a direct voice, hits in quotation, address, density."""
+    """What a score is made of: exact and misspelled hits in a direct voice, quoted ones, and of the direct ones address, density and strength."""
     words = WORD.findall(text.lower())
     hits = [(at, v) for at, v in enumerate(map(verdicts.__getitem__, words)) if v]
     if not hits:
         return [0.0] * 6
-    exact = fuzzy = quoted = address = 0.0
-    places = [at for at, _ in hits]
+    exact = fuzzy = quoted = address = strong = 0.0
+    places = []
     for at, value in hits:
         before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
-        inside = any(w in QUOTES for w in before) and any(w in QUOTES for w in after) and sum(w in QUOTES for w in before) % 2 == 1
+        inside = sum(w in QUOTES for w in before) % 2 == 1 and any(w in QUOTES for w in after)
         if inside or any(w in REPORTING for w in before[-3:]):
             quoted += 1
-        elif value > 0:
+            continue
+        places.append(at)
+        if value > 0:
             exact += 1
         else:
             fuzzy += 1
+        strong = max(strong, abs(value))
         address += any(w in ADDRESS for w in before[-3:])
-    dense = max(sum(1 for p in places[k : k + 8] if p - at <= 2 * WINDOW) for k, at in enumerate(places))
-    strong = max(abs(v) for _, v in hits if v > 0) if any(v > 0 for _, v in hits) else 0.0
+    dense = max((sum(1 for p in places[k : k + 8] if p - at <= 2 * WINDOW) for k, at in enumerate(places)), default=0)
     return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(address), float(dense), strong]
 
 
+def altered(text: str, lexicon: Lexicon, rng: np.random.Generator) -> tuple[str, str] | None:
+    """The text with its terms misspelled, and with them quoted; None if it holds none that can be misspelled."""
+    found = [m for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= LEAST_FUZZY and m[0].lower() in lexicon.words]
+    if not found:
+        return None
+    wrong, quoted, at = [], [], 0
+    for m in found:
+        word, k = m[0], int(rng.integers(1, len(m[0])))
+        edits = (word[:k] + word[k + 1 :], word[:k] + word[k - 1] + word[k:], word[:k] + "aeiou"[int(rng.integers(5))] + word[k + 1 :])
+        wrong += [text[at : m.start()], edits[int(rng.integers(3))]]
+        quoted += [text[at : m.start()], f'"{word}"']
+        at = m.end()
+    return "".join(wrong) + text[at:], "".join(quoted) + text[at:]
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -195,30 +218,44 @@ def learn_lexicon(sample: Sequence[tuple[int, str]]) -> Lexicon:
             other[term].add(group)
     n_toxic, n_other = (len({g for g, _ in x}) for x in (by_class[1], by_class[0]))
     odds = {t: (n + 0.5) / (n_toxic + 1) * (n_other + 1) / (len(other[t]) + 0.5) for t, n in wanted.items()}
-    best = sorted((t for t in odds if odds[t] >= LEAST_RATIO), key=lambda t: (-wanted[t] * np.log(odds[t]), t))[:FIT_TERMS]
+    best = sorted((t for t in odds if odds[t] >= LEAST_RATIO), key=lambda t: (-wanted[t] * np.log(odds[t]), t))
     stems = {t[:-1]: float(np.log(odds[t])) for t in best if t[-1] == "*"}
     # A beginning that belongs to one known word only is no stem, and a longer one under a shorter one is not needed.
     words = {t: float(np.log(odds[t])) for t in best if t[-1] != "*"}
     full = {t: wanted[t] for t in words}
     stems = {s: v for s, v in stems.items() if wanted[s + "*"] > 1.2 * max((n for w, n in full.items() if w.startswith(s)), default=0)}
     stems = {s: v for s, v in stems.items() if not any(s[:n] in stems for n in STEMS if n < len(s))}
-    return Lexicon({w: v for w, v in words.items() if not any(w[:n] in stems for n in STEMS)}, stems)
+    lexicon = Lexicon(words, stems)
+    clean = set().union(*(w for _, w in by_class[0])) - words.keys()
+    lexicon.known = {w for w in clean if lexicon.verdict(w) < 0}
+    return lexicon
 
 
 def fit(sample: Sequence[tuple[int, str]]) -> Model | None:
-    """The model of labelled texts (toxic 0 or 1, text). The lexicon comes from one half and the weights from both."""
+    """The model of labelled texts (toxic 0 or 1, text)."""
     if len({t for t, _ in sample}) < 2:
         return None
+    halves: tuple[list, list] = ([], [])
+    for toxic, text in sample:
+        halves[zlib.crc32(text.encode()) % 2].append((toxic, text))
+    rng, rows, found = np.random.default_rng(11), [], []
+    for own, other in (halves, halves[::-1]):
+        verdicts = Verdicts(learn_lexicon(other))
+        for toxic, text in own:
+            both = altered(text, verdicts.lexicon, rng) if toxic else None
+            for t, x in [(toxic, text)] + ([(1, both[0]), (0, both[1])] if both else []):
+                rows.append((t, x))
+                found.append(evidence(x, verdicts))
     lexicon = learn_lexicon(sample)
-    verdicts = Verdicts(lexicon)
-    x = np.array([evidence(text, verdicts) for _, text in sample])
-    y = np.array([t for t, _ in sample], float)
-    # Hits raise a score; only what is quoted may count for nothing.
+    x = np.array(found)
+    y = np.array([t for t, _ in rows], float)
+    # Direct hits raise a score; what is quoted may lower it.
     w, b = np.zeros(x.shape[1]), 0.0
+    least = np.array([0, 0, -np.inf, 0, 0, 0])
     for _ in range(800):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         step = p - y
-        w = np.maximum(0, w - 0.3 * (x.T @ step / len(y) + 1e-4 * w))
+        w = np.maximum(least, w - 0.3 * (x.T @ step / len(y) + 1e-4 * w))
         b -= 0.3 * step.mean()
     return Model(lexicon, w.tolist(), float(b))
 
@@ -228,21 +265,19 @@ def fit_on(df: DataFrame, labels: DataFrame, learn_from: Column, id_column: str
     known = labels.where(F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("__toxic"))
     ids = known.where(learn_from).orderBy(F.xxhash64(id_column), id_column).limit(FIT_ROWS)
     chosen = df.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most FIT_ROWS ids
-    rows = df.select(id_column, F.substring(text_column, 1, FIT_CHARS).alias("__text")).join(F.broadcast(chosen), id_column)
+    rows = df.select(id_column, F.col(text_column).alias("__text")).join(F.broadcast(chosen), id_column)
     return fit([(int(r[1]), r[2] or "") for r in sorted(rows.select(id_column, "__toxic", "__text").collect(), key=lambda r: (r[0], r[2] or ""))])
 
 
 def score(df: DataFrame, model: Model | None, columns: list[str], text_column: str = "text", least: float = 0.3) -> DataFrame:
     """columns, n_hits_direct, n_hits_misspelled, n_hits_quoted, score and predicted (1 if score >= least)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most FIT_TERMS terms
-    kept: dict[int, Verdicts] = {}
+    shared = df.sparkSession.sparkContext.broadcast(model)  # what at most FIT_ROWS rows hold
 
     def run(texts: Iterable[bytes]) -> Iterator[tuple]:
         own = shared.value
-        if own is not None and 0 not in kept:
-            kept[0] = Verdicts(own.lexicon)
+        verdicts = worker_cache(("verdicts", shared), lambda: own and Verdicts(own.lexicon))
         for text in texts:
-            x = evidence(text.decode(), kept[0]) if own is not None else [0.0] * 6
+            x = evidence(text.decode(errors="replace"), verdicts) if own is not None else [0.0] * 6
             value = own.score(x) if own is not None else 0.0
             direct, misspelled, quoted = (int(round(np.expm1(v))) for v in x[:3])
             yield direct, misspelled, quoted, value, int(value >= least)

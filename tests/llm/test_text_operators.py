@@ -119,6 +119,27 @@ def test_safe_pieces_join_to_the_text():
     assert [i for p in pieces for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+def test_long_runs_encode_exactly():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = byte_bpe.encoding(path, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(12)
+    parts = ["a", "B", "é", "\n", " ", "  ", "\t", "中", "。", ",", "'s", "12", "…", " " * 600, "\n" * 700, " \n" * 400, "\x1c", "\xa0"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 40))))
+        assert [i for p, one in byte_bpe.matches_apart(text, 10) for i in byte_bpe.encoding(path, byte_bpe.ONE_MATCH if one else public_tokenizers.PATTERN).encode_ordinary(p)] == own.encode_ordinary(text)
+    blanks = [i for ids in byte_bpe.ids_of(path, public_tokenizers.PATTERN, " " * 1_500_000 + "x") for i in ids]
+    assert own.decode_bytes(blanks) == b" " * 1_500_000 + b"x"
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(x'61ff62' as string) as text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert byte_bpe.round_trip(df, path, public_tokenizers.PATTERN).first().decoded_sha256 == hashlib.sha256("a�b".encode()).hexdigest()
+    assert token_counts.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json"), 9).first().n_bytes == 3
+    assert packing.best_fit(df, public_tokenizers.path("word_bpe_49k.json")).count() == 1
+    assert quality_rules.judge(df, ["doc_id"]).first().n_words == 1
+
+
 def test_token_counts(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = token_counts.tokenizer(path)
@@ -274,6 +295,10 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, model, ["doc_id"]).collect()}
     assert all(got[i].predicted == t for i, _, t in rows[:400])
     assert got[500].predicted == got[501].predicted == 0 and got[502].predicted == 1 and got[503].n_hits_misspelled == 1
+    quoted = spark.createDataFrame([(1, 'he said "zorgul" and "krifnax" of the lamp'), (2, "lamp zorgul and krifnax of the river"), (3, "lamp zorgull and krfnax of the river"), (4, "don’t zorgul krifnax can’t")], docs.schema)
+    marks = {r.doc_id: r for r in toxicity.score(quoted, model, ["doc_id"]).collect()}
+    assert [marks[i].predicted for i in (1, 2, 3, 4)] == [0, 1, 1, 1] and marks[1].n_hits_quoted == 2 and marks[3].n_hits_misspelled == 2
+    assert marks[1].score < got[501].score
     assert toxicity.fit_on(docs, labels.limit(0), crc_fold("doc_id", 4) != 2) is None
     assert {r.score for r in toxicity.score(docs, None, ["doc_id"]).collect()} == {0.0}
 
