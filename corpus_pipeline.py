@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, quality rules, near-duplicates, packing. Each stage works on what the last one kept."""
+"""A corpus pipeline: language ID, quality rules, near-duplicates, packing. Each stage works on what the last one kept.
+
+Every stage takes any row: a null or empty text has no language and goes in the first stage; rows that repeat an id, and
+rows without one, are documents of their own; texts are read whole, however long; further columns pass through,
+whatever their names; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -33,12 +38,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    classes = near_dedup.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select("doc_id").distinct()
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest doc_id.
+
+    Rows are told apart by a key of their own, so rows that repeat a doc_id are judged by their texts. Nulls go first.
+    """
+    ws = Workspace(spark, "deduplicated")
+    # Written once, so the keys stay as they are.
+    keyed = ws.write(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")))
+    classes = near_dedup.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_column="key").select("key", "component_id")
+    named = classes.join(keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    gone = ws.write(classes.select("key").join(first, "key", "left_anti"))
     if gone.count() <= near_dedup.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = ws.write(stage(spark, docs, sf_dir))
+        ws.drop_all_but(docs)
     return docs
 
 
