@@ -6,10 +6,12 @@ Bands of registers retrieve candidates, the likelihood of a pair's registers (gi
 and every link is confirmed on the full sets.
 
 Only links between different components matter, so a bucket never yields all its pairs at once. Each member first
-meets a few leaders of its bucket (a number of rows linear in the bucket's size). Then, for the buckets that still
-hold several components, the pairs across components follow, best estimate first. What ends up unlinked has had
-every candidate pair across components compared by registers, and all that are plausible confirmed. A link of
-similarity 0.8 or more is missed at a probability of about 5e-7 by that comparison and 3e-8 by the bands.
+meets two leaders of its bucket (a number of rows linear in the bucket's size). Then, for the buckets that still
+hold several components, the pairs across components are compared inside blocks of the bucket: by registers, and where
+those leave 0.8 plausible by the full sets of shingle hashes, which the blocks carry. Only links that join two components
+leave a block, fewer than it has members, however many pairs were compared; they are confirmed on the texts. What ends
+up unlinked has had every candidate pair across components compared. A link of similarity 0.8 or more is missed at a
+probability of about 5e-7 by the registers and 3e-8 by the bands.
 
 Results for odd input: a null or blank text has no shingles, is linked with nothing and is kept; a row with a null id
 takes no part and is kept with a null component; rows that repeat an id are classed by their own text; ties go to
@@ -38,8 +40,8 @@ SLACK = 12.0
 FINE, FINE_SLACK = 640, 12.0
 #: Ids that may be broadcast to thin out the texts before a join (8 bytes each); beyond it a plain join does.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket in one block, about.
-BLOCK = 4096
+#: Members of a bucket in one block, and bytes of their shingle hashes, about.
+BLOCK, BLOCK_BYTES = 4096, 1 << 24
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, FINE, dtype=np.uint64)
@@ -227,19 +229,27 @@ def labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b, est), a < b: the pairs of a bucket that lie in different components and may reach `least`.
+def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b), a < b: links between members of a bucket that lie in different components; enough of them to join what is linked.
 
-    The documents of such buckets get FINE registers. In a bucket the members outside its largest component meet all its members. Both sides come in blocks, so a large
-    bucket is dealt to many tasks, and registers are compared inside a block: only plausible pairs become rows, each
-    in the first bucket that the two share.
+    The documents of such buckets get FINE registers. In a bucket the members outside its largest component meet all its
+    members. Both sides come in blocks, so a large bucket is dealt to many tasks. A pair is compared in the first bucket that
+    the two share, unless links of this block have joined their components before.
     """
+    least = percent / 100
     rows = labelled(nodes.select("node", "n", "keys"), comps).select("node", "n", "comp", F.explode("keys").alias("key"))
-    tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"))
-    tally = tally.where("k > most").select("key", "main", F.ceil(F.col("k") / BLOCK).alias("n_big"), F.ceil((F.col("k") - F.col("most")) / BLOCK).alias("n_small"))
+    tally = rows.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).groupBy("key")
+    tally = tally.agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"), F.sum("sum").alias("all"), F.max_by("sum", F.struct("count", "comp")).alias("main_sum"))
+    blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, 8 * n / BLOCK_BYTES)).cast("bigint")
+    tally = tally.where("k > most").select("key", "main", blocks(F.col("k"), F.col("all")).alias("n_big"), blocks(F.col("k") - F.col("most"), F.col("all") - F.col("main_sum")).alias("n_small"))
     rows = ws.write(rows.join(tally, "key").withColumn("out", F.col("comp") != F.col("main")))
-    fine = map_texts(only(texts, rows.select(F.col("node").alias("id")).distinct()), ["id"], "text", "regs binary", lambda ts: ((registers(shingle_hashes(t, size), FINE).tobytes(),) for t in ts))
-    fine = fine.groupBy(F.col("id").alias("node")).agg(F.first("regs").alias("regs"))
+
+    def both(ts: Iterable[bytes]) -> Iterator[tuple]:
+        for h in (shingle_hashes(t, size) for t in ts):
+            yield registers(h, FINE).tobytes(), h.tobytes()
+
+    fine = map_texts(only(texts, rows.select(F.col("node").alias("id")).distinct()), ["id"], "text", "regs binary, hashes binary", both)
+    fine = fine.groupBy(F.col("id").alias("node")).agg(F.first(F.struct("regs", "hashes")).alias("f")).select("node", "f.*")
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     columns = ["key", "node", "n", "comp", "out"]
@@ -248,8 +258,8 @@ def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
     dealt = big.union(small).join(fine, "node")
     parts = F.col("key"), F.col("i"), F.col("j")
 
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int, float]]:
-        """group: (key, node, n, comp, out, asks, regs) of one block."""
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        """group: (key, node, n, comp, out, asks, regs, hashes) of one block."""
         asking, all_ = [r for r in group if r[5]], [r for r in group if not r[5]]
         if not asking or not all_:
             return
@@ -260,10 +270,18 @@ def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
         keys = np.stack([band_keys(r) for r in regs])
         # Two sets of that similarity agree in so many registers at least, by far.
         agree = least - 5 * (least * (1 - least) / FINE) ** 0.5
-        for _, own, own_n, own_comp, _, _, own_regs in asking:
-            mine = np.frombuffer(own_regs, np.uint16)
+        parent: dict[int, int] = {}
+
+        def joined(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for _, own, own_n, own_comp, _, _, own_regs, own_hashes in asking:
+            mine, h = np.frombuffer(own_regs, np.uint16), np.frombuffer(own_hashes, np.uint64)
+            now = joined(own_comp)
             fits = least * np.maximum(n, own_n) <= np.minimum(n, own_n) + 1e-9
-            at = np.flatnonzero((comp != own_comp) & fits & (~out | (node > own)))
+            at = np.flatnonzero((comp != now) & fits & (~out | (node > own)))  # comp: as joined so far
             at = at[(mine == regs[at]).sum(1) >= agree * FINE]
             if not len(at):
                 continue
@@ -271,8 +289,14 @@ def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
             at = at[keys[at, shared.argmax(1)] == key]
             more, less = (mine > regs[at]).sum(1).astype(float), (mine < regs[at]).sum(1).astype(float)
             best, keep = likely(more, less, np.full(len(at), float(own_n)), n[at].astype(float), least, FINE, FINE_SLACK)
-            for k in np.flatnonzero(keep):
-                yield min(own, int(node[at[k]])), max(own, int(node[at[k]])), float(best[k])
+            for k in at[keep][np.argsort(-best[keep], kind="stable")]:
+                if comp[k] == now:
+                    continue
+                same = len(np.intersect1d(h, np.frombuffer(all_[k][7], np.uint64), assume_unique=True))
+                if 100 * same >= percent * (len(h) + n[k] - same):
+                    yield min(own, int(node[k])), max(own, int(node[k]))
+                    parent[int(comp[k])] = now
+                    comp[comp == comp[k]] = now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks follow each other in a sorted partition."""
@@ -289,11 +313,11 @@ def across_pairs(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
 
     def found(made: list) -> Iterator[pa.RecordBatch]:
         if made:
-            a, b, est = zip(*made)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.float64())], names=["a", "b", "est"])
+            a, b = zip(*made)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "regs", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint, est double")
+    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "regs", "hashes", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -324,13 +348,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     links2 = ws.write(confirmed(more, docs, size, percent))
     comps = components(ws, links2.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
-    across = ws.write(across_pairs(ws, nodes, comps, docs, size, least).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-    best = across.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
-    links3 = ws.write(confirmed(best, docs, size, percent))
+    across = ws.write(across_links(ws, nodes, comps, docs, size, percent))
+    links3 = ws.write(confirmed(across, docs, size, percent))
     comps = components(ws, links3.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
-    more = ws.write(rest(across, comps, best))
-    links4 = ws.write(confirmed(more, docs, size, percent))
-    comps = components(ws, links4.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
     classes = nodes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     out = ws.write(

@@ -76,6 +76,30 @@ def test_near_duplicates(spark, docs, rows, size):
     assert near_dedup.near_duplicates(empty(spark), size=size).count() == 0
 
 
+def test_borderline_copies_in_small_blocks(spark, monkeypatch):
+    """A group whose members are each near few others: links are found one by one, over many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(21)
+    words = [f"base{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(words)
+        for k in rng.choice(120, int(rng.integers(3, 9)), replace=False):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = {i: low if c == high else c for i, c in comp.items()}
+    assert 1 < len({*comp.values()}) < 90
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 500), dtype=np.uint64)
