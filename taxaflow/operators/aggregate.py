@@ -66,6 +66,7 @@ def violations(nodes: DataFrame, cover: DataFrame, node: str, tolerance: float =
         ("quantity above annotated quantity", quantity > F.col("annotated_quantity") + slack),
         ("ratio_total outside 0 to 1", ~F.col("ratio_total").between(-tolerance, 1 + tolerance)),
         ("ratio_annotated outside 0 to 1", ~F.col("ratio_annotated").between(-tolerance, 1 + tolerance)),
+        ("ratio_total above ratio_annotated", F.col("ratio_total") > F.col("ratio_annotated") + tolerance),
         ("more peptides than annotated", F.col("n_peptides") > F.col("n_annotated") if "n_annotated" in cover.columns else F.lit(False)),
     ]
     problems = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks]))

@@ -53,17 +53,31 @@ def lca(common: DataFrame, key: str = "peptide") -> DataFrame:
 def closure(edges: DataFrame, ids: DataFrame, edge_types: Iterable[str] = ("is_a",), include_self: bool = True) -> DataFrame:
     """go_id, ancestor of each id over the chosen edge types. Unknown and obsolete ids have themselves at most.
 
-    Semi-naive in doubled steps: known paths are joined with themselves until none is new.
+    Semi-naive: in each round only the pairs that the last one added take a further step, and only from the asked ids.
     """
-    chosen = edges.where(F.col("edge_type").isin(list(edge_types))).select("child", "parent").where("child <> parent").distinct()
-    paths, size = written(chosen), -1
-    while (now := paths.count()) != size:
-        size = now
-        longer = paths.join(paths.select(F.col("child").alias("parent"), F.col("parent").alias("next")), "parent").select("child", F.col("next").alias("parent"))
-        paths = written(paths.union(longer.where("child <> parent")).distinct())
-    own = ids.select("go_id").where("go_id is not null").distinct()
-    up = own.join(paths.select(F.col("child").alias("go_id"), F.col("parent").alias("ancestor")), "go_id")
-    return up.unionByName(own.select("go_id", F.col("go_id").alias("ancestor"))) if include_self else up
+    chosen = written(edges.where(F.col("edge_type").isin(list(edge_types))).select(F.col("child").alias("ancestor"), F.col("parent").alias("next")).where("child <> parent").distinct())
+    own = written(ids.select("go_id").where("go_id is not null").distinct())
+    known = new = own.select("go_id", F.col("go_id").alias("ancestor"))
+    while True:
+        step = new.join(chosen, "ancestor").select("go_id", F.col("next").alias("ancestor")).distinct()
+        new = written(step.join(known, ["go_id", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known if include_self else known.where("go_id <> ancestor")
+        known = known.unionByName(new)
+
+
+def ancestors(edges: DataFrame, term, terms: DataFrame | None = None, edge_types: Iterable[str] = ("is_a", "part_of")) -> tuple[DataFrame, DataFrame]:
+    """(go_id, ...; child, edge_type, parent): the ancestors of one term, itself included, and the edges between them.
+
+    terms: go_id of the terms to stay inside of, as a filtered view shows them; None for all.
+    """
+    if terms is not None:
+        inside = terms.select("go_id").distinct()
+        edges = edges.join(inside.withColumnRenamed("go_id", "child"), "child", "left_semi").join(inside.withColumnRenamed("go_id", "parent"), "parent", "left_semi")
+    kind = edges.schema["child"].dataType.simpleString()
+    found = closure(edges, edges.sparkSession.createDataFrame([(term,)], f"go_id {kind}"), edge_types).select(F.col("ancestor").alias("go_id"))
+    path = edges.where(F.col("edge_type").isin(list(edge_types))).join(found.withColumnRenamed("go_id", "child"), "child", "left_semi")
+    return found, path.select("child", "edge_type", "parent")
 
 
 def descendants(nodes: DataFrame, root: int, lines: DataFrame) -> DataFrame:

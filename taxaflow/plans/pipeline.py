@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, annotate, graphs, hits as hit_ops
 from ..params import FilterPolicy, GoOptions
+from .tables import written
 
 
 @dataclass
 class Annotated:
-    """What reports need, as long tables; each is planned when it is first asked for.
+    """What reports need, as long tables, each made when it is first asked for.
+
+    What several reports read (implied subjects, flags, lineages and terms of peptides) is written once, at that time.
 
     peptides: peptide, quantity. Either hits with a policy, or accepted pairs (query_id, subject_id).
     """
@@ -47,17 +50,17 @@ class Annotated:
 
     @cached_property
     def implied(self) -> DataFrame:
-        return annotate.implied_subjects(self.matches, self.accepted)
+        return written(annotate.implied_subjects(self.matches, self.accepted))
 
     @cached_property
     def flags(self) -> DataFrame:
         """peptide, quantity, is_annotated"""
-        return annotate.flagged(self.peptides, self.implied)
+        return written(annotate.flagged(self.peptides, self.implied))
 
     @cached_property
     def common(self) -> DataFrame:
         taxa_of = annotate.peptide_taxa(self.implied, self.subject_tax)
-        return graphs.common_ancestors(taxa_of, graphs.lineage(self.taxa, self.subject_tax.select("tax_id")))
+        return written(graphs.common_ancestors(taxa_of, graphs.lineage(self.taxa, self.subject_tax.select("tax_id"))))
 
     @cached_property
     def lcas(self) -> DataFrame:
@@ -70,7 +73,7 @@ class Annotated:
     @cached_property
     def terms_of(self) -> DataFrame:
         closed = graphs.closure(self.edges, self.subject_go.select("go_id"), self.go.edge_types, self.go.include_self)
-        return annotate.peptide_terms(self.implied, self.subject_go, closed)
+        return written(annotate.peptide_terms(self.implied, self.subject_go, closed))
 
     def coverage(self) -> DataFrame:
         return aggregate.coverage(self.flags)

@@ -11,19 +11,19 @@ from ..functions import text as fn
 from ..operators import aggregate, annotate, graphs, hierarchy, hits, matching
 from ..sinks import reports
 from ..sources.proteins import annotation_tables, parse_gaf
-from .views import POLICY, Views, sql
+from .views import POLICY, STRICT, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, *views: str):
+def query(oracle: str | None = None, *views: str, policy=POLICY):
     """Register a query under its function's name."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir, policy))
         if oracle:
-            ORACLE[f.__name__] = sql(oracle, *views) if views else oracle
+            ORACLE[f.__name__] = sql(oracle, *views, policy=policy) if views else oracle
         return f
 
     return add
@@ -115,12 +115,12 @@ def lineage(v):
     return graphs.lineage(v.taxa, v.taxa)
 
 
-@query("select peptide, lca_tax_id from lca", "lca")
+@query("select peptide, lca_tax_id from lca", "lca", policy=STRICT)
 def lca(v):
     return v.annotated.lcas
 
 
-@query("select peptide, tax_id from nodes_of", "nodes_of")
+@query("select peptide, tax_id from nodes_of", "nodes_of", policy=STRICT)
 def lca_lineage(v):
     return v.annotated.nodes_of
 
@@ -150,7 +150,7 @@ def coverage(v):
     return v.annotated.coverage()
 
 
-@query("select tax_id, quantity, ratio_total, ratio_annotated, n_peptides from tax_nodes", "tax_nodes")
+@query("select tax_id, quantity, ratio_total, ratio_annotated, n_peptides from tax_nodes", "tax_nodes", policy=STRICT)
 def taxonomy_nodes(v):
     return v.annotated.taxonomy_nodes()
 
@@ -160,12 +160,12 @@ def go_terms(v):
     return v.annotated.go_terms()
 
 
-@query("select * from combos", "combos")
+@query("select * from combos", "combos", policy=STRICT)
 def go_taxonomy_combo(v):
     return v.annotated.combos()
 
 
-@query("select cast(0 as bigint) as tax_id, '' as problem where false")
+@query("select cast(0 as bigint) as tax_id, '' as problem where false", policy=STRICT)
 def invariant_violations(v):
     return aggregate.violations(v.annotated.taxonomy_nodes(), v.annotated.coverage(), "tax_id")
 
@@ -198,7 +198,7 @@ def _drilled(v, **selection) -> DataFrame:
     return hierarchy.drill_down(v.annotated.mapping(), **selection).select("peptide", "background_protein", "annotated_protein")
 
 
-@query(_DRILL + _HAS_TAX, "mapping", "nodes_of", "lineage")
+@query(_DRILL + _HAS_TAX, "mapping", "nodes_of", "lineage", policy=STRICT)
 def drilldown_tax(v):
     return _drilled(v, tax_ids=_below(v))
 
@@ -208,7 +208,7 @@ def drilldown_go(v):
     return _drilled(v, go_id=35)
 
 
-@query(_DRILL + _HAS_TAX + " and " + _HAS_GO, "mapping", "nodes_of", "terms_of", "lineage")
+@query(_DRILL + _HAS_TAX + " and " + _HAS_GO, "mapping", "nodes_of", "terms_of", "lineage", policy=STRICT)
 def drilldown_both(v):
     return _drilled(v, tax_ids=_below(v), go_id=35)
 
@@ -218,7 +218,7 @@ def hierarchy_counts(v):
     return hierarchy.nested(v.annotated.mapping())
 
 
-@query("select * from combos where tax_id = 11", "combos")
+@query("select * from combos where tax_id = 11", "combos", policy=STRICT)
 def combo_slice_tax(v):
     return hierarchy.combo_slice(v.annotated.combos(), tax_id=11)
 
@@ -232,7 +232,7 @@ def _reported(v) -> DataFrame:
     return v.annotated.taxonomy_nodes().join(v.taxa, "tax_id")
 
 
-@query("select n.tax_id from tax_nodes n join lineage l on l.tax_id = n.tax_id and l.ancestor_id = 11 union select cast(11 as bigint)", "tax_nodes", "lineage")
+@query("select n.tax_id from tax_nodes n join lineage l on l.tax_id = n.tax_id and l.ancestor_id = 11 union select cast(11 as bigint)", "tax_nodes", "lineage", policy=STRICT)
 def descendants(v):
     return graphs.descendants(v.annotated.taxonomy_nodes(), 11, graphs.lineage(v.taxa, v.taxa))
 
@@ -259,20 +259,20 @@ def max_rank(v):
     return hierarchy.max_rank(v.taxa, "phylum").select("tax_id", "name", "rank")
 
 
-@query("select tax_id, ratio_total from reported where rank = 'root' or ratio_total >= 0.02", "reported")
+@query("select tax_id, ratio_total from reported where rank = 'root' or ratio_total >= 0.02", "reported", policy=STRICT)
 def min_ratio(v):
     return hierarchy.min_ratio(_reported(v), 0.02).select("tax_id", "ratio_total")
 
 
 @query(
     "select n.tax_id, case when n.parent_tax_id is null then 'no parent' else 'parent not in set' end as problem from reported n where n.rank <> 'kingdom' and n.rank <> 'root' and (n.parent_tax_id is null or n.parent_tax_id not in (select tax_id from reported where rank <> 'kingdom'))",
-    "reported",
+    "reported", policy=STRICT
 )
 def hierarchy_validation(v):
     return hierarchy.hierarchy_errors(_reported(v).where("rank <> 'kingdom'"))
 
 
-@query("select distinct parent_tax_id as parent from reported where parent_tax_id is not null and parent_tax_id not in (select tax_id from reported where rank <> 'kingdom')", "reported")
+@query("select distinct parent_tax_id as parent from reported where parent_tax_id is not null and parent_tax_id not in (select tax_id from reported where rank <> 'kingdom')", "reported", policy=STRICT)
 def dangling_parents(v):
     nodes = _reported(v)
     return hierarchy.dangling_parents(nodes.select(F.col("tax_id").alias("child"), F.col("parent_tax_id").alias("parent")), nodes.where("rank <> 'kingdom'").select(F.col("tax_id").alias("id")))
@@ -283,12 +283,12 @@ def domain_ancestor(v):
     return hierarchy.ranked_ancestor(v.taxa, "kingdom")
 
 
-@query("select n.parent_tax_id as source, n.tax_id as target, n.quantity as value from reported n where n.parent_tax_id in (select tax_id from reported)", "reported")
+@query("select n.parent_tax_id as source, n.tax_id as target, n.quantity as value from reported n where n.parent_tax_id in (select tax_id from reported)", "reported", policy=STRICT)
 def sankey_links(v):
     return hierarchy.links(_reported(v))
 
 
-@query("select tax_id, round((ratio_total - (select min(ratio_total) from tax_nodes)) / ((select max(ratio_total) from tax_nodes) - (select min(ratio_total) from tax_nodes)), 9) as normalized from tax_nodes", "tax_nodes")
+@query("select tax_id, round((ratio_total - (select min(ratio_total) from tax_nodes)) / ((select max(ratio_total) from tax_nodes) - (select min(ratio_total) from tax_nodes)), 9) as normalized from tax_nodes", "tax_nodes", policy=STRICT)
 def normalize_metric(v):
     return hierarchy.normalized(v.annotated.taxonomy_nodes(), "ratio_total", log=False).select("tax_id", F.round("normalized", 9).alias("normalized"))
 
@@ -356,6 +356,6 @@ def go_report(v):
     return reports.terms_report(v.annotated.go_terms(), v.terms, v.edges).select("go_id", "name", "namespace", "parent_go_ids", "quantity")
 
 
-@query("select n.tax_id, n.name, n.rank, n.parent_tax_id, n.quantity, n.n_peptides from reported n", "reported")
+@query("select n.tax_id, n.name, n.rank, n.parent_tax_id, n.quantity, n.n_peptides from reported n", "reported", policy=STRICT)
 def taxonomy_report(v):
     return reports.taxonomy_report(v.annotated.taxonomy_nodes(), v.taxa).select("tax_id", "name", "rank", "parent_tax_id", "quantity", "n_peptides")

@@ -11,12 +11,15 @@ from ..params import FilterPolicy, GoOptions
 from .pipeline import Annotated
 
 POLICY = FilterPolicy(max_evalue=0.08, top_k=1)
+#: With POLICY nearly every peptide has subjects in all branches of the tree, so that all lineages meet in the root. Queries
+#: on organisms use thresholds on hits that leave about as many subjects as peptides.
+STRICT = FilterPolicy(max_evalue=0.01, min_alnlen=48, top_k=1)
 N_TERMS = 127
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, policy: FilterPolicy = POLICY):
+        self.spark, self.sf_dir, self.policy = spark, sf_dir, policy
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -35,7 +38,7 @@ class Views:
 
     @property
     def matches(self) -> DataFrame:
-        return self.lineitem.where("l_quantity >= 48").select(F.col("l_partkey").alias("peptide"), F.col("l_orderkey").alias("protein_id")).distinct()
+        return self.lineitem.select(F.col("l_partkey").alias("peptide"), F.col("l_orderkey").alias("protein_id")).distinct()
 
     @property
     def hits(self) -> DataFrame:
@@ -81,18 +84,18 @@ class Views:
 
     @cached_property
     def annotated(self) -> Annotated:
-        return Annotated(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, POLICY, go=GoOptions())
+        return Annotated(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, self.policy, go=GoOptions())
 
 
 #: The same views for the oracle, each with the views it needs.
 SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "peptide": ("select l_partkey as peptide, sum(l_quantity) as quantity from lineitem group by l_partkey", ()),
-    "match_": ("select distinct l_partkey as peptide, l_orderkey as protein_id from lineitem where l_quantity >= 48", ()),
+    "match_": ("select distinct l_partkey as peptide, l_orderkey as protein_id from lineitem", ()),
     "hits": (
         "select l_orderkey as query_id, l_suppkey as subject_id, l_discount as evalue, l_quantity as bitscore, 100 * (1 - l_tax) as pident, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem",
         (),
     ),
-    "top_": ("select * from (select *, rank() over (partition by query_id order by bitscore desc) as r from hits where evalue <= 0.08) t where r <= 1", ("hits",)),
+    "top_": ("select * from (select *, rank() over (partition by query_id order by bitscore desc) as r from hits where {passes}) t where r <= 1", ("hits",)),
     "accepted": ("select distinct query_id, subject_id from top_", ("top_",)),
     "subject_tax": ("select s_suppkey as subject_id, s_suppkey + 1000 as tax_id from supplier", ()),
     "taxon": (
@@ -162,8 +165,9 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def sql(select: str, *views: str) -> str:
-    """The select with the views that it needs before it."""
+def sql(select: str, *views: str, policy: FilterPolicy = POLICY) -> str:
+    """The select with the views that it needs before it. The alignment length of these hits is their bit score."""
+    passes = f"evalue <= {policy.max_evalue}" + (f" and bitscore >= {policy.min_alnlen}" if policy.min_alnlen else "")
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -174,4 +178,4 @@ def sql(select: str, *views: str) -> str:
 
     for name in views:
         need(name)
-    return "with recursive " + ", ".join(f"{n} as ({SQL_VIEWS[n][0]})" for n in order) + " " + select
+    return "with recursive " + ", ".join(f"{n} as ({SQL_VIEWS[n][0]})" for n in order).replace("{passes}", passes) + " " + select

@@ -19,7 +19,9 @@ def read_peptides(spark: SparkSession, path: str, list_id: str = "list_000", alp
     if first is None or not first.value.strip():
         raise ValueError("line 1: empty")
     sep = "\t" if "\t" in first.value else ","
-    cells = lines.select("n", F.transform(F.split("value", sep), lambda x: stripped(F.regexp_replace(x, r'^\s*"|"\s*$', ""))).alias("c"))
+    # A separator inside quotes (one that an odd number of quotes follows) is part of its cell; a doubled quote is one.
+    cell = lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"')
+    cells = lines.select("n", F.transform(F.split("value", sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: stripped(cell(x))).alias("c"))
     head = cells.where("n = 1").select(F.size("c").alias("k"), is_numeric(F.get("c", F.lit(1))).alias("numeric")).first()
     if head.k < 2:
         raise ValueError("line 1: two columns are needed")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .lines import field, ordered_lines
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_hits(spark: SparkSession, path: str, columns: str = "query_id subject_id pident alnlen mismatch gapopen qstart qend sstart send evalue bitscore") -> DataFrame:
     """Tabular aligner output: query_id, subject_id, evalue, bitscore, pident, qcov, alnlen, line.
 
@@ -18,6 +23,8 @@ def read_hits(spark: SparkSession, path: str, columns: str = "query_id subject_i
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     parts = F.split("value", "\t")
+    if not exists(spark, path):  # no hits were written
+        return spark.createDataFrame([], "query_id string, subject_id string, evalue double, bitscore double, pident double, qcov double, alnlen int, line struct<file:string,block:bigint,n:bigint>")
     rows = ordered_lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("p", parts)
     at = {name: field(F.col("p"), k) for k, name in enumerate(names)}
     number = lambda name: at[name].cast("double")
@@ -43,8 +50,10 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     tags = rows.join(kinds, "stanza", "left_semi").where(F.contains("value", F.lit(":")))
     tags = tags.select("stanza", "line", F.regexp_extract("value", r"^([^:]+):\s*(.*)$", 1).alias("tag"), F.regexp_extract("value", r"^([^:]+):\s*(.*)$", 2).alias("v"))
     one = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.col("v")), F.when(F.col("tag") == tag, F.col("line")))
-    terms = tags.groupBy("stanza").agg(one("id").alias("go_id"), F.coalesce(one("name"), F.lit("")).alias("name"), F.coalesce(one("namespace"), F.lit("")).alias("namespace"), F.coalesce(one("is_obsolete") == "true", F.lit(False)).alias("is_obsolete"))
+    terms = tags.groupBy("stanza").agg(one("id").alias("go_id"), F.coalesce(one("name"), F.lit("")).alias("name"), F.coalesce(one("namespace"), F.lit("")).alias("namespace"), F.coalesce(F.lower(one("is_obsolete")) == "true", F.lit(False)).alias("is_obsolete"))
     terms = terms.where("go_id is not null")
+    # The last stanza of an id wins.
+    terms = terms.groupBy("go_id").agg(F.max(F.struct("stanza", "name", "namespace", "is_obsolete")).alias("t")).select("go_id", "t.*")
     words = F.split("v", r"\s+")
     edges = tags.where("tag in ('is_a', 'relationship')").join(terms.where("not is_obsolete").select("stanza", "go_id"), "stanza")
     kind = F.when(F.col("tag") == "is_a", "is_a").otherwise(F.get(words, F.lit(0)))
@@ -66,6 +75,19 @@ def read_go_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return terms.unionByName(old), edges
 
 
+def go_json(terms: DataFrame, edges: DataFrame) -> DataFrame:
+    """value: the normal form {terms, edges, obsolete_terms} that read_go_json reads, as one row: an ontology is one small file."""
+    entry = F.struct("go_id", F.struct("name", "namespace"))
+    named = terms.agg(*[F.map_from_entries(F.collect_list(F.when(F.col("is_obsolete") == old, entry))).alias(name) for name, old in (("terms", False), ("obsolete_terms", True))])
+    kinds = edges.groupBy("edge_type").agg(F.array_sort(F.collect_list(F.array("child", "parent"))).alias("pairs")).agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "pairs"))).alias("edges"))
+    return named.crossJoin(kinds).select(F.to_json(F.struct("terms", "edges", "obsolete_terms")).alias("value"))
+
+
+def taxonomy_json(taxa: DataFrame) -> DataFrame:
+    """value: one line for each node, `{"tax_id", "name", "rank", "parent_tax_id"}`, null parents left out; any number of nodes."""
+    return taxa.select(F.to_json(F.struct("tax_id", "name", "rank", "parent_tax_id")).alias("value"))
+
+
 def read_go(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if path.endswith(".obo"):
         return read_obo(spark, path)
@@ -88,13 +110,16 @@ def read_ncbi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
+    """tax_id, name, rank, parent_tax_id of {nodes}, or of a .jsonl folder or file of taxonomy_json's lines."""
+    if path.endswith(".jsonl"):
+        return spark.read.schema("tax_id bigint, name string, rank string, parent_tax_id bigint").json(path)
     text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", "struct<nodes:map<string,struct<name:string,rank:string,parent_tax_id:bigint>>>").alias("d"))
     return doc.select(F.explode("d.nodes").alias("tax_id", "t")).select(F.col("tax_id").cast("bigint"), "t.name", "t.rank", "t.parent_tax_id")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    return read_taxonomy_json(spark, path) if path.endswith(".json") else read_ncbi(spark, path)
+    return read_taxonomy_json(spark, path) if path.endswith((".json", ".jsonl")) else read_ncbi(spark, path)
 
 
 def read_mock_hits(spark: SparkSession, path: str) -> DataFrame:

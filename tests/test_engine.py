@@ -13,8 +13,9 @@ from taxaflow.plans.pipeline import Annotated
 from taxaflow.sinks import reports
 from taxaflow.sources import peptides, proteins, references
 
-CHAIN = {1: None, 10: 1, 20: 10, 30: 20, 40: 30, 50: 40, 60: 50, 70: 60, 71: 60, 41: 30, 51: 41, 61: 51, 72: 61, 11: 1, 21: 11, 31: 21, 42: 31, 52: 42, 62: 52, 73: 62}
-EDGES = [("is_a", c, p) for c, p in ((2, 1), (3, 1), (4, 2), (4, 3), (5, 2), (6, 3), (7, 4))] + [("part_of", 5, 3)]
+#: A small tree (id: parent) and graph of our own: 12 and 13 below 5, 41 in another branch.
+CHAIN = {2: None, 5: 2, 6: 2, 12: 5, 13: 5, 31: 12, 32: 12, 33: 13, 41: 6}
+EDGES = [("is_a", c, p) for c, p in ((102, 101), (103, 101), (110, 102), (111, 103))] + [("part_of", 111, 102)]
 
 
 def go(n):
@@ -24,14 +25,14 @@ def go(n):
 @pytest.fixture(scope="module")
 def scenario(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("scenario")
-    (d / "bg.fasta").write_text(">B1 first\nMPEPTIDE\nKAAA\n\n>B2\nTTTPEPTIDETTT\n>B3\nxxxxabcyyyy\n")
-    (d / "list.tsv").write_text("peptide_sequence\tquantity\nPEPTIDE\t10\nABC\t5\nNOMATCH\t3\n")
-    (d / "hits.json").write_text(json.dumps({"background_to_subjects": {"B1": ["U1", "U2"], "B2": ["U3"], "B3": []}}))
-    subjects = {"U1": (70, [go(4)]), "U2": (71, [go(5)]), "U3": (72, [go(6)]), "U4": (73, [go(7)]), "U5": (70, [])}
+    (d / "bg.fasta").write_text(">P10 first\nMKWAND\nERSK\n\n>P11\nGGWANDERQQ\n>P12\nllstreamll\n>P13\nVVVV\n")
+    (d / "list.tsv").write_text("peptide_sequence\tquantity\nWANDER\t12\nSTREAM\t4\nLOST\t8\n")
+    (d / "hits.json").write_text(json.dumps({"background_to_subjects": {"P10": ["S7"], "P11": ["S8", "S9"], "P12": []}}))
+    subjects = {"S6": (41, [go(110)]), "S7": (31, [go(110)]), "S8": (32, [go(111)]), "S9": (33, [go(103)])}
     (d / "subjects.json").write_text(json.dumps({"subjects": {k: {"tax_id": t, "go_terms": g} for k, (t, g) in subjects.items()}}))
     (d / "tax.json").write_text(json.dumps({"nodes": {str(i): {"name": f"n{i}", "rank": "r", "parent_tax_id": p} for i, p in CHAIN.items()}}))
     edges = {k: [[go(c), go(p)] for kind, c, p in EDGES if kind == k] for k in ("is_a", "part_of")}
-    (d / "go.json").write_text(json.dumps({"terms": {go(n): {"name": f"t{n}", "namespace": "biological_process"} for n in range(1, 8)}, "edges": edges}))
+    (d / "go.json").write_text(json.dumps({"terms": {go(n): {"name": f"t{n}", "namespace": "biological_process"} for n in (101, 102, 103, 110, 111)}, "edges": edges}))
     own = peptides.read_peptides(spark, f"{d}/list.tsv")
     found = matching.matches(own, proteins.last_records(proteins.read_fasta(spark, f"{d}/bg.fasta")))
     tax, terms_of = references.read_mock_annotations(spark, f"{d}/subjects.json")
@@ -42,20 +43,22 @@ def scenario(spark, tmp_path_factory):
 
 def test_scenario(scenario):
     run, terms, edges, taxa = scenario
-    assert {tuple(r) for r in run.matches.collect()} == {("PEPTIDE", "B1"), ("PEPTIDE", "B2"), ("ABC", "B3")}
+    assert {tuple(r) for r in run.matches.collect()} == {("WANDER", "P10"), ("WANDER", "P11"), ("STREAM", "P12")}
     c = run.coverage().first()
-    assert (c.total_quantity, c.annotated_quantity, c.unannotated_quantity, c.n_peptides, c.n_annotated, c.n_unannotated) == (18, 10, 8, 3, 1, 2)
-    assert abs(c.annotation_coverage_ratio - 10 / 18) < 1e-12
-    assert [tuple(r) for r in run.lcas.collect()] == [("PEPTIDE", 30)]
+    assert (c.total_quantity, c.annotated_quantity, c.unannotated_quantity, c.n_peptides, c.n_annotated, c.n_unannotated, c.annotation_coverage_ratio) == (24, 12, 12, 3, 1, 2, 0.5)
+    assert [tuple(r) for r in run.lcas.collect()] == [("WANDER", 5)]
     nodes = reports.taxonomy_report(run.taxonomy_nodes(), taxa).collect()
-    assert [(r.tax_id, r.parent_tax_id, r.quantity, r.ratio_annotated, r.n_peptides) for r in nodes] == [(1, None, 10, 1, 1), (10, 1, 10, 1, 1), (20, 10, 10, 1, 1), (30, 20, 10, 1, 1)]
+    assert [(r.tax_id, r.parent_tax_id, r.quantity, r.ratio_total, r.ratio_annotated, r.n_peptides) for r in nodes] == [(2, None, 12, 0.5, 1, 1), (5, 2, 12, 0.5, 1, 1)]
     rows = reports.terms_report(run.go_terms(), terms, edges, ("is_a", "part_of")).collect()
-    assert [(r.go_id, r.parent_go_ids) for r in rows] == [(go(1), ""), (go(2), go(1)), (go(3), go(1)), (go(4), f"{go(2)};{go(3)}"), (go(5), f"{go(2)};{go(3)}"), (go(6), go(3))]
+    assert [(r.go_id, r.parent_go_ids) for r in rows] == [(go(101), ""), (go(102), go(101)), (go(103), go(101)), (go(110), go(102)), (go(111), f"{go(102)};{go(103)}")]
     pairs = run.combos().collect()
-    assert len(pairs) == 24 and all((r.quantity, r.fraction_of_taxon, r.fraction_of_go) == (10, 1, 1) for r in pairs)
+    assert len(pairs) == 10 and all((r.quantity, r.fraction_of_taxon, r.fraction_of_go) == (12, 1, 1) for r in pairs)
+    report = reports.combo_report(run.combos(), taxa, terms, edges).collect()
+    assert (report[4].tax_id, report[4].go_id, report[4].parent_tax_id, report[4].parent_go_ids) == (2, go(111), None, f"{go(102)};{go(103)}") and len(report[0]) == 14
     mapped = run.mapping().orderBy("background_protein", "annotated_protein").collect()
-    assert [(r.peptide, r.background_protein, r.annotated_protein) for r in mapped] == [("PEPTIDE", "B1", "U1"), ("PEPTIDE", "B1", "U2"), ("PEPTIDE", "B2", "U3")]
-    assert all(r.peptide_lca_tax_ids == [1, 10, 20, 30] and len(r.peptide_go_terms) == 6 and r.evalue is None for r in mapped)
+    assert [(r.peptide, r.background_protein, r.annotated_protein) for r in mapped] == [("WANDER", "P10", "S7"), ("WANDER", "P11", "S8"), ("WANDER", "P11", "S9")]
+    assert all(r.peptide_lca_tax_ids == [2, 5] and len(r.peptide_go_terms) == 5 and r.evalue is None for r in mapped)
+    assert aggregate.violations(run.go_terms(), run.coverage(), "go_id").count() == 0
     assert aggregate.violations(run.taxonomy_nodes(), run.coverage(), "tax_id").count() == 0
 
 
@@ -63,7 +66,7 @@ def test_report_files(scenario, tmp_path):
     run, _, _, taxa = scenario
     reports.write_csv(reports.taxonomy_report(run.taxonomy_nodes(), taxa), f"{tmp_path}/t.csv")
     lines = (tmp_path / "t.csv").read_text().splitlines()
-    assert lines[1] == "1,n1,r,,10.0000000000,0.5555555556,1.0000000000,1" and len(lines) == 5
+    assert lines[1] == "2,n2,r,,12.0000000000,0.5000000000,1.0000000000,1" and len(lines) == 3
 
 
 def frame_of_hits(spark, rows):
@@ -71,7 +74,7 @@ def frame_of_hits(spark, rows):
     return spark.createDataFrame(rows, "query_id string, subject_id string, evalue double, bitscore double, pident double, qcov double, alnlen int, line int")
 
 
-@pytest.mark.parametrize("k, scores, want", [(2, (100, 90, 90, 70), 3), (1, (100, 100, 100, 90), 3), (2, (100, 90, 80, 70), 2), (None, (3, 2, 1, 0), 4)])
+@pytest.mark.parametrize("k, scores, want", [(2, (8, 5, 5, 1), 3), (1, (9, 9, 9, 2), 3), (3, (7, 6, 5, 4), 3), (None, (3, 2, 1, 0), 4)])
 def test_top_k_keeps_ties(spark, k, scores, want):
     df = frame_of_hits(spark, [("Q", f"S{i}", 1e-10, s) for i, s in enumerate(scores)])
     assert hits.accepted(df, FilterPolicy(top_k=k)).count() == want
@@ -94,11 +97,11 @@ def test_policy_rejects_bad_values():
 
 def test_lineage_and_lca_edge_cases(spark):
     taxa = spark.createDataFrame([(i, "n", "r", p) for i, p in CHAIN.items()] + [(80, "n", "r", 999), (90, "n", "r", 91), (91, "n", "r", 90)], "tax_id bigint, name string, rank string, parent_tax_id bigint")
-    sets = {"a": {70, 71}, "b": {70, 72}, "c": {70, 73}, "d": {70}, "e": {12345}, "f": {12345, 70}, "g": {30, 70}, "h": {80}}
+    sets = {"a": {31, 32}, "b": {31, 33}, "c": {31, 41}, "d": {31}, "e": {777}, "f": {777, 31}, "g": {12, 31}, "h": {80}}
     rows = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts] + [("n", None)], "peptide string, tax_id bigint")
     lines = graphs.lineage(taxa, rows.union(spark.createDataFrame([("x", 90)], rows.schema)))
     got = dict(map(tuple, graphs.lca(graphs.common_ancestors(rows, lines)).collect()))
-    assert got == {"a": 60, "b": 30, "c": 1, "d": 70, "e": 12345, "g": 30, "h": 80}
+    assert got == {"a": 12, "b": 5, "c": 2, "d": 31, "e": 777, "g": 12, "h": 80}
     assert {r.ancestor_id for r in lines.where("tax_id = 80").collect()} == {80, 999}
     assert {r.ancestor_id for r in lines.where("tax_id = 90").collect()} == {90, 91}
 
@@ -112,14 +115,14 @@ def test_lineage_of_a_deep_tree(spark):
 
 def test_closure(spark):
     edges = spark.createDataFrame([(c, k, p) for k, c, p in EDGES] + [(20, "is_a", 21), (21, "is_a", 20)], "child bigint, edge_type string, parent bigint")
-    ids = spark.createDataFrame([(5,), (7,), (20,), (99,)], "go_id bigint")
+    ids = spark.createDataFrame([(111,), (110,), (20,), (99,)], "go_id bigint")
     def closed(**options):
         out = {}
         for r in graphs.closure(edges, ids, **options).collect():
             out.setdefault(r.go_id, set()).add(r.ancestor)
         return out
-    assert closed() == {5: {5, 2, 1}, 7: {7, 4, 2, 3, 1}, 20: {20, 21}, 99: {99}}
-    assert closed(edge_types=("is_a", "part_of"), include_self=False) == {5: {2, 3, 1}, 7: {4, 2, 3, 1}, 20: {21}}
+    assert closed() == {111: {111, 103, 101}, 110: {110, 102, 101}, 20: {20, 21}, 99: {99}}
+    assert closed(edge_types=("is_a", "part_of"), include_self=False) == {111: {103, 102, 101}, 110: {102, 101}, 20: {21}}
 
 
 words = st.text("ABC", min_size=0, max_size=12)
@@ -140,27 +143,27 @@ def test_peptide_lists(spark, tmp_path):
         (tmp_path / "p.txt").write_text(text)
         return {r.peptide: r.quantity for r in peptides.read_peptides(spark, f"{tmp_path}/p.txt").collect()}
 
-    assert read("PEPTIDE\t10\nPEPT[+80]IDE\t5\n\nabc\tinf\n") == {"PEPTIDE": 15.0, "ABC": float("inf")}
-    assert read("seq,q\nPEPT[Phospho]IDE,1_0\n") == {"PEPTPHOSPHOIDE": 10.0}
+    assert read("WANDER\t3\nWAN[+16]DER\t4\n\nlost\tinf\n") == {"WANDER": 7.0, "LOST": float("inf")}
+    assert read("seq,q\nWAN[Acetyl]DER,2_0\n\"LO,ST\",1\n") == {"WANACETYLDER": 20.0, "LOST": 1.0}
     for text, message in (("seq\tq\nA\t1\nA\t2\n", "line 3: duplicate of line 2"), ("A\t1\n12\t1\n", "line 2"), ("A\t-1\n", "line 1"), ("A\tnan\n", "line 1"), ("A\n", "line 1")):
         with pytest.raises(ValueError, match=message):
             read(text)
 
 
 def test_formats(spark, tmp_path):
-    (tmp_path / "f.fasta").write_text(">sp|Q21HH2|RS2_X Some OX=266940 GN=a\nMA\n>sp|P00001|NONE no taxon\nMK\n")
+    (tmp_path / "f.fasta").write_text(">sp|O43210|ABC_X Some OX=4242 GN=a\nMA\n>sp|P00001|NONE no taxon\nMK\n")
     taxa = proteins.read_fasta_taxa(spark, f"{tmp_path}/f.fasta")
-    assert [(r.accession, r.tax_id) for r in taxa.collect()] == [("Q21HH2", 266940)]
-    cells = lambda q, e: "\t".join(["U", "Q21HH2", "s", q, go(1), "r", e, "w", "F"])
+    assert [(r.accession, r.tax_id) for r in taxa.collect()] == [("O43210", 4242)]
+    cells = lambda q, e: "\t".join(["U", "O43210", "s", q, go(1), "r", e, "w", "F"])
     (tmp_path / "g.gaf").write_text("!c\n" + "\n".join([cells("enables", "IEA"), cells("NOT|enables", "IEA"), cells("enables", "ND"), "short\tline"]) + "\n")
     gaf = proteins.read_gaf(spark, f"{tmp_path}/g.gaf")
     assert gaf.count() == 1 and proteins.read_gaf(spark, f"{tmp_path}/g.gaf", exclude_not=False, exclude_nd=False).count() == 3
     taxonomy, annotations = proteins.annotation_tables(taxa, gaf)
-    assert taxonomy.count() == 1 and [tuple(r) for r in annotations.collect()] == [("Q21HH2", go(1), "F")]
-    (tmp_path / "o.obo").write_text("format-version: 1\n\n[Term]\nid: GO:1\nname: root\nnamespace: bp\n\n[Term]\nid: GO:2\nname: child ! odd\nnamespace: bp\nis_a: GO:1 ! root\nrelationship: part_of GO:3 ! x\n[Term]\nid: GO:4\nname: old\nis_obsolete: true\n[Typedef]\nid: part_of\n")
+    assert taxonomy.count() == 1 and [tuple(r) for r in annotations.collect()] == [("O43210", go(1), "F")]
+    (tmp_path / "o.obo").write_text("format-version: 1\n\n[Term]\nid: GO:1\nname: root\nnamespace: bp\n\n[Term]\nid: GO:2\nname: child ! odd\nnamespace: bp\nis_a: GO:1 ! root\nrelationship: part_of GO:3 ! x\n[Term]\nid: GO:4\nname: old\nis_obsolete: True\n[Term]\nid: GO:2\nname: child again\nnamespace: bp\nis_a: GO:4\n[Typedef]\nid: part_of\n")
     terms, edges = references.read_go(spark, f"{tmp_path}/o.obo")
-    assert {(r.go_id, r.name, r.is_obsolete) for r in terms.collect()} == {("GO:1", "root", False), ("GO:2", "child", False), ("GO:4", "old", True)}
-    assert {tuple(r) for r in edges.collect()} == {("GO:2", "is_a", "GO:1"), ("GO:2", "part_of", "GO:3")}
+    assert {(r.go_id, r.name, r.is_obsolete) for r in terms.collect()} == {("GO:1", "root", False), ("GO:2", "child again", False), ("GO:4", "old", True)}
+    assert {tuple(r) for r in edges.collect()} == {("GO:2", "is_a", "GO:4")}
     (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tdomain\t|\n10\t|\t2\t|\tphylum\t|\n")
     (tmp_path / "names.dmp").write_text("1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tBacteria\t|\t\t|\tscientific name\t|\n2\t|\tx\t|\t\t|\tsynonym\t|\n")
     assert {tuple(r) for r in references.read_taxonomy(spark, str(tmp_path)).collect()} == {(1, "root", "no rank", None), (2, "Bacteria", "domain", 1), (10, "taxid_10", "phylum", 2)}
@@ -169,9 +172,9 @@ def test_formats(spark, tmp_path):
 
 
 def test_scalar_functions(spark):
-    df = spark.createDataFrame([("sp|P12345-2|X",), ("A0A024R161",), ("zz|Q1|n",), ("plain",)], "s string")
+    df = spark.createDataFrame([("sp|Q7Z3K5-3|X",), ("C4K2D7",), ("zz|Q1|n",), ("plain",)], "s string")
     got = df.select(fn.accession(F.col("s")), fn.uniprot_accession(F.col("s")), fn.uniprot_url(F.col("s"))).collect()
-    assert [r[0] for r in got] == ["P12345-2", "A0A024R161", "Q1", "plain"] and [r[1] for r in got] == ["P12345-2", "A0A024R161", None, None]
+    assert [r[0] for r in got] == ["Q7Z3K5-3", "C4K2D7", "Q1", "plain"] and [r[1] for r in got] == ["Q7Z3K5-3", "C4K2D7", None, None]
     out = spark.range(1).select(fn.wrapped(F.lit("A" * 5), 2), fn.short_label(F.lit("x" * 41)), fn.term_label(F.lit("n"), F.lit(True))).first()
     assert tuple(out) == ("AA\nAA\nA", "x" * 37 + "...", "OBSOLETE: n")
 
