@@ -253,18 +253,19 @@ def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     columns = ["key", "node", "n", "comp", "out"]
-    big = rows.select(*columns, spread("n_big").alias("i"), upto("n_small").alias("j"), F.lit(False).alias("asks"))
-    small = rows.where("out").select(*columns, upto("n_big").alias("i"), spread("n_small").alias("j"), F.lit(True).alias("asks"))
+    # A member that asks and is asked in the same block goes there once.
+    big = rows.select("*", spread("n_big").alias("i"), upto("n_small").alias("j")).withColumn("asks", F.col("out") & (F.col("j") == spread("n_small"))).withColumn("asked", F.lit(True))
+    small = rows.where("out").select("*", upto("n_big").alias("i"), spread("n_small").alias("j")).where(F.col("i") != spread("n_big")).withColumn("asks", F.lit(True)).withColumn("asked", F.lit(False))
     dealt = big.union(small).join(fine, "node")
     parts = F.col("key"), F.col("i"), F.col("j")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        """group: (key, node, n, comp, out, asks, regs, hashes) of one block."""
-        asking, all_ = [r for r in group if r[5]], [r for r in group if not r[5]]
+        """group: (key, node, n, comp, out, asks, asked, regs, hashes) of one block."""
+        asking, all_ = [r for r in group if r[5]], [r for r in group if r[6]]
         if not asking or not all_:
             return
         key = group[0][0]
-        regs = np.frombuffer(b"".join(r[6] for r in all_), np.uint16).reshape(-1, FINE)
+        regs = np.frombuffer(b"".join(r[7] for r in all_), np.uint16).reshape(-1, FINE)
         node, n, comp = (np.array([r[c] for r in all_], np.int64) for c in (1, 2, 3))
         out = np.array([r[4] for r in all_], bool)
         keys = np.stack([band_keys(r) for r in regs])
@@ -277,7 +278,7 @@ def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
                 c = parent[c]
             return c
 
-        for _, own, own_n, own_comp, _, _, own_regs, own_hashes in asking:
+        for _, own, own_n, own_comp, _, _, _, own_regs, own_hashes in asking:
             mine, h = np.frombuffer(own_regs, np.uint16), np.frombuffer(own_hashes, np.uint64)
             now = joined(own_comp)
             fits = least * np.maximum(n, own_n) <= np.minimum(n, own_n) + 1e-9
@@ -292,7 +293,7 @@ def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
             for k in at[keep][np.argsort(-best[keep], kind="stable")]:
                 if comp[k] == now:
                     continue
-                same = len(np.intersect1d(h, np.frombuffer(all_[k][7], np.uint64), assume_unique=True))
+                same = len(np.intersect1d(h, np.frombuffer(all_[k][8], np.uint64), assume_unique=True))
                 if 100 * same >= percent * (len(h) + n[k] - same):
                     yield min(own, int(node[k])), max(own, int(node[k]))
                     parent[int(comp[k])] = now
@@ -316,7 +317,7 @@ def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
             a, b = zip(*made)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "regs", "hashes", "i", "j")
+    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "asked", "regs", "hashes", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
