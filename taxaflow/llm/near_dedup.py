@@ -207,29 +207,25 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "n", F.explode("keys").alias("key"))
-
-
-def leader_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with two of its members, chosen by id and by hash.
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, leads): the members of the buckets that hold several, with two leaders, chosen by id and by hash.
 
     The choice is the same in each bucket, so the many buckets of one group of copies yield the same pairs.
     """
-    rows = bucket_rows(nodes)
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     me = F.struct("node", "n")
-    spread = F.xxhash64("node")
-    leads = rows.groupBy("key").agg(F.min(me).alias("first"), F.min_by(me, spread).alias("low"), F.count("*").alias("k")).where("k > 1")
-    met = rows.join(leads.select("key", F.array("first", "low").alias("leads")), "key").select("node", "n", F.explode("leads").alias("lead"))
-    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    return met.where((F.col("node") != F.col("lead.node")) & fits).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    leads = rows.groupBy("key").agg(F.min(me).alias("first"), F.min_by(me, F.xxhash64("node")).alias("low"), F.count("*").alias("k")).where("k > 1")
+    return rows.join(leads.select("key", F.array("first", "low").alias("leads")), "key").select("key", "node", "n", "leads")
 
 
-def labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def leader_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the leaders of it."""
+    met = buckets.select("node", "n", F.explode("leads").alias("lead"))
+    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    return met.where((F.col("node") != F.col("lead.node")) & fits).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def across_links(ws: Workspace, buckets: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b), a < b: links between members of a bucket that lie in different components; enough of them to join what is linked.
 
     The documents of such buckets get FINE registers. In a bucket the members outside its largest component meet all its
@@ -237,7 +233,7 @@ def across_links(ws: Workspace, nodes: DataFrame, comps: DataFrame, texts: DataF
     the two share, unless links of this block have joined their components before.
     """
     least = percent / 100
-    rows = labelled(nodes.select("node", "n", "keys"), comps).select("node", "n", "comp", F.explode("keys").alias("key"))
+    rows = buckets.select("key", "node", "n").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "key")
     tally = rows.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).groupBy("key")
     tally = tally.agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("k"), F.max("count").alias("most"), F.sum("sum").alias("all"), F.max_by("sum", F.struct("count", "comp")).alias("main_sum"))
     blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, 8 * n / BLOCK_BYTES)).cast("bigint")
@@ -334,7 +330,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         all_sketches.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
     )
 
-    candidates = ws.write(estimated(leader_pairs(nodes, percent), nodes, least))
+    buckets = ws.write(shared_buckets(nodes))
+    candidates = ws.write(estimated(leader_pairs(buckets, percent), nodes, least))
     best = candidates.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
     links = ws.write(confirmed(best, docs, size, percent))
     comps = components(ws, links)
@@ -349,7 +346,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     links2 = ws.write(confirmed(more, docs, size, percent))
     comps = components(ws, links2.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
-    across = ws.write(across_links(ws, nodes, comps, docs, size, percent))
+    across = ws.write(across_links(ws, buckets, comps, docs, size, percent))
     links3 = ws.write(confirmed(across, docs, size, percent))
     comps = components(ws, links3.union(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
