@@ -7,9 +7,9 @@ and every link is confirmed on the full sets.
 
 Only links between different components matter, so a bucket never yields all its pairs at once. Each member first
 meets two leaders of its bucket (a number of rows linear in the bucket's size). Then, for the buckets that still
-hold several components, the pairs across components are compared inside blocks of the bucket: by registers, and where
-those leave 0.8 plausible by the full sets of shingle hashes, which the blocks carry. Only links that join two components
-leave a block, fewer than it has members, however many pairs were compared; they are confirmed on the texts. What ends
+hold several components, the pairs across components are compared inside blocks of the bucket: first by registers, which
+leaves the members with a plausible partner; blocks of those alone carry full sets of shingle hashes, and compare them.
+Only links that join two components leave a block, fewer than it has members; they are confirmed on the texts. What ends
 up unlinked has had every candidate pair across components compared. A link of similarity 0.8 or more is missed at a
 probability of about 5e-7 by the registers and 3e-8 by the bands.
 
@@ -20,7 +20,7 @@ the smallest id; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_texts
+from .common import Workspace, _arrow, map_texts
 
 #: Registers, their base, rate and largest value; registers in a band. At a similarity of 0.8 two sets
 #: share no band with probability 3e-8.
@@ -240,23 +240,33 @@ def across_links(ws: Workspace, buckets: DataFrame, comps: DataFrame, texts: Dat
     tally = tally.where("k > most").select("key", "main", blocks(F.col("k"), F.col("all")).alias("n_big"), blocks(F.col("k") - F.col("most"), F.col("all") - F.col("main_sum")).alias("n_small"))
     rows = ws.write(rows.join(tally, "key").withColumn("out", F.col("comp") != F.col("main")))
 
-    def both(ts: Iterable[bytes]) -> Iterator[tuple]:
-        for h in (shingle_hashes(t, size) for t in ts):
-            yield registers(h, FINE).tobytes(), h.tobytes()
+    def fine(ts: Iterable[bytes]) -> Iterator[tuple]:
+        for t in ts:
+            yield (registers(shingle_hashes(t, size), FINE).tobytes(),)
+
+    def whole(ts: Iterable[bytes]) -> Iterator[tuple]:
+        for t in ts:
+            yield (shingle_hashes(t, size).tobytes(),)
+
+    def made_of(rows: DataFrame, written: DataFrame, name: str, make: Callable) -> DataFrame:
+        """rows with what `make` gives for the text of their node; written: a table of those nodes."""
+        made = map_texts(only(texts, written.select(F.col("node").alias("id")).distinct()), ["id"], "text", f"{name} binary", make)
+        return rows.join(made.groupBy(F.col("id").alias("node")).agg(F.first(name).alias(name)), "node")
 
-    fine = map_texts(only(texts, rows.select(F.col("node").alias("id")).distinct()), ["id"], "text", "regs binary, hashes binary", both)
-    fine = fine.groupBy(F.col("id").alias("node")).agg(F.first(F.struct("regs", "hashes")).alias("f")).select("node", "f.*")
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    columns = ["key", "node", "n", "comp", "out"]
     # A member that asks and is asked in the same block goes there once.
     big = rows.select("*", spread("n_big").alias("i"), upto("n_small").alias("j")).withColumn("asks", F.col("out") & (F.col("j") == spread("n_small"))).withColumn("asked", F.lit(True))
     small = rows.where("out").select("*", upto("n_big").alias("i"), spread("n_small").alias("j")).where(F.col("i") != spread("n_big")).withColumn("asks", F.lit(True)).withColumn("asked", F.lit(False))
-    dealt = big.union(small).join(fine, "node")
     parts = F.col("key"), F.col("i"), F.col("j")
+    light = "key bigint, node bigint, n bigint, comp bigint, out boolean, asks boolean, asked boolean, regs binary, i bigint, j bigint"
+    names = [c.split()[0] for c in light.split(", ")]
+
+    def meetings(group: list[tuple], parent: dict[int, int]) -> Iterator[tuple]:
+        """For each asking row of one block: it, its component, the asked rows, their components, the plausible ones, best first.
 
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        """group: (key, node, n, comp, out, asks, asked, regs, hashes) of one block."""
+        group: rows as in `light`. parent: components that were joined to others, as the caller finds links.
+        """
         asking, all_ = [r for r in group if r[5]], [r for r in group if r[6]]
         if not asking or not all_:
             return
@@ -267,16 +277,11 @@ def across_links(ws: Workspace, buckets: DataFrame, comps: DataFrame, texts: Dat
         keys = np.stack([band_keys(r) for r in regs])
         # Two sets of that similarity agree in so many registers at least, by far.
         agree = least - 5 * (least * (1 - least) / FINE) ** 0.5
-        parent: dict[int, int] = {}
-
-        def joined(c: int) -> int:
-            while c in parent:
-                c = parent[c]
-            return c
-
-        for _, own, own_n, own_comp, _, _, _, own_regs, own_hashes in asking:
-            mine, h = np.frombuffer(own_regs, np.uint16), np.frombuffer(own_hashes, np.uint64)
-            now = joined(own_comp)
+        for row in asking:
+            _, own, own_n, now = row[:4]
+            mine = np.frombuffer(row[7], np.uint16)
+            while now in parent:
+                now = parent[now]
             fits = least * np.maximum(n, own_n) <= np.minimum(n, own_n) + 1e-9
             at = np.flatnonzero((comp != now) & fits & (~out | (node > own)))  # comp: as joined so far
             at = at[(mine == regs[at]).sum(1) >= agree * FINE]
@@ -286,35 +291,54 @@ def across_links(ws: Workspace, buckets: DataFrame, comps: DataFrame, texts: Dat
             at = at[keys[at, shared.argmax(1)] == key]
             more, less = (mine > regs[at]).sum(1).astype(float), (mine < regs[at]).sum(1).astype(float)
             best, keep = likely(more, less, np.full(len(at), float(own_n)), n[at].astype(float), least, FINE, FINE_SLACK)
-            for k in at[keep][np.argsort(-best[keep], kind="stable")]:
+            yield row, now, all_, comp, at[keep][np.argsort(-best[keep], kind="stable")]
+
+    def plausible(group: list[tuple]) -> Iterator[tuple]:
+        """The rows of a block that have a plausible partner in it."""
+        chosen = {}
+        for row, _, all_, _, at in meetings(group, {}):
+            for r in [row, *(all_[k] for k in at)] if len(at) else ():
+                chosen[r[1]] = r
+        yield from chosen.values()
+
+    def linked(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        """The links of a block, by full sets of hashes, that join two components."""
+        parent: dict[int, int] = {}
+        for row, now, all_, comp, at in meetings(group, parent):
+            h = np.frombuffer(row[-1], np.uint64)
+            for k in at:
                 if comp[k] == now:
                     continue
-                same = len(np.intersect1d(h, np.frombuffer(all_[k][8], np.uint64), assume_unique=True))
-                if 100 * same >= percent * (len(h) + n[k] - same):
-                    yield min(own, int(node[k])), max(own, int(node[k]))
+                same = len(np.intersect1d(h, np.frombuffer(all_[k][-1], np.uint64), assume_unique=True))
+                if 100 * same >= percent * (len(h) + all_[k][2] - same):
+                    yield min(row[1], all_[k][1]), max(row[1], all_[k][1])
                     parent[int(comp[k])] = now
                     comp[comp == comp[k]] = now
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks follow each other in a sorted partition."""
-        last, group, made = None, [], []
-        for batch in batches:
-            for *row, i, j in zip(*(c.to_pylist() for c in batch.columns)):
-                if (row[0], i, j) != last:
-                    made += compare(group)
-                    last, group = (row[0], i, j), []
-                group.append(row)
-            yield from found(made)
-            made = []
-        yield from found(list(compare(group)))
-
-    def found(made: list) -> Iterator[pa.RecordBatch]:
-        if made:
-            a, b = zip(*made)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts).select(*columns, "asks", "asked", "regs", "hashes", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    def by_block(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        """fn over the rows of each block; the blocks follow each other in a sorted partition."""
+        types = [_arrow(f.split()[1]) for f in schema.split(", ")]
+        fields = [f.split()[0] for f in schema.split(", ")]
+
+        def batch_of(made: list) -> Iterator[pa.RecordBatch]:
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made), types)], names=fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, group = None, []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (row[0], row[8], row[9]) != last:
+                        yield from batch_of(list(fn(group)))
+                        last, group = (row[0], row[8], row[9]), []
+                    group.append(row)
+            yield from batch_of(list(fn(group)))
+
+        return rows.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(run, schema)
+
+    dealt = made_of(big.union(small), rows, "regs", fine).select(*names)
+    chosen = ws.write(by_block(dealt, plausible, light))
+    return by_block(made_of(chosen, chosen, "hashes", whole).select(*names, "hashes"), linked, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
