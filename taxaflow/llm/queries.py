@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, html_extract, langid, license_scan, near_dedup, packing, quality_rules, sharding, token_counts, toxicity
+from . import ann, byte_bpe, html_extract, langid, license_scan, near_dedup, packing, quality_rules, sharding, token_counts, toxicity, whitening
 from .common import crc_fold
 
 
@@ -62,6 +62,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
