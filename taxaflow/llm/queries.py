@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, html_extract, langid, license_scan, near_dedup, packing, quality_rules, sharding, token_counts, toxicity, whitening
+from . import ann, byte_bpe, html_extract, langid, license_scan, near_dedup, packing, periodic_runs, quality_rules, sharding, token_counts, toxicity, whitening
 from .common import crc_fold
 
 
@@ -67,6 +67,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    out = periodic_runs.find_runs(table(spark, sf_dir, "documents"), ["doc_id"], loop=F.when(h % 10 == 0, F.floor(h / 10)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("start"), (-r.period).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("r"), F.array_join(line, "").alias("lines"), "collapsed")
+    start, length, period = -F.col("r.start"), F.col("r.length"), -F.col("r.period")
+    return out.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
