@@ -1,19 +1,34 @@
-"""Which patterns occur in which texts: three strategies with equal results.
-
-`contains` sends the patterns to every task and tests each text (few patterns). `seed` joins on a short seed, so that
-neither side has to fit in memory (many patterns). `automaton` scans each text once for all patterns of a bounded set.
+"""Which patterns occur in which texts: two strategies with equal results.
+
+`contains` sends the patterns to every task and tests each text: for very few patterns. `seed` joins each pattern's rarest
+stretch of SEED letters with the texts' stretches, and verifies the whole pattern where its stretch was found:
+
+1. Texts are cut into overlapping pieces, so that no step depends on how long a text is, and pieces into stretches.
+2. Stretches that occur in a pattern are counted over all texts. A pattern with a stretch that no text has matches nothing;
+   each other pattern takes its rarest one, with its place in the pattern.
+3. The chosen stretches join the texts' stretches. One whose occurrences times patterns are many is dealt to several tasks
+   on the texts' side (salted), so neither a common stretch nor many patterns that share one make a large task.
+4. The letters around an occurrence travel with it, and hold all of a pattern of ordinary length. Only candidates of longer
+   patterns join their text again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns up to which they are broadcast, and longest seed.
-FEW_PATTERNS, SEED = 1000, 8
+from ..plans.tables import written
+
+#: Patterns, and bytes of them, up to which they are broadcast and tested one by one.
+FEW_PATTERNS, FEW_BYTES = 8, 1 << 16
+#: Letters of a seed, of a piece's own part, and around a seed on either side.
+SEED, PIECE, AROUND = 6, 128, 64
+#: Bytes of texts (as the optimizer estimates them) up to which they are dealt to all cores first, as such a table is one file or row group.
+SMALL_BYTES = 1 << 28
+#: Chosen seeds up to which they are broadcast (8 bytes each, as hashes) to leave out stretches that no pattern chose.
+BROADCAST_SEEDS = 2_000_000
+#: Occurrences times patterns of a seed in one task, at least; and how many parts of all of them a task may hold.
+CELL, PARTS = 200_000, 1000
 
 
 def matches(patterns: DataFrame, texts: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -24,55 +39,112 @@ def matches(patterns: DataFrame, texts: DataFrame, strategy: str = "auto") -> Da
     patterns = patterns.select("peptide").where("peptide <> ''").distinct()
     texts = texts.select("protein_id", F.upper("sequence").alias("sequence")).where("sequence is not null")
     if strategy == "auto":
-        strategy = "contains" if patterns.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS else "seed"
-    return {"contains": by_contains, "seed": by_seed, "automaton": by_automaton}[strategy](patterns, texts).distinct()
+        some = patterns.limit(FEW_PATTERNS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("peptide")).alias("bytes")).first()
+        strategy = "contains" if some.n <= FEW_PATTERNS and (some.bytes or 0) <= FEW_BYTES else "seed"
+    return {"contains": by_contains, "seed": by_seed}[strategy](patterns, texts).distinct()
 
 
 def by_contains(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """For patterns whose number has been checked."""
+    """For patterns whose number and size have been checked."""
     found = texts.join(F.broadcast(patterns), F.contains("sequence", "peptide"))
     return found.select("peptide", "protein_id")
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """The texts on all cores, if they are few."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else texts
+
+
+def pieces(texts: DataFrame, around: int) -> DataFrame:
+    """protein_id, piece, lead: pieces of PIECE letters of their own, with `around` letters (lead) before and some more behind."""
+    number = F.floor((F.length("sequence") - 1) / PIECE)
+    rows = texts.where("sequence <> ''").select("protein_id", "sequence", F.explode(F.sequence(F.lit(0), number.cast("int"))).alias("k"))
+    lead = F.when(F.col("k") == 0, 0).otherwise(around)
+    return rows.select("protein_id", F.substring("sequence", F.col("k") * PIECE - lead + 1, lead + PIECE + SEED - 1 + around).alias("piece"), lead.alias("lead"))
+
+
+def stretches(rows: DataFrame, text: str, first: Column, last: Column, size: int) -> DataFrame:
+    """The rows with each place (from 0, first to last) of a stretch of `size` letters of the text, and the stretch."""
+    places = F.when(last >= first, F.sequence(first, last))
+    return rows.withColumn("place", F.explode(places)).withColumn("seed", F.substring(F.col(text), F.col("place") + 1, size))
+
+
+def text_stretches(texts: DataFrame, size: int, around: int = 0) -> DataFrame:
+    """protein_id, piece, lead, place, seed: each stretch of the texts once, in the piece whose own part it starts in."""
+    end = F.least(F.col("lead") + PIECE - 1, F.length("piece") - size)
+    return stretches(pieces(texts, around), "piece", F.col("lead").cast("int"), end.cast("int"), size)
+
+
 def by_seed(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """Equi-join on a pattern's first letters; the text joins again only for the candidates."""
-    size = F.least(F.length("peptide"), F.lit(SEED))
-    seeds = patterns.select("peptide", size.alias("k"), F.expr(f"left(peptide, {SEED})").alias("seed"))
-    sizes = [r[0] for r in seeds.select("k").distinct().collect()]  # at most SEED numbers
-    parts = []
-    for k in sizes:
-        grams = F.expr(f"transform(sequence(1, length(sequence) - {k} + 1), i -> substring(sequence, i, {k}))")
-        long = texts.where(F.length("sequence") >= k)
-        pieces = long.select("protein_id", F.explode(F.array_distinct(grams)).alias("seed"))
-        parts.append(pieces.join(seeds.where(F.col("k") == k).select("peptide", "seed"), "seed").select("peptide", "protein_id"))
-    if not parts:
+    """Joins on seeds; neither side has to fit in memory."""
+    patterns, texts = written(patterns), dealt(texts)
+    sizes = {r.size: r.longest for r in patterns.groupBy(F.least(F.length("peptide"), F.lit(SEED)).alias("size")).agg(F.max(F.length("peptide")).alias("longest")).collect()}
+    found = [short_matches(patterns, texts, size) for size in sorted(sizes) if size < SEED]
+    if SEED in sizes:
+        found.append(long_matches(patterns.where(F.length("peptide") >= SEED), texts, sizes[SEED]))
+    if not found:
         return patterns.crossJoin(texts.limit(0)).select("peptide", "protein_id")
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
-    return candidates.join(texts, "protein_id").where(F.contains("sequence", "peptide")).select("peptide", "protein_id")
-
-
-def by_automaton(patterns: DataFrame, texts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """One scan of each text with an automaton of all patterns, of which there may be `most`."""
-    import ahocorasick
-
-    own = [r[0] for r in patterns.limit(most + 1).collect()]
-    if len(own) > most:
-        raise ValueError(f"more than {most} patterns; use the seed strategy")
-    shared = texts.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for pattern in shared.value:
-            automaton.add_word(pattern, pattern)
-        automaton.make_automaton()
-        for batch in batches:
-            found = [(p, i) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in ({p for _, p in automaton.iter(text)} if shared.value else ())]
-            columns = list(zip(*found)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], batch.schema.types[0])], names=["peptide", "protein_id"])
-
-    return texts.mapInArrow(run, f"peptide string, protein_id {texts.schema['protein_id'].dataType.simpleString()}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def short_matches(patterns: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Patterns of fewer letters than a seed are stretches themselves. The texts' stretches are distinct before they meet them."""
+    own = patterns.where(F.length("peptide") == size)
+    there = text_stretches(texts, size).select("protein_id", F.col("seed").alias("peptide")).distinct()
+    return there.join(own, "peptide").select("peptide", "protein_id")
+
+
+def rarest_seeds(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """peptide, seed, place, n: the stretch of each pattern that the texts have least often (n times), where they have all of its stretches."""
+    own = stretches(patterns, "peptide", F.lit(0), F.length("peptide") - SEED, SEED)
+    counts = text_stretches(texts, SEED).groupBy("seed").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "place", "seed")).alias("s")
+    return own.join(counts, "seed", "left").groupBy("peptide").agg(least).select("peptide", "s.seed", "s.place", "s.n").where("n > 0")
+
+
+def salts(chosen: DataFrame) -> DataFrame | None:
+    """seed, parts of the seeds that several tasks share, PARTS at most; None if there is none."""
+    cells = chosen.groupBy("seed").agg((F.first("n") * F.count("*")).alias("cells"), F.first("n").alias("n"))
+    total = cells.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
+    share = max(CELL, total // PARTS)
+    if total <= share:
+        return None
+    # A cell more than a share leaves at most PARTS seeds here.
+    return cells.where(F.col("cells") > share).select("seed", F.least(F.ceil(F.col("cells") / share), F.col("n")).cast("int").alias("parts"))
+
+
+def long_matches(patterns: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
+    chosen = written(rarest_seeds(patterns, texts))
+    there = text_stretches(texts, SEED, AROUND)
+    if chosen.count() <= BROADCAST_SEEDS:
+        wanted = F.broadcast(chosen.select(F.xxhash64("seed").alias("__hash")).distinct())
+        there = there.withColumn("__hash", F.xxhash64("seed")).join(wanted, "__hash", "left_semi")
+    before = F.least("place", F.lit(AROUND)).alias("before")
+    around = F.substring(F.col("piece"), F.col("place") - before + 1, before + SEED + AROUND)
+    there = there.select("protein_id", "seed", "place", before, around.alias("around"))
+    sides = ["seed"]
+    if (hot := salts(chosen)) is not None:
+        hot = F.broadcast(hot)
+        parts = F.coalesce("parts", F.lit(1))
+        there = there.join(hot, "seed", "left").withColumn("salt", F.pmod(F.xxhash64("protein_id", "around", F.col("place")), parts).cast("int")).drop("parts")
+        chosen = chosen.join(hot, "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        sides.append("salt")
+    pairs = there.drop("place").join(chosen, sides)
+    # As much of the pattern as the letters around the seed can tell.
+    seen = F.substring(F.col("around"), F.col("before") - F.least("place", "before") + 1, F.length("around"))
+    told = F.substring(F.col("peptide"), F.col("place") - F.least("place", "before") + 1, F.least("place", "before") + SEED + AROUND)
+    whole = (F.col("place") <= F.col("before")) & (F.length("peptide") - F.col("place") <= SEED + AROUND)
+    begins = (F.col("place") <= F.col("before")) | (F.col("before") == AROUND)  # else the text begins after the pattern would
+    pairs = pairs.where(begins & F.startswith(seen, told)).select("peptide", "protein_id", whole.alias("whole"))
+    near = pairs.where("whole").select("peptide", "protein_id")
+    if longest <= SEED + AROUND:
+        return near
+    far = pairs.where("not whole").select("peptide", "protein_id").distinct()
+    return near.unionByName(far.join(texts, "protein_id").where(F.contains("sequence", "peptide")).select("peptide", "protein_id"))
 
 
 def unmatched(patterns: DataFrame, found: DataFrame) -> DataFrame:

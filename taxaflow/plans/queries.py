@@ -56,6 +56,28 @@ def match_contains(v):
     return _benchmark_in_documents(v).join(items, "peptide").select("item_id", F.col("protein_id").alias("doc_id")).distinct()
 
 
+#: Documents as proteins: their letters only. Peptides are stretches of 12, 24 or 36 letters from every 20th letter on.
+_LETTERS = "select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents"
+
+
+def _letters(v) -> DataFrame:
+    return v.table("documents").select(F.col("doc_id").alias("protein_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+
+
+@query(
+    f"with t as materialized ({_LETTERS}), c as (select doc_id, s, unnest(range(0, length(s) // 20 + 1)) as k from t),"
+    " p as materialized (select distinct substring(s, 20 * k + 1, 12 * (k % 3 + 1)) as peptide from c where 20 * k + 12 * (k % 3 + 1) <= length(s)),"
+    " g as (select doc_id, substring(s, i, n) as peptide from (select doc_id, s, n, unnest(range(1, length(s) - n + 2)) as i from t, (values (12), (24), (36)) z(n)))"
+    " select distinct peptide, doc_id from g where peptide in (select peptide from p)"
+)
+def match_rarest_seeds(v):
+    """Some hundred thousand peptides at sf0.01."""
+    size = 12 * (F.col("k") % 3 + 1)
+    rows = _letters(v).select("sequence", F.explode(F.sequence(F.lit(0), F.floor(F.length("sequence") / 20).cast("int"))).alias("k"))
+    peptides = rows.where(20 * F.col("k") + size <= F.length("sequence")).select(F.substring("sequence", 20 * F.col("k") + 1, size).alias("peptide"))
+    return matching.matches(peptides, _letters(v)).select("peptide", F.col("protein_id").alias("doc_id"))
+
+
 @query("select item_id, exists (select 1 from documents d where contains(upper(d.text), upper(b.text))) as is_matched from benchmark b")
 def matched_unmatched(v):
     items = v.table("benchmark").select("item_id", F.upper("text").alias("peptide"))
