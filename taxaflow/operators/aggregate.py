@@ -1,11 +1,15 @@
 """Roll-ups of peptide quantities over organisms and functions.
 
-flags: peptide, quantity, is_annotated. A peptide's quantity counts once at each node, however many joins led there, so
-quantities are joined after peptide-node pairs are distinct.
+rows: peptide, quantity, is_annotated, lca_tax_id, signature, each peptide once. Its organisms are the path of its lowest common
+ancestor, its functions the terms of its signature, so quantities are summed by those two first, and sums expand, not peptides.
+
+by: columns that keep peptide lists apart (list_id); all lists are rolled up in one job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +21,10 @@ def merge_peptides(rows: DataFrame) -> DataFrame:
     return rows.groupBy("list_id", "peptide").agg(F.sum("quantity").alias("quantity"))
 
 
-def coverage(flags: DataFrame) -> DataFrame:
-    """One row: quantities and numbers of peptides, in all and annotated; zeros for no peptides."""
+def coverage(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Quantities and numbers of peptides, in all and annotated: one row, zeros for no peptides; or a row for each group."""
     q = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    row = flags.agg(
+    row = rows.groupBy(*by).agg(
         q("quantity").alias("total_quantity"), q(F.when(F.col("is_annotated"), F.col("quantity"))).alias("annotated_quantity"),
         F.count("*").alias("n_peptides"), F.count_if("is_annotated").alias("n_annotated"),
     )
@@ -29,30 +33,46 @@ def coverage(flags: DataFrame) -> DataFrame:
     return row.withColumn("annotation_coverage_ratio", ratio(F.col("annotated_quantity"), F.col("total_quantity")))
 
 
-def roll_up(pairs: DataFrame, flags: DataFrame, node: str) -> DataFrame:
-    """node, quantity, ratio_total, ratio_annotated (null if nothing is annotated), n_peptides."""
-    sums = pairs.select("peptide", node).distinct().join(flags.where("is_annotated").select("peptide", "quantity"), "peptide")
-    sums = sums.groupBy(node).agg(F.sum("quantity").alias("quantity"), F.countDistinct("peptide").alias("n_peptides"))
-    totals = F.broadcast(coverage(flags).select("total_quantity", "annotated_quantity"))  # one row
-    return sums.crossJoin(totals).select(
-        node, "quantity", ratio(F.col("quantity"), F.col("total_quantity")).alias("ratio_total"),
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, quantity, n_peptides of the annotated rows in which no key is null."""
+    known = rows.where("is_annotated")
+    for key in keys:
+        known = known.where(F.col(key).isNotNull())
+    return known.groupBy(*keys).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n_peptides"))
+
+
+def expanded(sums: DataFrame, key: str, members: DataFrame, node: str) -> DataFrame:
+    """The sums with the nodes of each key instead of it: members has key and an array of them, `nodes`."""
+    rest = [c for c in sums.columns if c not in (key, "quantity", "n_peptides")]
+    rows = sums.join(members, key).select(*rest, F.explode("nodes").alias(node), "quantity", "n_peptides")
+    return rows.groupBy(*rest, node).agg(F.sum("quantity").alias("quantity"), F.sum("n_peptides").alias("n_peptides"))
+
+
+def roll_up(sums: DataFrame, cover: DataFrame, node: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, node, quantity, ratio_total, ratio_annotated (null if nothing is annotated), n_peptides of sums of nodes."""
+    totals = F.broadcast(cover.select(*by, "total_quantity", "annotated_quantity"))  # a row for each list
+    rows = sums.join(totals, [*by]) if by else sums.crossJoin(totals)
+    return rows.select(
+        *by, node, "quantity", ratio(F.col("quantity"), F.col("total_quantity")).alias("ratio_total"),
         ratio(F.col("quantity"), F.col("annotated_quantity"), None).alias("ratio_annotated"), "n_peptides",
     )
 
 
-def combos(nodes_of: DataFrame, terms_of: DataFrame, flags: DataFrame) -> DataFrame:
-    """tax_id, go_id, quantity, fractions of either marginal and its ratio to the total, n_peptides.
+def combos(rows: DataFrame, paths: DataFrame, terms: DataFrame, cover: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, tax_id, go_id, quantity, fractions of either marginal and its ratio to the total, n_peptides.
 
-    Peptides with the same quantity-bearing sets meet only once: both sides are distinct before they join on the peptide.
+    paths: lca_tax_id, nodes. terms: signature, nodes. Peptides of one lowest common ancestor and one signature are summed before
+    either expands, and sums by organism and signature again before terms do.
     """
-    pairs = nodes_of.select("peptide", "tax_id").distinct().join(terms_of.select("peptide", "go_id").distinct(), "peptide")
-    pairs = pairs.join(flags.where("is_annotated").select("peptide", "quantity"), "peptide")
-    sums = pairs.groupBy("tax_id", "go_id").agg(F.sum("quantity").alias("quantity"), F.countDistinct("peptide").alias("n_peptides"))
-    taxa = roll_up(nodes_of, flags, "tax_id").select("tax_id", F.col("quantity").alias("taxon_quantity"), F.col("ratio_total").alias("ratio_total_taxon"))
-    terms = roll_up(terms_of, flags, "go_id").select("go_id", F.col("quantity").alias("go_quantity"), F.col("ratio_total").alias("ratio_total_go"))
-    both = sums.join(taxa, "tax_id").join(terms, "go_id")
+    by_node = expanded(summed(rows, *by, "lca_tax_id", "signature"), "lca_tax_id", paths, "tax_id")
+    sums = expanded(by_node, "signature", terms, "go_id")
+    taxa = roll_up(expanded(summed(rows, *by, "lca_tax_id"), "lca_tax_id", paths, "tax_id"), cover, "tax_id", by)
+    go = roll_up(expanded(summed(rows, *by, "signature"), "signature", terms, "go_id"), cover, "go_id", by)
+    taxa = taxa.select(*by, "tax_id", F.col("quantity").alias("taxon_quantity"), F.col("ratio_total").alias("ratio_total_taxon"))
+    go = go.select(*by, "go_id", F.col("quantity").alias("go_quantity"), F.col("ratio_total").alias("ratio_total_go"))
+    both = sums.join(taxa, [*by, "tax_id"]).join(go, [*by, "go_id"])
     return both.select(
-        "tax_id", "go_id", "quantity", ratio(F.col("quantity"), F.col("taxon_quantity")).alias("fraction_of_taxon"),
+        *by, "tax_id", "go_id", "quantity", ratio(F.col("quantity"), F.col("taxon_quantity")).alias("fraction_of_taxon"),
         ratio(F.col("quantity"), F.col("go_quantity")).alias("fraction_of_go"), "ratio_total_taxon", "ratio_total_go", "n_peptides",
     )
 

@@ -6,37 +6,62 @@ subject_go (subject_id, go_id). A missing lookup is an empty set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import GoOptions
+from . import graphs
+
 
 def implied_subjects(found: DataFrame, accepted: DataFrame) -> DataFrame:
     """peptide, subject_id over the proteins that hold the peptide."""
     return found.join(accepted.withColumnRenamed("query_id", "protein_id"), "protein_id").select("peptide", "subject_id").distinct()
 
 
-def peptide_taxa(implied: DataFrame, subject_tax: DataFrame) -> DataFrame:
-    """peptide, tax_id"""
-    return implied.join(subject_tax.where("tax_id is not null"), "subject_id").select("peptide", "tax_id").distinct()
+def _merged(sets: str) -> Column:
+    """The union of a group's arrays, sorted; empty for none."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sets))))
+
 
+def protein_summaries(accepted: DataFrame, subject_tax: DataFrame, subject_go: DataFrame, tree: DataFrame) -> DataFrame:
+    """protein_id, first, last, terms of each protein with an accepted subject.
 
-def taxonomy_nodes_of(common: DataFrame) -> DataFrame:
-    """peptide, tax_id: the lineage of each peptide's lowest common ancestor."""
-    return common.select("peptide", F.col("ancestor_id").alias("tax_id"))
+    first, last: the least and greatest tree number of its subjects' organisms (null for none). terms: their own terms.
+    """
+    numbers = subject_tax.join(tree.select("tax_id", "number"), "tax_id").groupBy("subject_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    terms = subject_go.where("go_id is not null").groupBy("subject_id").agg(F.array_sort(F.collect_set("go_id")).alias("terms"))
+    rows = accepted.join(numbers, "subject_id", "left").join(terms, "subject_id", "left")
+    return rows.groupBy(F.col("query_id").alias("protein_id")).agg(F.min("first").alias("first"), F.max("last").alias("last"), _merged("terms").alias("terms"))
 
 
-def peptide_terms(implied: DataFrame, subject_go: DataFrame, closed: DataFrame) -> DataFrame:
-    """peptide, go_id: closure over the terms of the implied subjects."""
-    direct = implied.join(subject_go, "subject_id").select("peptide", "go_id").distinct()
-    return direct.join(closed, "go_id").select("peptide", F.col("ancestor").alias("go_id")).distinct()
+def peptide_summaries(found: DataFrame, proteins: DataFrame) -> DataFrame:
+    """peptide, first, last, terms over the proteins that hold the peptide; peptides without an accepted subject are absent.
+
+    Ends and unions of unions are those of all, so no pair of a peptide and a subject is made.
+    """
+    return found.join(proteins, "protein_id").groupBy("peptide").agg(F.min("first").alias("first"), F.max("last").alias("last"), _merged("terms").alias("terms"))
 
 
-def flagged(peptides: DataFrame, implied: DataFrame) -> DataFrame:
-    """Peptides with is_annotated: they imply a subject, whether or not it has organisms or functions."""
-    known = implied.select("peptide").distinct().withColumn("is_annotated", F.lit(True))
+def annotated_peptides(peptides: DataFrame, summaries: DataFrame, tree: DataFrame) -> DataFrame:
+    """The rows of peptides with is_annotated, lca_tax_id, signature: annotated ones imply a subject, whether or not it has organisms or functions.
+
+    signature: the same for peptides with the same own terms; null for none.
+    """
+    lcas = graphs.lowest_common(summaries, tree)
+    signature = F.when(F.size("terms") > 0, F.md5(F.concat_ws(";", F.transform("terms", lambda t: t.cast("string"))).cast("binary")))
+    known = summaries.join(lcas, ["first", "last"], "left").select("peptide", "lca_tax_id", signature.alias("signature"), F.lit(True).alias("is_annotated"))
     return peptides.join(known, "peptide", "left").withColumn("is_annotated", F.coalesce("is_annotated", F.lit(False)))
 
 
+def signature_terms(summaries: DataFrame, edges: DataFrame, subject_go: DataFrame, go: GoOptions) -> DataFrame:
+    """signature, terms: the closure of each distinct set of own terms, sorted."""
+    closed = graphs.closure(edges, subject_go.select("go_id"), go.edge_types, go.include_self)
+    text = F.concat_ws(";", F.transform("terms", lambda t: t.cast("string"))).cast("binary")
+    sets = summaries.where(F.size("terms") > 0).select(F.md5(text).alias("signature"), "terms").dropDuplicates(["signature"])
+    pairs = sets.select("signature", F.explode("terms").alias("go_id")).join(closed, "go_id")
+    return pairs.groupBy("signature").agg(F.array_sort(F.collect_set("ancestor")).alias("terms"))
+
+
 def lookup_subjects(ids: DataFrame, taxonomy: DataFrame, go_annotations: DataFrame) -> DataFrame:
     """subject_id, accession, tax_id, go_id of every asked id; null where nothing is known. One row for each term."""
     from ..functions.text import accession
@@ -45,19 +70,21 @@ def lookup_subjects(ids: DataFrame, taxonomy: DataFrame, go_annotations: DataFra
     return asked.join(taxonomy, "accession", "left").join(go_annotations.select("accession", "go_id"), "accession", "left")
 
 
-def mapping(flags: DataFrame, nodes_of: DataFrame, terms_of: DataFrame, found: DataFrame, accepted: DataFrame, values: DataFrame | None = None) -> DataFrame:
+def mapping(rows: DataFrame, tree: DataFrame, signatures: DataFrame, found: DataFrame, accepted: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row for each annotated peptide, protein and subject, with sorted arrays of organisms and terms.
 
-    values: query_id, subject_id, evalue, pident; without them both are null.
+    rows: annotated_peptides (of each peptide once, further columns stay). Arrays join last, by node and by signature, of
+    which there are few. values: query_id, subject_id, evalue, pident; without them both are null.
     """
-    taxa = nodes_of.groupBy("peptide").agg(F.array_sort(F.collect_set("tax_id")).alias("peptide_lca_tax_ids"))
-    terms = terms_of.groupBy("peptide").agg(F.array_sort(F.collect_set("go_id")).alias("peptide_go_terms"))
-    rows = flags.where("is_annotated").select("peptide").distinct().join(found, "peptide")
-    rows = rows.join(accepted.withColumnRenamed("query_id", "protein_id"), "protein_id")
+    kinds = {"peptide_lca_tax_ids": "array<bigint>", "peptide_go_terms": signatures.schema["terms"].dataType.simpleString()}
+    further = [c for c in rows.columns if c not in ("peptide", "quantity", "is_annotated", "lca_tax_id", "signature")]
+    out = rows.where("is_annotated").select("peptide", *further, "lca_tax_id", "signature").join(found, "peptide")
+    out = out.join(accepted.withColumnRenamed("query_id", "protein_id"), "protein_id")
     if values is None:
-        rows = rows.withColumn("evalue", F.lit(None).cast("double")).withColumn("pident", F.lit(None).cast("double"))
+        out = out.withColumn("evalue", F.lit(None).cast("double")).withColumn("pident", F.lit(None).cast("double"))
     else:
-        rows = rows.join(values.withColumnRenamed("query_id", "protein_id"), ["protein_id", "subject_id"], "left")
-    rows = rows.join(taxa, "peptide", "left").join(terms, "peptide", "left")
-    arrays = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in ((c, rows.schema[c].dataType.simpleString()) for c in ("peptide_lca_tax_ids", "peptide_go_terms"))]
-    return rows.select("peptide", *arrays, F.col("protein_id").alias("background_protein"), F.col("subject_id").alias("annotated_protein"), "evalue", "pident")
+        out = out.join(values.withColumnRenamed("query_id", "protein_id"), ["protein_id", "subject_id"], "left")
+    out = out.join(tree.select(F.col("tax_id").alias("lca_tax_id"), F.array_sort("path").alias("peptide_lca_tax_ids")), "lca_tax_id", "left")
+    out = out.join(signatures.select("signature", F.col("terms").alias("peptide_go_terms")), "signature", "left")
+    arrays = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in kinds.items()]
+    return out.select(*further, "peptide", *arrays, F.col("protein_id").alias("background_protein"), F.col("subject_id").alias("annotated_protein"), "evalue", "pident")

@@ -12,55 +12,99 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import written
 
+#: Steps of a walk that one plan takes before its rows are written and looked at.
+CLIMB_STEPS, CLOSURE_STEPS = 2, 4
 
-def lineage(taxa: DataFrame, ids: DataFrame) -> DataFrame:
-    """tax_id, ancestor_id, dist of each id: itself at 0, then its parents.
+
+def climbs(taxa: DataFrame, ids: DataFrame) -> DataFrame:
+    """tax_id, up, least: of each node and asked id, itself and its ancestors in order; least: the least id of a cycle that they end in.
 
     An id that is not in the tree has only itself; a parent that is not in the tree is still an ancestor; a cycle ends
-    where it meets itself. Paths double in each round, so a tree of depth d takes log2(d) rounds;
-    they end when no path is new, in a cycle too.
+    where it meets itself. What is known of a node's way up is joined to that of the node where it stops, so ways double in
+    length: a tree of depth d takes log2(d) steps.
+    """
+    node, parent = F.col("tax_id").cast("bigint").alias("tax_id"), F.col("parent_tax_id").cast("bigint").alias("next")
+    up = taxa.where("parent_tax_id is not null and parent_tax_id <> tax_id").select(node, parent)
+    alone = taxa.select(node).unionByName(ids.select(node)).unionByName(up.select(F.col("next").alias("tax_id"))).where("tax_id is not null")
+    rows = alone.withColumn("next", F.lit(None).cast("bigint")).unionByName(up).groupBy("tax_id").agg(F.max("next").alias("next"))
+    rows = written(rows.select("tax_id", F.array("tax_id").alias("up"), "next", F.lit(None).cast("bigint").alias("least")))
+    while not rows.where("next is not null").isEmpty():
+        for _ in range(CLIMB_STEPS):
+            rows = _climbed(rows)
+        rows = written(rows)
+    return rows.select("tax_id", "up", "least")
+
+
+def _climbed(rows: DataFrame) -> DataFrame:
+    there = rows.select(F.col("tax_id").alias("next"), F.col("up").alias("__more"), F.col("next").alias("__next"), F.col("least").alias("__least"))
+    both = F.concat("up", F.coalesce("__more", F.array().cast("array<bigint>")))
+    rows = rows.join(there, "next", "left").select("tax_id", both.alias("both"), F.array_distinct(both).alias("up"), "__next", F.coalesce("least", "__least").alias("least"))
+    # The first id that is met again begins the cycle.
+    met = F.get("both", F.size("up"))
+    cycle = F.slice("up", F.array_position("up", met).cast("int"), F.size("up"))
+    again = F.size("up") < F.size("both")
+    return rows.select("tax_id", "up", F.when(~again, F.col("__next")).alias("next"), F.coalesce("least", F.when(again, F.array_min(cycle))).alias("least"))
+
+
+def lineage(taxa: DataFrame, ids: DataFrame) -> DataFrame:
+    """tax_id, ancestor_id, dist of each id: itself at 0, then its parents (see climbs)."""
+    asked = ids.select(F.col("tax_id").cast("bigint").alias("tax_id")).distinct()
+    rows = climbs(taxa, ids).join(asked, "tax_id", "left_semi")
+    return rows.select("tax_id", F.posexplode("up").alias("dist", "ancestor_id")).select("tax_id", "ancestor_id", "dist")
+
+
+def tree(taxa: DataFrame, ids: DataFrame) -> DataFrame:
+    """tax_id, path (from the root down), number: nodes and asked ids, numbered in an order in which every subtree is a range.
+
+    An id that is not in the tree is a root of its own, and so is the least id of a cycle. Numbers have gaps. They follow the
+    order of paths, which a range partitioning sorts; no task sees all nodes.
     """
-    jump = written(taxa.where("parent_tax_id is not null and parent_tax_id <> tax_id").select("tax_id", F.col("parent_tax_id").alias("to")).distinct())
-    paths = ids.select("tax_id").where("tax_id is not null").distinct().select("tax_id", F.col("tax_id").alias("ancestor_id"), F.lit(0).alias("dist"))
-    size, k = -1, 0
-    while not jump.isEmpty() and (now := paths.count()) != size:
-        size = now
-        step = jump.select(F.col("tax_id").alias("ancestor_id"), "to")
-        further = paths.join(step, "ancestor_id").select("tax_id", F.col("to").alias("ancestor_id"), (F.col("dist") + F.lit(2**k)).cast("int").alias("dist"))
-        paths = written(paths.unionByName(further).groupBy("tax_id", "ancestor_id").agg(F.min("dist").alias("dist")))
-        jump = written(jump.join(jump.select(F.col("tax_id").alias("to"), F.col("to").alias("next")), "to").where("next <> tax_id").select("tax_id", F.col("next").alias("to")).distinct())
-        k += 1
-    return paths
-
-
-def common_ancestors(sets: DataFrame, lines: DataFrame, key: str = "peptide") -> DataFrame:
-    """key, ancestor_id, dist: the ancestors that all tax_ids of a key share, with the least distance from one of them.
-
-    One distinct id shares its lineage with itself, in the tree or not. lines: the lineage of at least these ids.
-    In a tree they are the lineage of the lowest common ancestor.
+    whole = F.col("least").isNull()
+    path = F.reverse(F.when(whole, F.col("up")).otherwise(F.slice("up", F.lit(1), F.array_position("up", F.coalesce("least", F.lit(0).cast("bigint"))).cast("int"))))
+    rows = climbs(taxa, ids).select("tax_id", path.alias("path"))
+    return written(rows.repartitionByRange("path").sortWithinPartitions("path").select("tax_id", "path", F.monotonically_increasing_id().alias("number")))
+
+
+def ranges(tree: DataFrame) -> DataFrame:
+    """tax_id, first, last: the least and greatest number of each node's subtree."""
+    return tree.select(F.explode("path").alias("tax_id"), "number").groupBy("tax_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+
+
+def lowest_common(ends: DataFrame, tree: DataFrame) -> DataFrame:
+    """first, last, lca_tax_id of distinct pairs of numbers: the lowest common ancestor of all nodes numbered from first to last.
+
+    Of a set of nodes, it is that of the ones with the least and greatest number. Pairs that share none are absent.
     """
-    sets = sets.select(key, "tax_id").where("tax_id is not null").distinct()
-    wanted = sets.groupBy(key).agg(F.count("*").alias("n"))
-    shared = sets.join(lines, "tax_id").groupBy(key, "ancestor_id").agg(F.count("*").alias("c"), F.min("dist").alias("dist"))
-    return shared.join(wanted, key).where("c = n").select(key, "ancestor_id", "dist")
+    at = lambda name, path: tree.select(F.col("number").alias(name), F.col("path").alias(path))
+    rows = ends.select("first", "last").where("first is not null").distinct().join(at("first", "__a"), "first").join(at("last", "__b"), "last")
+    # Paths that part never meet again, so equal places are those that they share.
+    shared = F.size(F.filter(F.zip_with("__a", "__b", lambda a, b: a == b), lambda same: same))
+    return rows.withColumn("shared", shared).where("shared > 0").select("first", "last", F.get("__a", F.col("shared") - 1).alias("lca_tax_id"))
 
 
-def lca(common: DataFrame, key: str = "peptide") -> DataFrame:
-    """key, lca_tax_id: the deepest of the common ancestors; keys that share none are absent."""
-    return common.groupBy(key).agg(F.min_by("ancestor_id", F.struct("dist", "ancestor_id")).alias("lca_tax_id"))
+def lowest_common_of(sets: DataFrame, tree: DataFrame, key: str = "peptide") -> DataFrame:
+    """key, lca_tax_id of sets (key, tax_id): the deepest node that is on the way up of all ids of a key; keys that share none are absent."""
+    numbers = sets.join(tree.select("tax_id", "number"), "tax_id")
+    ends = written(numbers.groupBy(key).agg(F.min("number").alias("first"), F.max("number").alias("last")))
+    return ends.join(lowest_common(ends, tree), ["first", "last"]).select(key, "lca_tax_id")
 
 
 def closure(edges: DataFrame, ids: DataFrame, edge_types: Iterable[str] = ("is_a",), include_self: bool = True) -> DataFrame:
     """go_id, ancestor of each id over the chosen edge types. Unknown and obsolete ids have themselves at most.
 
-    Semi-naive: in each round only the pairs that the last one added take a further step, and only from the asked ids.
+    Semi-naive: only the pairs that the last steps added go further, and only from the asked ids.
     """
     chosen = written(edges.where(F.col("edge_type").isin(list(edge_types))).select(F.col("child").alias("ancestor"), F.col("parent").alias("next")).where("child <> parent").distinct())
-    own = written(ids.select("go_id").where("go_id is not null").distinct())
-    known = new = own.select("go_id", F.col("go_id").alias("ancestor"))
+    own = ids.select("go_id").where("go_id is not null").distinct()
+    known = new = written(own.select("go_id", F.col("go_id").alias("ancestor")))
     while True:
-        step = new.join(chosen, "ancestor").select("go_id", F.col("next").alias("ancestor")).distinct()
-        new = written(step.join(known, ["go_id", "ancestor"], "left_anti"))
+        steps = [new]
+        for _ in range(CLOSURE_STEPS):
+            steps.append(steps[-1].join(chosen, "ancestor").select("go_id", F.col("next").alias("ancestor")).distinct())
+        found = steps[1]
+        for step in steps[2:]:
+            found = found.unionByName(step)
+        new = written(found.distinct().join(known, ["go_id", "ancestor"], "left_anti"))
         if new.isEmpty():
             return known if include_self else known.where("go_id <> ancestor")
         known = known.unionByName(new)
@@ -80,7 +124,12 @@ def ancestors(edges: DataFrame, term, terms: DataFrame | None = None, edge_types
     return found, path.select("child", "edge_type", "parent")
 
 
-def descendants(nodes: DataFrame, root: int, lines: DataFrame) -> DataFrame:
-    """tax_id of the root (known or not) and of the reported nodes below it."""
-    below = lines.where(F.col("ancestor_id") == root).select("tax_id").join(nodes.select("tax_id"), "tax_id", "left_semi")
+def descendants(nodes: DataFrame, root: int, spans: DataFrame) -> DataFrame:
+    """tax_id of the root (known or not) and of the reported nodes below it. spans: ranges() of a tree of these nodes.
+
+    One range of numbers: the nodes below are those whose own range begins inside the root's.
+    """
+    own = F.broadcast(spans.where(F.col("tax_id") == root).select(F.col("first").alias("__first"), F.col("last").alias("__last")))  # one row
+    below = spans.join(own, F.col("first").between(F.col("__first"), F.col("__last"))).select("tax_id").where(F.col("tax_id") != root)
+    below = below.join(nodes.select("tax_id"), "tax_id", "left_semi")
     return below.union(nodes.sparkSession.createDataFrame([(root,)], "tax_id bigint")).distinct()

@@ -14,7 +14,6 @@ from ..sinks import reports
 from ..sources import peptides, proteins, references
 from .queries import _gaf_lines, query
 from .tables import shared_folder
-from .views import STRICT
 
 
 def _file(lines: DataFrame, name: str = "lines.txt", folder: str | None = None, one: bool = False) -> str:
@@ -124,7 +123,7 @@ def matches_by_list(v):
     "select c.tax_id, t.name as tax_name, t.rank as tax_rank, t.parent_tax_id, c.go_id, case when g.is_obsolete then 'OBSOLETE: ' || g.name else g.name end as go_name, g.namespace as go_namespace,"
     " coalesce((select string_agg(cast(p as varchar), ';' order by cast(p as varchar)) from (select distinct parent as p from go_edge e where e.child = c.go_id)), '') as parent_go_ids,"
     " c.quantity, c.fraction_of_taxon, c.fraction_of_go, c.ratio_total_taxon, c.ratio_total_go, c.n_peptides from combos c join taxon t on t.tax_id = c.tax_id join go_term g on g.go_id = c.go_id",
-    "combos", "taxon", "go_term", "go_edge", policy=STRICT,
+    "combos", "taxon", "go_term", "go_edge", branch=True,
 )
 def combo_report(v):
     return reports.combo_report(v.annotated.combos(), v.taxa, v.terms, v.edges)

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, annotate, graphs, hits as hit_ops
 from ..params import FilterPolicy, GoOptions
-from .tables import written
+from .tables import dropped, scratch, written
 
 
 @dataclass
 class Annotated:
     """What reports need, as long tables, each made when it is first asked for.
 
-    What several reports read (implied subjects, flags, lineages and terms of peptides) is written once, at that time.
+    What all reports read is written once, at that time: the numbered tree, a row for each peptide with its lowest common ancestor
+    and the signature of its terms, and the closure of each signature. close() deletes it.
 
-    peptides: peptide, quantity. Either hits with a policy, or accepted pairs (query_id, subject_id).
+    peptides: peptide, quantity, and the columns of `by` (list_id, say), each peptide once in each group; all groups are
+    annotated and rolled up together. Either hits with a policy, or accepted pairs (query_id, subject_id).
     """
 
     peptides: DataFrame
@@ -33,6 +35,7 @@ class Annotated:
     line: Column | None = None
     given: DataFrame | None = None
     go: GoOptions = field(default_factory=GoOptions)
+    by: tuple[str, ...] = ()
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -49,43 +52,67 @@ class Annotated:
         return hit_ops.accepted_with_values(self.hits, self.policy, F.col("line") if self.line is None else self.line)
 
     @cached_property
-    def implied(self) -> DataFrame:
-        return written(annotate.implied_subjects(self.matches, self.accepted))
+    def tree(self) -> DataFrame:
+        with scratch() as keep:
+            return keep(graphs.tree(self.taxa, self.subject_tax.select("tax_id")))
 
     @cached_property
-    def flags(self) -> DataFrame:
-        """peptide, quantity, is_annotated"""
-        return written(annotate.flagged(self.peptides, self.implied))
+    def summaries(self) -> DataFrame:
+        proteins = annotate.protein_summaries(self.accepted, self.subject_tax, self.subject_go, self.tree)
+        return written(annotate.peptide_summaries(self.matches, proteins))
 
     @cached_property
-    def common(self) -> DataFrame:
-        taxa_of = annotate.peptide_taxa(self.implied, self.subject_tax)
-        return written(graphs.common_ancestors(taxa_of, graphs.lineage(self.taxa, self.subject_tax.select("tax_id"))))
+    def rows(self) -> DataFrame:
+        """peptide, quantity, is_annotated, lca_tax_id, signature, and the columns of `by`."""
+        return written(annotate.annotated_peptides(self.peptides, self.summaries, self.tree))
 
     @cached_property
+    def signatures(self) -> DataFrame:
+        """signature, terms"""
+        summaries = self.summaries
+        with scratch() as keep:
+            return keep(written(annotate.signature_terms(summaries, self.edges, self.subject_go, self.go)))
+
+    @property
+    def paths(self) -> DataFrame:
+        return self.tree.select(F.col("tax_id").alias("lca_tax_id"), F.col("path").alias("nodes"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.signatures.select("signature", F.col("terms").alias("nodes"))
+
+    @property
     def lcas(self) -> DataFrame:
-        return graphs.lca(self.common)
+        return self.rows.where("lca_tax_id is not null").select("peptide", "lca_tax_id").distinct()
 
-    @cached_property
+    @property
     def nodes_of(self) -> DataFrame:
-        return annotate.taxonomy_nodes_of(self.common)
+        """peptide, tax_id: the lineage of each peptide's lowest common ancestor."""
+        return self.lcas.join(self.paths, "lca_tax_id").select("peptide", F.explode("nodes").alias("tax_id"))
 
-    @cached_property
+    @property
     def terms_of(self) -> DataFrame:
-        closed = graphs.closure(self.edges, self.subject_go.select("go_id"), self.go.edge_types, self.go.include_self)
-        return written(annotate.peptide_terms(self.implied, self.subject_go, closed))
+        """peptide, go_id: closure over the terms of the implied subjects."""
+        signed = self.rows.where("signature is not null").select("peptide", "signature").distinct()
+        return signed.join(self.terms, "signature").select("peptide", F.explode("nodes").alias("go_id"))
 
     def coverage(self) -> DataFrame:
-        return aggregate.coverage(self.flags)
+        return aggregate.coverage(self.rows, self.by)
 
     def taxonomy_nodes(self) -> DataFrame:
-        return aggregate.roll_up(self.nodes_of, self.flags, "tax_id")
+        sums = aggregate.expanded(aggregate.summed(self.rows, *self.by, "lca_tax_id"), "lca_tax_id", self.paths, "tax_id")
+        return aggregate.roll_up(sums, self.coverage(), "tax_id", self.by)
 
     def go_terms(self) -> DataFrame:
-        return aggregate.roll_up(self.terms_of, self.flags, "go_id")
+        sums = aggregate.expanded(aggregate.summed(self.rows, *self.by, "signature"), "signature", self.terms, "go_id")
+        return aggregate.roll_up(sums, self.coverage(), "go_id", self.by)
 
     def combos(self) -> DataFrame:
-        return aggregate.combos(self.nodes_of, self.terms_of, self.flags)
+        return aggregate.combos(self.rows, self.paths, self.terms, self.coverage(), self.by)
 
     def mapping(self) -> DataFrame:
-        return annotate.mapping(self.flags, self.nodes_of, self.terms_of, self.matches, self.accepted, self.values)
+        return annotate.mapping(self.rows, self.tree, self.signatures, self.matches, self.accepted, self.values)
+
+    def close(self) -> None:
+        """Delete what was written; no frame of this object can be read afterwards."""
+        dropped(*[self.__dict__[k] for k in ("tree", "summaries", "rows", "signatures") if k in self.__dict__])

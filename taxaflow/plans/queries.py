@@ -11,19 +11,19 @@ from ..functions import text as fn
 from ..operators import aggregate, annotate, graphs, hierarchy, hits, matching
 from ..sinks import reports
 from ..sources.proteins import annotation_tables, parse_gaf
-from .views import POLICY, STRICT, Views, sql
+from .views import POLICY, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, *views: str, policy=POLICY):
+def query(oracle: str | None = None, *views: str, branch: bool = False):
     """Register a query under its function's name."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir, policy))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir, branch))
         if oracle:
-            ORACLE[f.__name__] = sql(oracle, *views, policy=policy) if views else oracle
+            ORACLE[f.__name__] = sql(oracle, *views, branch=branch) if views else oracle
         return f
 
     return add
@@ -137,12 +137,12 @@ def lineage(v):
     return graphs.lineage(v.taxa, v.taxa)
 
 
-@query("select peptide, lca_tax_id from lca", "lca", policy=STRICT)
+@query("select peptide, lca_tax_id from lca", "lca", branch=True)
 def lca(v):
     return v.annotated.lcas
 
 
-@query("select peptide, tax_id from nodes_of", "nodes_of", policy=STRICT)
+@query("select peptide, tax_id from nodes_of", "nodes_of", branch=True)
 def lca_lineage(v):
     return v.annotated.nodes_of
 
@@ -172,7 +172,7 @@ def coverage(v):
     return v.annotated.coverage()
 
 
-@query("select tax_id, quantity, ratio_total, ratio_annotated, n_peptides from tax_nodes", "tax_nodes", policy=STRICT)
+@query("select tax_id, quantity, ratio_total, ratio_annotated, n_peptides from tax_nodes", "tax_nodes", branch=True)
 def taxonomy_nodes(v):
     return v.annotated.taxonomy_nodes()
 
@@ -182,12 +182,59 @@ def go_terms(v):
     return v.annotated.go_terms()
 
 
-@query("select * from combos", "combos", policy=STRICT)
+@query("select * from combos", "combos", branch=True)
 def go_taxonomy_combo(v):
     return v.annotated.combos()
 
 
-@query("select cast(0 as bigint) as tax_id, '' as problem where false", policy=STRICT)
+@query("select list_id, total_quantity, annotated_quantity, n_peptides, n_annotated, annotated_quantity / total_quantity as annotation_coverage_ratio from list_cover", "list_cover", branch=True)
+def coverage_by_list(v):
+    return v.annotated_lists.coverage().drop("unannotated_quantity", "n_unannotated")
+
+
+_BY_LIST = (
+    "select f.list_id, n.{node}, sum(f.quantity) as quantity, sum(f.quantity) / any_value(c.total_quantity) as ratio_total, sum(f.quantity) / any_value(c.annotated_quantity) as ratio_annotated, count(*) as n_peptides"
+    " from {of} n join list_flags f on f.peptide = n.peptide join list_cover c on c.list_id = f.list_id group by f.list_id, n.{node}"
+)
+
+
+@query(_BY_LIST.format(node="tax_id", of="nodes_of"), "nodes_of", "list_flags", "list_cover", branch=True)
+def taxonomy_nodes_by_list(v):
+    return v.annotated_lists.taxonomy_nodes()
+
+
+@query(
+    "select s.list_id, s.tax_id, s.go_id, s.quantity, s.n_peptides, s.quantity / t.quantity as fraction_of_taxon from"
+    " (select f.list_id, n.tax_id, o.go_id, sum(f.quantity) as quantity, count(*) as n_peptides from nodes_of n join terms_of o on o.peptide = n.peptide join list_flags f on f.peptide = n.peptide group by all) s"
+    " join (select f.list_id, n.tax_id, sum(f.quantity) as quantity from nodes_of n join list_flags f on f.peptide = n.peptide group by all) t on t.list_id = s.list_id and t.tax_id = s.tax_id",
+    "nodes_of", "terms_of", "list_flags", branch=True,
+)
+def combos_by_list(v):
+    return v.annotated_lists.combos().select("list_id", "tax_id", "go_id", "quantity", "n_peptides", "fraction_of_taxon")
+
+
+@query(
+    "with broken as (select tax_id, case tax_id % 5 when 1 then -quantity when 2 then quantity + c.annotated_quantity else quantity end as quantity, ratio_total + case tax_id % 7 when 3 then 1 else 0 end as ratio_total,"
+    " ratio_annotated - case tax_id % 11 when 4 then 1 else 0 end as ratio_annotated, n.n_peptides + case tax_id % 13 when 5 then 10000000 else 0 end as n_peptides, c.annotated_quantity as most, c.n_annotated from ({nodes}) n cross join ({cover}) c)"
+    " select tax_id, 'negative quantity' as problem from broken where quantity < 0 union all select tax_id, 'quantity above annotated quantity' from broken where quantity > most + 1e-3"
+    " union all select tax_id, 'ratio_total outside 0 to 1' from broken where ratio_total > 1 + 1e-9 union all select tax_id, 'ratio_annotated outside 0 to 1' from broken where ratio_annotated < -1e-9"
+    " union all select tax_id, 'ratio_total above ratio_annotated' from broken where ratio_total > ratio_annotated + 1e-9 union all select tax_id, 'more peptides than annotated' from broken where n_peptides > n_annotated"
+    .format(nodes=sql("select * from tax_nodes", "tax_nodes", branch=True), cover=sql("select * from cover", "cover", branch=True))
+)
+def planted_violations(v):
+    """Nodes of the report, some of them broken in each way that an invariant rules out."""
+    when = lambda k, r, value: F.when(F.col("tax_id") % k == r, value).otherwise(0.0)
+    cover = v.annotated.coverage()
+    most = F.broadcast(cover.select(F.col("annotated_quantity").alias("most")))  # one row
+    quantity = F.when(F.col("tax_id") % 5 == 1, -F.col("quantity")).when(F.col("tax_id") % 5 == 2, F.col("quantity") + F.col("most")).otherwise(F.col("quantity"))
+    nodes = v.annotated.taxonomy_nodes().crossJoin(most).select(
+        "tax_id", quantity.alias("quantity"), (F.col("ratio_total") + when(7, 3, 1.0)).alias("ratio_total"), (F.col("ratio_annotated") - when(11, 4, 1.0)).alias("ratio_annotated"),
+        (F.col("n_peptides") + when(13, 5, 10_000_000.0)).alias("n_peptides"),
+    )
+    return aggregate.violations(nodes, cover, "tax_id")
+
+
+@query("select cast(0 as bigint) as tax_id, '' as problem where false", branch=True)
 def invariant_violations(v):
     return aggregate.violations(v.annotated.taxonomy_nodes(), v.annotated.coverage(), "tax_id")
 
@@ -213,14 +260,14 @@ _HAS_GO = "exists (select 1 from terms_of n where n.peptide = m.peptide and n.go
 
 def _below(v) -> DataFrame:
     """The ids that a click on one node selects."""
-    return graphs.descendants(v.taxa, 11, graphs.lineage(v.taxa, v.taxa))
+    return graphs.descendants(v.taxa, 11, graphs.ranges(v.annotated.tree))
 
 
 def _drilled(v, **selection) -> DataFrame:
     return hierarchy.drill_down(v.annotated.mapping(), **selection).select("peptide", "background_protein", "annotated_protein")
 
 
-@query(_DRILL + _HAS_TAX, "mapping", "nodes_of", "lineage", policy=STRICT)
+@query(_DRILL + _HAS_TAX, "mapping", "nodes_of", "lineage", branch=True)
 def drilldown_tax(v):
     return _drilled(v, tax_ids=_below(v))
 
@@ -230,7 +277,7 @@ def drilldown_go(v):
     return _drilled(v, go_id=35)
 
 
-@query(_DRILL + _HAS_TAX + " and " + _HAS_GO, "mapping", "nodes_of", "terms_of", "lineage", policy=STRICT)
+@query(_DRILL + _HAS_TAX + " and " + _HAS_GO, "mapping", "nodes_of", "terms_of", "lineage", branch=True)
 def drilldown_both(v):
     return _drilled(v, tax_ids=_below(v), go_id=35)
 
@@ -240,7 +287,7 @@ def hierarchy_counts(v):
     return hierarchy.nested(v.annotated.mapping())
 
 
-@query("select * from combos where tax_id = 11", "combos", policy=STRICT)
+@query("select * from combos where tax_id = 11", "combos", branch=True)
 def combo_slice_tax(v):
     return hierarchy.combo_slice(v.annotated.combos(), tax_id=11)
 
@@ -254,9 +301,9 @@ def _reported(v) -> DataFrame:
     return v.annotated.taxonomy_nodes().join(v.taxa, "tax_id")
 
 
-@query("select n.tax_id from tax_nodes n join lineage l on l.tax_id = n.tax_id and l.ancestor_id = 11 union select cast(11 as bigint)", "tax_nodes", "lineage", policy=STRICT)
+@query("select n.tax_id from tax_nodes n join lineage l on l.tax_id = n.tax_id and l.ancestor_id = 11 union select cast(11 as bigint)", "tax_nodes", "lineage", branch=True)
 def descendants(v):
-    return graphs.descendants(v.annotated.taxonomy_nodes(), 11, graphs.lineage(v.taxa, v.taxa))
+    return graphs.descendants(v.annotated.taxonomy_nodes(), 11, graphs.ranges(v.annotated.tree))
 
 
 @query("select tax_id, name, case when parent_tax_id is null then 'root' else rank end as rank, parent_tax_id from taxon", "taxon")
@@ -281,20 +328,20 @@ def max_rank(v):
     return hierarchy.max_rank(v.taxa, "phylum").select("tax_id", "name", "rank")
 
 
-@query("select tax_id, ratio_total from reported where rank = 'root' or ratio_total >= 0.02", "reported", policy=STRICT)
+@query("select tax_id, ratio_total from reported where rank = 'root' or ratio_total >= 0.02", "reported", branch=True)
 def min_ratio(v):
     return hierarchy.min_ratio(_reported(v), 0.02).select("tax_id", "ratio_total")
 
 
 @query(
     "select n.tax_id, case when n.parent_tax_id is null then 'no parent' else 'parent not in set' end as problem from reported n where n.rank <> 'kingdom' and n.rank <> 'root' and (n.parent_tax_id is null or n.parent_tax_id not in (select tax_id from reported where rank <> 'kingdom'))",
-    "reported", policy=STRICT
+    "reported", branch=True
 )
 def hierarchy_validation(v):
     return hierarchy.hierarchy_errors(_reported(v).where("rank <> 'kingdom'"))
 
 
-@query("select distinct parent_tax_id as parent from reported where parent_tax_id is not null and parent_tax_id not in (select tax_id from reported where rank <> 'kingdom')", "reported", policy=STRICT)
+@query("select distinct parent_tax_id as parent from reported where parent_tax_id is not null and parent_tax_id not in (select tax_id from reported where rank <> 'kingdom')", "reported", branch=True)
 def dangling_parents(v):
     nodes = _reported(v)
     return hierarchy.dangling_parents(nodes.select(F.col("tax_id").alias("child"), F.col("parent_tax_id").alias("parent")), nodes.where("rank <> 'kingdom'").select(F.col("tax_id").alias("id")))
@@ -305,12 +352,12 @@ def domain_ancestor(v):
     return hierarchy.ranked_ancestor(v.taxa, "kingdom")
 
 
-@query("select n.parent_tax_id as source, n.tax_id as target, n.quantity as value from reported n where n.parent_tax_id in (select tax_id from reported)", "reported", policy=STRICT)
+@query("select n.parent_tax_id as source, n.tax_id as target, n.quantity as value from reported n where n.parent_tax_id in (select tax_id from reported)", "reported", branch=True)
 def sankey_links(v):
     return hierarchy.links(_reported(v))
 
 
-@query("select tax_id, round((ratio_total - (select min(ratio_total) from tax_nodes)) / ((select max(ratio_total) from tax_nodes) - (select min(ratio_total) from tax_nodes)), 9) as normalized from tax_nodes", "tax_nodes", policy=STRICT)
+@query("select tax_id, round((ratio_total - (select min(ratio_total) from tax_nodes)) / ((select max(ratio_total) from tax_nodes) - (select min(ratio_total) from tax_nodes)), 9) as normalized from tax_nodes", "tax_nodes", branch=True)
 def normalize_metric(v):
     return hierarchy.normalized(v.annotated.taxonomy_nodes(), "ratio_total", log=False).select("tax_id", F.round("normalized", 9).alias("normalized"))
 
@@ -378,6 +425,6 @@ def go_report(v):
     return reports.terms_report(v.annotated.go_terms(), v.terms, v.edges).select("go_id", "name", "namespace", "parent_go_ids", "quantity")
 
 
-@query("select n.tax_id, n.name, n.rank, n.parent_tax_id, n.quantity, n.n_peptides from reported n", "reported", policy=STRICT)
+@query("select n.tax_id, n.name, n.rank, n.parent_tax_id, n.quantity, n.n_peptides from reported n", "reported", branch=True)
 def taxonomy_report(v):
     return reports.taxonomy_report(v.annotated.taxonomy_nodes(), v.taxa).select("tax_id", "name", "rank", "parent_tax_id", "quantity", "n_peptides")

@@ -11,15 +11,16 @@ from ..params import FilterPolicy, GoOptions
 from .pipeline import Annotated
 
 POLICY = FilterPolicy(max_evalue=0.08, top_k=1)
-#: With POLICY nearly every peptide has subjects in all branches of the tree, so that all lineages meet in the root. Queries
-#: on organisms use thresholds on hits that leave about as many subjects as peptides.
-STRICT = FilterPolicy(max_evalue=0.01, min_alnlen=48, top_k=1)
-N_TERMS = 127
+#: Line items with their order and part told apart by a branch of the tree: those of one branch have suppliers of one species
+#: (line 7), of one nation, of one region, or any. Peptides then have organisms that meet at every level, over all hits.
+BRANCH = 100_000
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str, policy: FilterPolicy = POLICY):
-        self.spark, self.sf_dir, self.policy = spark, sf_dir, policy
+    """branch: proteins and peptides are orders and parts within a branch of the tree (see BRANCH), else orders and parts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, branch: bool = False):
+        self.spark, self.sf_dir, self.branch = spark, sf_dir, branch
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -28,9 +29,20 @@ class Views:
     def lineitem(self) -> DataFrame:
         return self.table("lineitem")
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        if not self.branch:
+            return self.lineitem
+        nations = self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+        places = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(F.broadcast(nations), "s_nationkey")
+        n = F.col("l_linenumber")
+        branch = F.when(n == 7, 100 + F.col("l_suppkey")).when(n % 3 == 0, 31).when(n % 3 == 1, 25 + F.col("n_regionkey")).otherwise(F.col("s_nationkey"))
+        rows = self.lineitem.join(places, "l_suppkey")
+        return rows.withColumns({c: F.col(c) * BRANCH + branch for c in ("l_orderkey", "l_partkey")})
+
     @property
     def peptide_rows(self) -> DataFrame:
-        return self.lineitem.select(F.col("l_returnflag").alias("list_id"), F.col("l_partkey").alias("peptide"), F.col("l_quantity").alias("quantity"))
+        return self.lines.select(F.col("l_returnflag").alias("list_id"), F.col("l_partkey").alias("peptide"), F.col("l_quantity").alias("quantity"))
 
     @property
     def peptides(self) -> DataFrame:
@@ -38,11 +50,11 @@ class Views:
 
     @property
     def matches(self) -> DataFrame:
-        return self.lineitem.select(F.col("l_partkey").alias("peptide"), F.col("l_orderkey").alias("protein_id")).distinct()
+        return self.lines.select(F.col("l_partkey").alias("peptide"), F.col("l_orderkey").alias("protein_id")).distinct()
 
     @property
     def hits(self) -> DataFrame:
-        return self.lineitem.select(
+        return self.lines.select(
             F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("subject_id"), F.col("l_discount").alias("evalue"), F.col("l_quantity").alias("bitscore"),
             (100 * (1 - F.col("l_tax"))).alias("pident"), F.lit(0.0).alias("qcov"), F.col("l_quantity").cast("int").alias("alnlen"),
             F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("line"),
@@ -65,37 +77,46 @@ class Views:
 
     @property
     def terms(self) -> DataFrame:
-        ids = self.spark.range(1, N_TERMS + 1).withColumnRenamed("id", "go_id")
-        names = F.concat(F.lit("term "), F.col("go_id").cast("string")).alias("name")
-        kinds = F.element_at(F.array(*map(F.lit, ("biological_process", "molecular_function", "cellular_component"))), (F.col("go_id") % 3 + 1).cast("int")).alias("namespace")
-        return ids.select("go_id", names, kinds, (F.col("go_id") % 10 == 0).alias("is_obsolete"))
+        """Parts as terms: a part's parents are those of half and of a third its number."""
+        kinds = F.element_at(F.array(*map(F.lit, ("biological_process", "molecular_function", "cellular_component"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("namespace")
+        return self.table("part").select(F.col("p_partkey").alias("go_id"), F.col("p_name").alias("name"), kinds, (F.col("p_partkey") % 10 == 9).alias("is_obsolete"))
 
     @property
     def edges(self) -> DataFrame:
-        ids = self.spark.range(2, N_TERMS + 1)
-        is_a = ids.select(F.col("id").alias("child"), F.lit("is_a").alias("edge_type"), F.floor(F.col("id") / 2).alias("parent"))
-        part_of = ids.where("id >= 3").select(F.col("id").alias("child"), F.lit("part_of").alias("edge_type"), F.floor(F.col("id") / 3).alias("parent"))
-        return is_a.unionByName(part_of)
+        ids = self.table("part").where("p_partkey >= 1").select(F.col("p_partkey").alias("child"))
+        is_a = ids.select("child", F.lit("is_a").alias("edge_type"), F.floor(F.col("child") / 2).alias("parent"))
+        return is_a.unionByName(ids.where("child >= 3").select("child", F.lit("part_of").alias("edge_type"), F.floor(F.col("child") / 3).alias("parent")))
 
     @property
     def subject_go(self) -> DataFrame:
-        s = F.col("s_suppkey")
-        return self.table("supplier").select(s.alias("subject_id"), F.explode(F.array(64 + s % 64, 64 + (7 * s) % 64)).alias("go_id")).distinct()
+        return self.lineitem.where("l_linenumber = 7 and l_quantity >= 49").select(F.col("l_suppkey").alias("subject_id"), F.col("l_partkey").alias("go_id")).distinct()
 
     @cached_property
     def annotated(self) -> Annotated:
-        return Annotated(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, self.policy, go=GoOptions())
+        return Annotated(self.peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, POLICY, go=GoOptions())
+
+    @cached_property
+    def annotated_lists(self) -> Annotated:
+        """All lists (return flags) as one job."""
+        peptides = self.peptide_rows.groupBy("list_id", "peptide").agg(F.sum("quantity").alias("quantity"))
+        return Annotated(peptides, self.matches, self.subject_tax, self.subject_go, self.taxa, self.edges, self.hits, POLICY, go=GoOptions(), by=("list_id",))
 
 
 #: The same views for the oracle, each with the views it needs.
 SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "peptide": ("select l_partkey as peptide, sum(l_quantity) as quantity from lineitem group by l_partkey", ()),
-    "match_": ("select distinct l_partkey as peptide, l_orderkey as protein_id from lineitem", ()),
+    "peptide": ("select l_partkey as peptide, sum(l_quantity) as quantity from {lines} group by l_partkey", ()),
+    "list_peptide": ("select l_returnflag as list_id, l_partkey as peptide, sum(l_quantity) as quantity from {lines} group by l_returnflag, l_partkey", ()),
+    "list_flags": ("select p.*, p.peptide in (select peptide from implied) as is_annotated from list_peptide p", ("list_peptide", "implied")),
+    "list_cover": (
+        "select list_id, sum(quantity) as total_quantity, sum(case when is_annotated then quantity else 0 end) as annotated_quantity, count(*) as n_peptides, count(*) filter (where is_annotated) as n_annotated from list_flags group by list_id",
+        ("list_flags",),
+    ),
+    "match_": ("select distinct l_partkey as peptide, l_orderkey as protein_id from {lines}", ()),
     "hits": (
-        "select l_orderkey as query_id, l_suppkey as subject_id, l_discount as evalue, l_quantity as bitscore, 100 * (1 - l_tax) as pident, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem",
+        "select l_orderkey as query_id, l_suppkey as subject_id, l_discount as evalue, l_quantity as bitscore, 100 * (1 - l_tax) as pident, l_linenumber, l_partkey, l_suppkey, l_extendedprice from {lines}",
         (),
     ),
-    "top_": ("select * from (select *, rank() over (partition by query_id order by bitscore desc) as r from hits where {passes}) t where r <= 1", ("hits",)),
+    "top_": ("select * from (select *, rank() over (partition by query_id order by bitscore desc) as r from hits where evalue <= 0.08) t where r <= 1", ("hits",)),
     "accepted": ("select distinct query_id, subject_id from top_", ("top_",)),
     "subject_tax": ("select s_suppkey as subject_id, s_suppkey + 1000 as tax_id from supplier", ()),
     "taxon": (
@@ -110,16 +131,16 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("taxon",),
     ),
     "go_term": (
-        "select cast(i as bigint) as go_id, 'term ' || cast(i as varchar) as name, case i % 3 when 0 then 'biological_process' when 1 then 'molecular_function' else 'cellular_component' end as namespace, i % 10 = 0 as is_obsolete from range(1, 128) r(i)",
+        "select p_partkey as go_id, p_name as name, case p_partkey % 3 when 0 then 'biological_process' when 1 then 'molecular_function' else 'cellular_component' end as namespace, p_partkey % 10 = 9 as is_obsolete from part",
         (),
     ),
     "go_edge": (
-        "select cast(i as bigint) as child, 'is_a' as edge_type, cast(i // 2 as bigint) as parent from range(2, 128) r(i) union all select cast(i as bigint), 'part_of', cast(i // 3 as bigint) from range(3, 128) r(i)",
+        "select p_partkey as child, 'is_a' as edge_type, p_partkey // 2 as parent from part where p_partkey >= 1 union all select p_partkey, 'part_of', p_partkey // 3 from part where p_partkey >= 3",
         (),
     ),
     "closure_": ("select go_id, go_id as ancestor from go_term union select c.go_id, e.parent from closure_ c join go_edge e on e.child = c.ancestor", ("go_term", "go_edge")),
     "closure_is_a": ("select go_id, go_id as ancestor from go_term union select c.go_id, e.parent from closure_is_a c join go_edge e on e.child = c.ancestor and e.edge_type = 'is_a'", ("go_term", "go_edge")),
-    "subject_go": ("select s_suppkey as subject_id, 64 + s_suppkey % 64 as go_id from supplier union select s_suppkey, 64 + (7 * s_suppkey) % 64 from supplier", ()),
+    "subject_go": ("select distinct l_suppkey as subject_id, l_partkey as go_id from lineitem where l_linenumber = 7 and l_quantity >= 49", ()),
     "implied": ("select distinct m.peptide, a.subject_id from match_ m join accepted a on a.query_id = m.protein_id", ("match_", "accepted")),
     "flags": ("select p.*, p.peptide in (select peptide from implied) as is_annotated from peptide p", ("peptide", "implied")),
     "pep_tax": ("select distinct i.peptide, s.tax_id from implied i join subject_tax s on s.subject_id = i.subject_id", ("implied", "subject_tax")),
@@ -165,9 +186,16 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def sql(select: str, *views: str, policy: FilterPolicy = POLICY) -> str:
-    """The select with the views that it needs before it. The alignment length of these hits is their bit score."""
-    passes = f"evalue <= {policy.max_evalue}" + (f" and bitscore >= {policy.min_alnlen}" if policy.min_alnlen else "")
+#: Views.lines in SQL.
+LINES = (
+    f"(select l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_orderkey * {BRANCH} + b as l_orderkey, l_partkey * {BRANCH} + b as l_partkey from"
+    " (select l.*, case when l_linenumber = 7 then 100 + l_suppkey when l_linenumber % 3 = 0 then 31 when l_linenumber % 3 = 1 then 25 + n_regionkey else s_nationkey end as b"
+    " from lineitem l join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey))"
+)
+
+
+def sql(select: str, *views: str, branch: bool = False) -> str:
+    """The select with the views that it needs before it."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -178,4 +206,4 @@ def sql(select: str, *views: str, policy: FilterPolicy = POLICY) -> str:
 
     for name in views:
         need(name)
-    return "with recursive " + ", ".join(f"{n} as ({SQL_VIEWS[n][0]})" for n in order).replace("{passes}", passes) + " " + select
+    return "with recursive " + ", ".join(f"{n} as ({SQL_VIEWS[n][0]})" for n in order).replace("{lines}", LINES if branch else "lineitem") + " " + select

@@ -1,24 +1,26 @@
-"""One run from files to reports, over any number of peptide lists."""
+"""One run from files to reports, over any number of peptide lists, which are matched, annotated and rolled up together.
+
+Paths may be remote: all is read by Spark and written through Hadoop's file systems.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import annotate, matching
 from .operators import hits as hit_ops
-from .operators import matching
 from .params import FilterPolicy, GoOptions
 from .plans.pipeline import Annotated
-from .plans.tables import written
-from .sinks import reports
+from .plans.tables import scratch, written
+from .sinks import files, reports
 from .sources import peptides, proteins, references
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Paths. Hits come as tabular aligner output; annotations as tables of build_annotations."""
+    """Paths. Hits: tabular aligner output, or mock hits (.json). Annotations: tables of build_annotations, or mock ones (.json)."""
 
     lists: tuple[str, ...]
     background: str
@@ -34,51 +36,60 @@ def matched_lists(lists: DataFrame, background: DataFrame, strategy: str = "auto
     return lists.select("list_id", "peptide").join(found, "peptide").select("list_id", "peptide", "protein_id")
 
 
-def annotated_list(rows: DataFrame, found: DataFrame, list_id: str, **shared) -> Annotated:
-    """One list's part of a run over several: rows (list_id, peptide, quantity), found (see matched_lists)."""
-    own = rows.where(rows["list_id"] == list_id).select("peptide", "quantity")
-    return Annotated(own, found.where(found["list_id"] == list_id).select("peptide", "protein_id"), **shared)
-
-
 def build_annotations(spark: SparkSession, fasta: str, gaf: str, folder: str) -> None:
     """Annotation tables from protein headers and gene associations."""
     reports.write_annotation_tables(*proteins.annotation_tables(proteins.read_fasta_taxa(spark, fasta), proteins.read_gaf(spark, gaf)), folder)
 
 
+def _annotations(spark: SparkSession, path: str, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subject_id, tax_id), (subject_id, go_id) of the subjects."""
+    if path.endswith(".json"):
+        tax, go = references.read_mock_annotations(spark, path)
+        return tax.join(subjects, "subject_id", "left_semi"), go.join(subjects, "subject_id", "left_semi")
+    known = [spark.read.parquet(f"{path}/{name}") for name in ("taxonomy", "go_annotations")]
+    found = written(annotate.lookup_subjects(subjects, *known))
+    return found.select("subject_id", "tax_id").distinct(), found.select("subject_id", "go_id").where("go_id is not null").distinct()
+
+
 def run(spark: SparkSession, inputs: Inputs, out: str, policy: FilterPolicy | None = None, go: GoOptions | None = None, alphabet: str | None = None) -> list[str]:
-    """Write each list's reports below out/list_000, list_001, ... and the manifest; the names of the lists."""
-    from .operators import annotate
-
-    policy, go = policy or FilterPolicy(), go or GoOptions()
-    names = [f"list_{k:03d}" for k in range(len(inputs.lists))]
-    lists = [peptides.read_peptides(spark, path, name, alphabet) for name, path in zip(names, inputs.lists)]
-    rows = lists[0]
-    for more in lists[1:]:
-        rows = rows.unionByName(more)
+    """Write each list's reports below out/list_000, list_001, ..., the proteins that peptides hit, and the manifest; the names of the lists.
+
+    All lists are one job: their number changes rows, not jobs, but for reading them and joining each one's parts.
+    """
+    with scratch():
+        return _run(spark, inputs, out.rstrip("/"), policy or FilterPolicy(), go or GoOptions(), alphabet)
+
+
+def _run(spark: SparkSession, inputs: Inputs, out: str, policy: FilterPolicy, go: GoOptions, alphabet: str | None) -> list[str]:
+    names = {f"list_{k:03d}": f"list_{k:03d}" for k in range(len(inputs.lists))}
+    rows: DataFrame | None = None
+    for name, path in zip(names, inputs.lists):
+        one = peptides.read_peptides(spark, path, name, alphabet)
+        rows = one if rows is None else rows.unionByName(one)
     rows = written(rows)
-    records = proteins.read_fasta(spark, inputs.background)
-    found = written(matched_lists(rows, proteins.last_records(records)))
-    hits = references.read_hits(spark, inputs.hits)
-    subjects = hit_ops.accepted(hits, policy).select("subject_id").distinct()
-    known = [spark.read.parquet(f"{inputs.annotations}/{name}") for name in ("taxonomy", "go_annotations")]
-    looked_up = written(annotate.lookup_subjects(subjects, *known))
+    background = proteins.last_records(proteins.read_fasta(spark, inputs.background))
+    found = written(matching.matches(rows.select("peptide").distinct(), background))
+    hit = found.select("protein_id").distinct()
+    reports.write_fasta(reports.subset_fasta(background, hit), f"{out}/hit_proteins.fasta")
+    asked = hit.withColumnRenamed("protein_id", "query_id")
+    if inputs.hits.endswith(".json"):
+        source = {"given": references.read_mock_hits(spark, inputs.hits).join(asked, "query_id", "left_semi")}
+        accepted = source["given"]
+    else:
+        source = {"hits": references.read_hits(spark, inputs.hits).join(asked, "query_id", "left_semi"), "policy": policy}
+        accepted = hit_ops.accepted(source["hits"], policy)
+    subject_tax, subject_go = _annotations(spark, inputs.annotations, accepted.select("subject_id").distinct())
     taxa = references.read_taxonomy(spark, inputs.taxonomy)
     terms, edges = references.read_go(spark, inputs.ontology)
-    shared = {
-        "subject_tax": looked_up.select("subject_id", "tax_id").distinct(), "subject_go": looked_up.select("subject_id", "go_id").where("go_id is not null").distinct(),
-        "taxa": taxa, "edges": edges, "hits": hits, "policy": policy, "go": go,
-    }
-    for name in names:
-        folder = Path(out) / name
-        folder.mkdir(parents=True, exist_ok=True)
-        one = annotated_list(rows, found, name, **shared)
-        mapping = written(one.mapping())
-        reports.write_csv(reports.taxonomy_report(one.taxonomy_nodes(), taxa), f"{folder}/taxonomy_nodes.csv")
-        reports.write_csv(reports.terms_report(one.go_terms(), terms, edges, go.edge_types), f"{folder}/go_terms.csv")
-        reports.write_csv(one.coverage(), f"{folder}/coverage.csv")
-        reports.write_csv(reports.combo_report(one.combos(), taxa, terms, edges, go.edge_types), f"{folder}/go_taxonomy_combo.csv")
-        reports.write_mapping(mapping, f"{folder}/peptide_mapping.parquet")
-        reports.write_details(mapping, f"{folder}/peptide_details.csv")
-    sources = {f"list {n}": p for n, p in zip(names, inputs.lists)} | {"background": inputs.background, "hits": inputs.hits, "ontology": inputs.ontology}
-    (Path(out) / "manifest.json").write_text(reports.manifest({"policy": vars(policy), "go": vars(go)}, sources))
-    return names
+    by = ("list_id",)
+    all_ = Annotated(rows, found, subject_tax, subject_go, taxa, edges, go=go, by=by, **source)
+    mapping = written(all_.mapping())
+    reports.write_csv(reports.taxonomy_report(all_.taxonomy_nodes(), taxa, by), f"{out}/{{}}/taxonomy_nodes.csv", names)
+    reports.write_csv(reports.terms_report(all_.go_terms(), terms, edges, go.edge_types, by=by), f"{out}/{{}}/go_terms.csv", names)
+    reports.write_csv(all_.coverage().orderBy("list_id"), f"{out}/{{}}/coverage.csv", names)
+    reports.write_csv(reports.combo_report(all_.combos(), taxa, terms, edges, go.edge_types, by), f"{out}/{{}}/go_taxonomy_combo.csv", names)
+    reports.write_mappings(mapping, f"{out}/{{}}/peptide_mapping.parquet", names)
+    reports.write_details(mapping, f"{out}/{{}}/peptide_details.csv", names)
+    sources = {f"list {n}": p for n, p in zip(names, inputs.lists)} | {k: getattr(inputs, k) for k in ("background", "hits", "annotations", "ontology", "taxonomy")}
+    files.write_text(spark, f"{out}/manifest.json", reports.manifest(spark, {"policy": vars(policy), "go": vars(go)}, sources))
+    return [*names]

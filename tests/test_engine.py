@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -63,6 +64,27 @@ def test_scenario(scenario):
     assert aggregate.violations(run.taxonomy_nodes(), run.coverage(), "tax_id").count() == 0
 
 
+def test_lists_in_one_job_and_no_table_left(spark, scenario):
+    """Each list's rows are those of a run of its own; close() deletes what a run has written."""
+    one, _, edges, taxa = scenario
+    lists = {"x": [("WANDER", 12.0), ("LOST", 1.0)], "y": [("STREAM", 4.0), ("WANDER", 5.0)], "z": [("LOST", 2.0)]}
+    given = {"subject_tax": one.subject_tax, "subject_go": one.subject_go, "taxa": taxa, "edges": edges, "given": one.given}
+    before = tables_in(spark)
+    together = Annotated(spark.createDataFrame([(k, *r) for k, rows in lists.items() for r in rows], "list_id string, peptide string, quantity double"), one.all_matches, by=("list_id",), **given)
+    for made in (Annotated.coverage, Annotated.taxonomy_nodes, Annotated.go_terms, Annotated.combos, Annotated.mapping):
+        found = made(together).collect()
+        for name, rows in lists.items():
+            alone = made(Annotated(spark.createDataFrame(rows, "peptide string, quantity double"), one.all_matches, **given)).collect()
+            assert sorted(tuple(r)[1:] for r in found if r.list_id == name) == sorted(tuple(r) for r in alone if r[0] or made is not Annotated.coverage)
+    kept = tables_in(spark)
+    together.close()
+    assert len(kept - tables_in(spark)) == 4 and before <= tables_in(spark)
+
+
+def tables_in(spark):
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("table-*")}
+
+
 def test_report_files(scenario, tmp_path):
     run, _, _, taxa = scenario
     reports.write_csv(reports.taxonomy_report(run.taxonomy_nodes(), taxa), f"{tmp_path}/t.csv")
@@ -101,15 +123,53 @@ def test_lineage_and_lca_edge_cases(spark):
     sets = {"a": {31, 32}, "b": {31, 33}, "c": {31, 41}, "d": {31}, "e": {777}, "f": {777, 31}, "g": {12, 31}, "h": {80}}
     rows = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts] + [("n", None)], "peptide string, tax_id bigint")
     lines = graphs.lineage(taxa, rows.union(spark.createDataFrame([("x", 90)], rows.schema)))
-    got = dict(map(tuple, graphs.lca(graphs.common_ancestors(rows, lines)).collect()))
+    got = dict(map(tuple, graphs.lowest_common_of(rows, graphs.tree(taxa, rows)).collect()))
     assert got == {"a": 12, "b": 5, "c": 2, "d": 31, "e": 777, "g": 12, "h": 80}
     assert {r.ancestor_id for r in lines.where("tax_id = 80").collect()} == {80, 999}
     assert {r.ancestor_id for r in lines.where("tax_id = 90").collect()} == {90, 91}
 
 
+def test_cycles_and_unknown_parents(spark):
+    """Ways into cycles of several lengths end where they meet themselves; in a tree the least id of a cycle is its root."""
+    up = {1: 2, 2: 3, 3: 1, 4: 1, 5: 4, 6: 6, 7: 6, 8: 9, 9: 8, 10: 8, 11: 55, 12: None}
+    taxa = spark.createDataFrame([(i, "n", "r", p) for i, p in up.items()], "tax_id bigint, name string, rank string, parent_tax_id bigint")
+    want = {}
+    for i in [*up, 55, 70]:
+        way = [i]
+        while (p := up.get(way[-1])) is not None and p not in way:
+            way.append(p)
+        want[i] = way
+    ids = taxa.select("tax_id").union(spark.createDataFrame([(70,)], "tax_id bigint"))
+    lines = {}
+    for r in graphs.lineage(taxa, ids).orderBy("dist").collect():
+        lines.setdefault(r.tax_id, []).append(r.ancestor_id)
+    assert lines == {i: way for i, way in want.items() if i != 55}
+    paths = {r.tax_id: r.path for r in graphs.tree(taxa, ids).collect()}
+    assert paths[3] == [1, 3] and paths[2] == [1, 3, 2] and paths[5] == [1, 4, 5] and paths[10] == [8, 10] and paths[9] == [8, 9] and paths[11] == [55, 11] and paths[70] == [70] and paths[6] == [6]
+
+
+def test_lowest_common_ancestors_and_ranges_of_random_trees(spark):
+    rng = random.Random(3)
+    parents = {0: None} | {i: rng.randrange(max(0, i - rng.choice([2, 40])), i) for i in range(1, 300)}
+    taxa = spark.createDataFrame([(i, "n", "r", p) for i, p in parents.items()], "tax_id bigint, name string, rank string, parent_tax_id bigint")
+
+    def way(i):
+        return [i] + (way(parents[i]) if parents[i] is not None else [])
+
+    sets = {k: {rng.randrange(max(1, 300 - rng.choice([10, 300])), 300) for _ in range(rng.randint(1, 5))} for k in range(150)}
+    want = {k: next(a for a in way(min(s)) if all(a in way(x) for x in s)) for k, s in sets.items()}
+    tree = graphs.tree(taxa, taxa)
+    rows = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "peptide int, tax_id bigint")
+    assert dict(map(tuple, graphs.lowest_common_of(rows, tree).collect())) == want
+    for root in (0, 7, 299):
+        assert {r.tax_id for r in graphs.descendants(taxa, root, graphs.ranges(tree)).collect()} == {i for i in parents if root in way(i)}
+
+
 def test_lineage_of_a_deep_tree(spark):
     parent = F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_tax_id")
     taxa = spark.range(601).select(F.col("id").alias("tax_id"), F.lit("n").alias("name"), F.lit("r").alias("rank"), parent)
+    ends = spark.createDataFrame([("p", 600), ("p", 411), ("q", 600)], "peptide string, tax_id bigint")
+    assert dict(map(tuple, graphs.lowest_common_of(ends, graphs.tree(taxa, ends)).collect())) == {"p": 411, "q": 600}
     got = graphs.lineage(taxa, taxa.where("tax_id = 600")).collect()
     assert {(r.ancestor_id, r.dist) for r in got} == {(600 - d, d) for d in range(601)} and len(got) == 601
 
@@ -180,11 +240,11 @@ def test_formats(spark, tmp_path):
     terms, edges = references.read_go(spark, f"{tmp_path}/o.obo")
     assert {(r.go_id, r.name, r.is_obsolete) for r in terms.collect()} == {("GO:1", "root", False), ("GO:2", "child again", False), ("GO:4", "old", True)}
     assert {tuple(r) for r in edges.collect()} == {("GO:2", "is_a", "GO:4")}
-    (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tdomain\t|\n10\t|\t2\t|\tphylum\t|\n")
-    (tmp_path / "names.dmp").write_text("1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tBacteria\t|\t\t|\tscientific name\t|\n2\t|\tx\t|\t\t|\tsynonym\t|\n")
-    assert {tuple(r) for r in references.read_taxonomy(spark, str(tmp_path)).collect()} == {(1, "root", "no rank", None), (2, "Bacteria", "domain", 1), (10, "taxid_10", "phylum", 2)}
-    (tmp_path / "b.tsv").write_text("# c\n\nQ1\tS1\t95.0\t100\t5\t0\t1\t100\t1\t100\t1e-50\t200\n")
-    assert references.read_hits(spark, f"{tmp_path}/b.tsv").drop("line").first() == ("Q1", "S1", 1e-50, 200.0, 95.0, 0.0, 100)
+    (tmp_path / "nodes.dmp").write_text("3\t|\t3\t|\tno rank\t|\n7\t|\t3\t|\trealm\t|\n21\t|\t7\t|\tclan\t|\n")
+    (tmp_path / "names.dmp").write_text("3\t|\tall\t|\t\t|\tscientific name\t|\n7\t|\tMosses\t|\t\t|\tscientific name\t|\n7\t|\tx\t|\t\t|\tsynonym\t|\n")
+    assert {tuple(r) for r in references.read_taxonomy(spark, str(tmp_path)).collect()} == {(3, "all", "no rank", None), (7, "Mosses", "realm", 3), (21, "taxid_21", "clan", 7)}
+    (tmp_path / "b.tsv").write_text("# c\n\nprot4\tsubj9\t81.25\t64\t12\t0\t3\t66\t5\t68\t2e-17\t143\n")
+    assert references.read_hits(spark, f"{tmp_path}/b.tsv").drop("line").first() == ("prot4", "subj9", 2e-17, 143.0, 81.25, 0.0, 64)
 
 
 def test_scalar_functions(spark):

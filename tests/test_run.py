@@ -1,6 +1,7 @@
 """A run from files to reports over two lists, and the files it writes."""
 
 import csv
+import hashlib
 import json
 
 import pytest
@@ -53,7 +54,40 @@ def test_run_over_two_lists(spark, files, tmp_path):
     assert details[1:] == ['"CATNIP","X1","sp|O11111|A",1.0E-30,91.5', '"CATNIP","X2","sp|O22222|B",1.0E-30,91.5']
     reports.mapping_view(spark, f"{second}/peptide_mapping.parquet")
     assert spark.sql("select count(*) from mappings where array_contains(peptide_lca_tax_ids, 33)").first()[0] == 1
-    assert len(json.loads((tmp_path / "out/manifest.json").read_text())["inputs"]) == 5
+    assert (tmp_path / "out/hit_proteins.fasta").read_text() == ">X1\nKCATNIPK\n>X2\nWANDERCATNIP\n"
+    told = json.loads((tmp_path / "out/manifest.json").read_text())["inputs"]
+    assert len(told) == 7 and told["background"] == hashlib.sha256((d / "bg.fasta").read_bytes()).hexdigest()
+    assert {k.split("/")[0] for k in told["annotations"]} == {"taxonomy", "go_annotations", "metadata"}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["hit_proteins.fasta", "list_000", "list_001", "manifest.json"]
+
+
+def test_run_with_mock_sources_and_a_list_without_annotations(spark, files, tmp_path):
+    """Mock hits name a protein that no peptide is in; one list has no match, one only peptides without organisms."""
+    d = files
+    (tmp_path / "c.tsv").write_text("NOWHERE\t2\n")
+    (tmp_path / "hits.json").write_text(json.dumps({"background_to_subjects": {"X1": ["S1"], "X2": ["S2", "S3"], "X3": ["S4"]}}))
+    (tmp_path / "subjects.json").write_text(json.dumps({"subjects": {"S1": {"tax_id": 31, "go_terms": ["GO:0000110"]}, "S2": {"tax_id": 12, "go_terms": []}, "S4": {"tax_id": 2, "go_terms": ["GO:0000111"]}}}))
+    uri = f"file://{tmp_path}/out"
+    inputs = run.Inputs((f"{d}/a.tsv", f"{tmp_path}/c.tsv"), f"{d}/bg.fasta", f"{tmp_path}/hits.json", f"{tmp_path}/subjects.json", f"{d}/go.obo", f"{d}/tax.json")
+    run.run(spark, inputs, uri)
+    first, second = tmp_path / "out/list_000", tmp_path / "out/list_001"
+    assert [(r["tax_id"], r["quantity"], r["n_peptides"]) for r in rows_of(first / "taxonomy_nodes.csv")] == [(t, "6.0000000000", "1") for t in ("2", "5", "12")]
+    assert [r["go_id"] for r in rows_of(first / "go_terms.csv")] == ["GO:0000101", "GO:0000110"]
+    assert rows_of(second / "taxonomy_nodes.csv") == [] and (second / "go_terms.csv").read_text().startswith("go_id,name")
+    assert rows_of(second / "coverage.csv")[0]["annotation_coverage_ratio"] == "0.0000000000"
+    assert spark.read.parquet(f"{second}/peptide_mapping.parquet").count() == 0 and len(spark.read.parquet(f"{second}/peptide_mapping.parquet").columns) == 7
+    assert len((first / "peptide_details.csv").read_text().splitlines()) == 1 + 3
+
+
+def test_csv_cells(spark, tmp_path):
+    """Many parts, in order, as a plain writer would have them."""
+    rows = [(i, f'te"x,t\n{i}' if i % 3 else "plain", i / 7 * 10.0 ** (i % 9 - 7), None if i % 4 else "") for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string").repartition(9).orderBy("a")
+    reports.write_csv(df, f"{tmp_path}/x.csv")
+    with open(tmp_path / "y.csv", "w", newline="") as file:
+        out = csv.writer(file, lineterminator="\n")
+        out.writerows([["a", "b", "c", "d"], *[[a, b, f"{c:.10f}", d or ""] for a, b, c, d in rows]])
+    assert (tmp_path / "x.csv").read_text() == (tmp_path / "y.csv").read_text()
 
 
 def test_missing_hits_and_an_empty_mapping(spark, files, tmp_path):
