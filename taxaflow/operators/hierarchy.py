@@ -93,9 +93,14 @@ def links(nodes: DataFrame) -> DataFrame:
     return nodes.join(known, "parent_tax_id", "left_semi").select(F.col("parent_tax_id").alias("source"), F.col("tax_id").alias("target"), F.col("quantity").alias("value"))
 
 
+def metric_value(nodes: DataFrame, metric: str) -> Column:
+    """A report's number by its name, 0 where it is missing, as a report without that column has none."""
+    return F.coalesce(F.col(metric).cast("double"), F.lit(0.0)) if metric in nodes.columns else F.lit(0.0)
+
+
 def normalized(nodes: DataFrame, metric: str, log: bool) -> DataFrame:
     """nodes with `normalized`: the metric (its log1p for counts and quantities) from 0 to 1; 0 if all are equal."""
-    value = F.coalesce(F.col(metric).cast("double"), F.lit(0.0))
+    value = metric_value(nodes, metric)
     rows = nodes.withColumn("__v", F.log1p(value) if log else value)
     ends = F.broadcast(rows.agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))  # one row
     span = F.col("__hi") - F.col("__lo")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -16,7 +17,7 @@ class FilterPolicy:
     top_k: int | None = None
 
     def __post_init__(self):
-        if self.max_evalue is not None and not 0 < self.max_evalue <= 1000:
+        if self.max_evalue is not None and not 0 < self.max_evalue <= 1000:  # NaN and infinity fail too
             raise ValueError("max_evalue must be in (0, 1000]")
         for name in ("min_pident", "min_qcov"):
             value = getattr(self, name)
@@ -45,3 +46,18 @@ class GoOptions:
         """Comma-separated edge types; an empty text gives the default ones."""
         types = tuple(x.strip() for x in text.split(",") if x.strip())
         return cls(types or cls.edge_types, include_self)
+
+
+def plain_name(name: str) -> str:
+    """The name of a database, which must be no path; '' for none."""
+    if ".." in name or "/" in name or "\\" in name:
+        raise ValueError("a database is named by a plain file name")
+    return name
+
+
+def email(address: str) -> str:
+    """An address to notify, without white space around it; '' for none."""
+    address = address.strip()
+    if address and not re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", address):
+        raise ValueError("no e-mail address")
+    return address

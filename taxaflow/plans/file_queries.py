@@ -12,6 +12,7 @@ from ..operators import graphs
 from ..run import matched_lists
 from ..sinks import reports
 from ..sources import peptides, proteins, references
+from ..sources.lines import numbered_lines
 from .queries import _gaf_lines, query
 from .tables import shared_folder
 
@@ -34,7 +35,21 @@ def _text(*parts) -> DataFrame:
 def fasta_reader(v):
     sequence = normalize_sequence(F.col("p_name"))
     lines = v.table("part").select(_text(">", F.col("p_partkey"), " ", F.col("p_name"), "\n", F.substring(sequence, 1, 7), "\n", F.expr("substring(regexp_replace(upper(p_name), '[^A-Z]', ''), 8)")))
-    return proteins.read_fasta(v.spark, _file(lines)).select("protein_id", "description", "sequence")
+    return proteins.read_fasta(v.spark, _file(lines.repartition(2))).select("protein_id", "description", "sequence")
+
+
+@query("select cast(p_partkey % 500 as varchar) as protein_id, upper(arg_max(p_name, p_partkey)) as sequence from part group by p_partkey % 500")
+def fasta_last_wins(v):
+    """Records that repeat ids within and between three files: the last one by file and place counts."""
+    lines = v.table("part").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").select(_text(">", F.col("p_partkey") % 500, "\n", F.upper("p_name")))
+    return proteins.last_records(proteins.read_fasta(v.spark, _file(lines)))
+
+
+@query("select row_number() over (order by p_partkey) as number, p_name as value from part")
+def line_numbers(v):
+    """Lines of three files, numbered without a window over any."""
+    lines = v.table("part").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").select(F.col("p_name").alias("value"))
+    return numbered_lines(v.spark, _file(lines)).select("number", "value")
 
 
 @query("select 'O' || cast(10000 + s_suppkey as varchar) as accession, s_suppkey as tax_id from supplier where s_suppkey % 3 <> 0")
@@ -59,7 +74,7 @@ def gaf_reader(v):
 @query("select 'list_000' as list_id, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') as peptide, cast(sum(p_size) as double) as quantity from part group by all")
 def peptide_reader(v):
     lines = v.table("part").select(_text('"', F.col("p_name"), "[", F.col("p_partkey"), ']"\t', F.col("p_size")))
-    return peptides.read_peptides(v.spark, _file(lines, one=True))
+    return peptides.read_peptides(v.spark, _file(lines.repartition(3)))
 
 
 @query("select tax_id, name, rank, parent_tax_id from taxon", "taxon")
@@ -78,12 +93,20 @@ def taxonomy_json_reader(v):
     return references.read_taxonomy(v.spark, _file(references.taxonomy_json(v.taxa), "taxonomy.jsonl"))
 
 
+@query("select tax_id, name, rank, parent_tax_id from taxon", "taxon")
+def taxonomy_nodes_json_reader(v):
+    """The normal form with one object of all nodes."""
+    path = f"{shared_folder(v.spark)}/files-{uuid.uuid4().hex}/taxonomy.json"
+    references.write_taxonomy_json(v.taxa, path)
+    return references.read_taxonomy(v.spark, path)
+
+
 def _obo(v) -> str:
     tags = v.edges.select("child", F.when(F.col("edge_type") == "is_a", F.concat(F.lit("is_a: "), "parent")).otherwise(F.concat(F.lit("relationship: part_of "), "parent")).alias("tag"))
     tags = tags.groupBy(F.col("child").alias("go_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("tag", F.lit(" ! a comment\n")))), "").alias("tags"))
     old = F.when(F.col("is_obsolete"), "is_obsolete: true\n").otherwise("")
     stanzas = v.terms.join(tags, "go_id", "left").select(_text("[Term]\nid: ", F.col("go_id"), "\nname: ", F.col("name"), "\nnamespace: ", F.col("namespace"), "\n", F.coalesce("tags", F.lit("")), old))
-    return _file(stanzas, "terms.obo", one=True)
+    return _file(stanzas.repartition(2), "terms.obo")
 
 
 @query("select cast(go_id as varchar) as go_id, name, namespace, is_obsolete from go_term", "go_term")

@@ -219,7 +219,8 @@ def combos_by_list(v):
     " select tax_id, 'negative quantity' as problem from broken where quantity < 0 union all select tax_id, 'quantity above annotated quantity' from broken where quantity > most + 1e-3"
     " union all select tax_id, 'ratio_total outside 0 to 1' from broken where ratio_total > 1 + 1e-9 union all select tax_id, 'ratio_annotated outside 0 to 1' from broken where ratio_annotated < -1e-9"
     " union all select tax_id, 'ratio_total above ratio_annotated' from broken where ratio_total > ratio_annotated + 1e-9 union all select tax_id, 'more peptides than annotated' from broken where n_peptides > n_annotated"
-    .format(nodes=sql("select * from tax_nodes", "tax_nodes", branch=True), cover=sql("select * from cover", "cover", branch=True))
+    .format(nodes=sql("select * from tax_nodes", "tax_nodes", branch=True), cover=sql("select * from cover", "cover", branch=True)),
+    branch=True,
 )
 def planted_violations(v):
     """Nodes of the report, some of them broken in each way that an invariant rules out."""

@@ -188,7 +188,7 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 
 #: Views.lines in SQL.
 LINES = (
-    f"(select l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_orderkey * {BRANCH} + b as l_orderkey, l_partkey * {BRANCH} + b as l_partkey from"
+    f"(select l_suppkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax, l_orderkey * {BRANCH} + b as l_orderkey, l_partkey * {BRANCH} + b as l_partkey from"
     " (select l.*, case when l_linenumber = 7 then 100 + l_suppkey when l_linenumber % 3 = 0 then 31 when l_linenumber % 3 = 1 then 25 + n_regionkey else s_nationkey end as b"
     " from lineitem l join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey))"
 )

@@ -38,8 +38,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def join_parts(spark: SparkSession, folder: str, path: str, header: str = "") -> None:
-    """One file of the header and the folder's files in order of name, in place of what is there."""
+def join_parts(spark: SparkSession, folder: str, path: str, header: str = "", footer: str = "") -> None:
+    """One file of the header, the folder's files in order of name, and the footer, in place of what is there."""
     system, at = _path(spark, path)
     out = system.create(at, True)
     out.write(bytearray(header.encode()))
@@ -48,6 +48,7 @@ def join_parts(spark: SparkSession, folder: str, path: str, header: str = "") ->
         stream = system.open(source)
         spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, BLOCK, False)
         stream.close()
+    out.write(bytearray(footer.encode()))
     out.close()
 
 
@@ -74,7 +75,7 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
-def write_lines(lines: DataFrame, path: str, header: str = "", by: str | None = None, names: dict[str, str] | None = None) -> None:
+def write_lines(lines: DataFrame, path: str, header: str = "", by: str | None = None, names: dict[str, str] | None = None, footer: str = "") -> None:
     """The column `value` of ordered rows as one text file: tasks write parts, ranges of the order, that are joined by name.
 
     by: a column, the first of the order, with a file for each of its values: path is then a pattern with {}. names: the
@@ -85,11 +86,11 @@ def write_lines(lines: DataFrame, path: str, header: str = "", by: str | None =
     try:
         if by is None:
             lines.select("value").write.text(parts)
-            join_parts(spark, parts, path, header)
+            join_parts(spark, parts, path, header, footer)
         else:
             lines.select("value", by).write.partitionBy(by).text(parts)
             for value, name in (names or {}).items():
-                join_parts(spark, f"{parts}/{by}={value}", path.replace("{}", name), header)
+                join_parts(spark, f"{parts}/{by}={value}", path.replace("{}", name), header, footer)
     finally:
         delete(spark, parts)
 

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_numeric, normalize_sequence, outside_alphabet, parse_quantity, stripped
+from .lines import numbered_lines
 
 
 def read_peptides(spark: SparkSession, path: str, list_id: str = "list_000", alphabet: str | None = None) -> DataFrame:
     """list_id, peptide, quantity: equal sequences are summed. The first broken rule, by line, is a ValueError.
 
-    A list is an uploaded file of bounded size, so it is read as one text to number its lines.
+    A file of any size, or a folder whose files follow each other by name: lines are numbered split by split.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
-    lines = lines.withColumn("n", F.col("n") + 1)
+    lines = numbered_lines(spark, path).select("value", F.col("number").alias("n"))
     first = lines.where("n = 1").first()
     if first is None or not first.value.strip():
         raise ValueError("line 1: empty")

@@ -5,21 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import ordered_lines
+from .lines import ordered_lines, place
+
+
+def check_fasta(spark: SparkSession, path: str) -> None:
+    """A ValueError unless the first line that is not blank is a header and the next one is sequence. Reads the first lines only."""
+    lines = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if not lines:
+        raise ValueError("FASTA: empty")
+    if not lines[0].startswith(">"):
+        raise ValueError("FASTA: the first line is no header")
+    if len(lines) < 2 or lines[1].startswith(">"):
+        raise ValueError("FASTA: a header without sequence")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """protein_id, description, sequence. A sequence before the first header, or an empty header, is an error."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("r"), F.col("value").rlike(r"^\s*>").alias("marked"), F.monotonically_increasing_id().alias("n"))
-    records = records.where(F.trim(F.regexp_replace("r", r"\s", "")) != "")
-    lines = F.split("r", r"\r?\n")
-    header = F.regexp_replace(F.get(lines, F.lit(0)), r"^\s+|\s+$", "")
-    body = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "")
-    first = F.when(~F.col("marked") & (F.col("n") == 0), F.raise_error(F.lit("FASTA: sequence before the first header")))
-    bad = F.when(header == "", F.raise_error(F.lit("FASTA: empty header"))).otherwise(first)
+    """protein_id, description, sequence, rec_no (orders records by file, then by place in it).
+
+    A sequence before the first header of any file, or an empty header, is an error. Files are split at any place: a record
+    belongs to the split that it begins in.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).select("value", place().alias("rec_no"))
+    # Only a file's first record still has its mark; it may be line ends alone.
+    kind = F.when(F.col("value").rlike(r"^[\r\n]*>"), "record").when(F.col("value").rlike(r"^[\r\n]*$"), "blank").otherwise("wrong")
+    firsts = records.where("rec_no.block = 0").groupBy("rec_no.file").agg(F.min("rec_no").alias("rec_no"), F.min_by(kind, "rec_no").alias("kind"))
+    odd = {r.kind: r.file for r in firsts.groupBy("kind").agg(F.min("file").alias("file")).collect()}
+    if "wrong" in odd:
+        raise ValueError(f"FASTA: sequence before the first header in {odd['wrong']}")
+    if "blank" in odd:  # a row for each such file
+        records = records.join(F.broadcast(firsts.where("kind = 'blank'").select("rec_no")), "rec_no", "left_anti")
+    lines = F.split(F.regexp_replace("value", r"^[\r\n]*>", ""), r"\r?\n")
+    records = records.withColumn("lines", lines)
+    header = F.regexp_replace(F.get("lines", F.lit(0)), r"^\s+|\s+$", "")
+    body = F.array_join(F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "")
+    bad = F.when(header == "", F.raise_error(F.lit("FASTA: empty header")))
     return records.select(
         F.coalesce(bad.cast("string"), F.regexp_extract(header, r"^(\S+)\s*(.*)$", 1)).alias("protein_id"),
-        F.regexp_extract(header, r"^(\S+)\s*(.*)$", 2).alias("description"), body.alias("sequence"), F.col("n").alias("rec_no"),
+        F.regexp_extract(header, r"^(\S+)\s*(.*)$", 2).alias("description"), body.alias("sequence"), "rec_no",
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import field, ordered_lines
+from ..sinks import files
+from .lines import field, ordered_lines, running
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -41,11 +42,10 @@ def read_hits(spark: SparkSession, path: str, columns: str = "query_id subject_i
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(terms: go_id, name, namespace, is_obsolete; edges: child, edge_type, parent) of an ontology's [Term] stanzas.
 
-    A value ends at the first `!`. An ontology is one file of some ten MB, so one task numbers its stanzas.
+    A value ends at the first `!`. Stanzas are numbered split by split.
     """
     rows = ordered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", r"\s*!.*$", "")))
-    stanza = F.sum(F.col("value").startswith("[").cast("int")).over(Window.orderBy("line"))
-    rows = rows.withColumn("stanza", stanza).where("stanza > 0")
+    rows = running(rows, F.col("value").startswith("[")).withColumnRenamed("running", "stanza").where("stanza > 0")
     kinds = rows.where("value = '[Term]'").select("stanza")
     tags = rows.join(kinds, "stanza", "left_semi").where(F.contains("value", F.lit(":")))
     tags = tags.select("stanza", "line", F.regexp_extract("value", r"^([^:]+):\s*(.*)$", 1).alias("tag"), F.regexp_extract("value", r"^([^:]+):\s*(.*)$", 2).alias("v"))
@@ -88,6 +88,16 @@ def taxonomy_json(taxa: DataFrame) -> DataFrame:
     return taxa.select(F.to_json(F.struct("tax_id", "name", "rank", "parent_tax_id")).alias("value"))
 
 
+def write_taxonomy_json(taxa: DataFrame, path: str) -> None:
+    """The normal form {nodes} as one file with a line for each node, in order of id."""
+    node = F.to_json(F.struct("name", "rank", "parent_tax_id"), {"ignoreNullFields": "false"})
+    line = F.concat(F.lit('"'), F.col("tax_id").cast("string"), F.lit('": '), node)
+    first = taxa.agg(F.min("tax_id").alias("m"))
+    mark = F.when(F.col("tax_id") == F.col("m"), "").otherwise(",")
+    rows = taxa.crossJoin(F.broadcast(first)).orderBy("tax_id").select(F.concat(mark, line).alias("value"))  # one row
+    files.write_lines(rows, path, '{"nodes": {\n', footer="}}\n")
+
+
 def read_go(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if path.endswith(".obo"):
         return read_obo(spark, path)
@@ -110,11 +120,20 @@ def read_ncbi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
-    """tax_id, name, rank, parent_tax_id of {nodes}, or of a .jsonl folder or file of taxonomy_json's lines."""
+    """tax_id, name, rank, parent_tax_id of {nodes}, or of a .jsonl folder or file of taxonomy_json's lines.
+
+    {nodes} with a line for each node, as write_taxonomy_json has it, is read line by line; any other layout as one text.
+    """
     if path.endswith(".jsonl"):
         return spark.read.schema("tax_id bigint, name string, rank string, parent_tax_id bigint").json(path)
+    node = "struct<name:string,rank:string,parent_tax_id:bigint>"
+    lines = spark.read.text(path).where(~F.col("value").rlike(r'^\s*(\{"nodes": \{|\}\})?\s*$'))
+    parts = lambda k: F.regexp_extract("value", r'^,?"(-?\d+)": (\{.*\})$', k)
+    if lines.where(parts(1) == "").isEmpty():
+        rows = lines.select(parts(1).cast("bigint").alias("tax_id"), F.from_json(parts(2), node).alias("t"))
+        return rows.select("tax_id", "t.name", "t.rank", "t.parent_tax_id")
     text = spark.read.text(path, wholetext=True)
-    doc = text.select(F.from_json("value", "struct<nodes:map<string,struct<name:string,rank:string,parent_tax_id:bigint>>>").alias("d"))
+    doc = text.select(F.from_json("value", f"struct<nodes:map<string,{node}>>").alias("d"))
     return doc.select(F.explode("d.nodes").alias("tax_id", "t")).select(F.col("tax_id").cast("bigint"), "t.name", "t.rank", "t.parent_tax_id")
 
 

@@ -8,12 +8,13 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from taxaflow import params
 from taxaflow.functions import text as fn
 from taxaflow.operators import aggregate, graphs, hierarchy, hits, matching
 from taxaflow.params import FilterPolicy, GoOptions
 from taxaflow.plans.pipeline import Annotated
 from taxaflow.sinks import reports
-from taxaflow.sources import peptides, proteins, references
+from taxaflow.sources import lines, peptides, proteins, references
 
 #: A small tree (id: parent) and graph of our own: 12 and 13 below 5, 41 in another branch.
 CHAIN = {2: None, 5: 2, 6: 2, 12: 5, 13: 5, 31: 12, 32: 12, 33: 13, 41: 6}
@@ -88,8 +89,8 @@ def tables_in(spark):
 def test_report_files(scenario, tmp_path):
     run, _, _, taxa = scenario
     reports.write_csv(reports.taxonomy_report(run.taxonomy_nodes(), taxa), f"{tmp_path}/t.csv")
-    lines = (tmp_path / "t.csv").read_text().splitlines()
-    assert lines[1] == "2,n2,r,,12.0000000000,0.5000000000,1.0000000000,1" and len(lines) == 3
+    rows = (tmp_path / "t.csv").read_text().splitlines()
+    assert rows[1] == "2,n2,r,,12.0000000000,0.5000000000,1.0000000000,1" and len(rows) == 3
 
 
 def frame_of_hits(spark, rows):
@@ -122,11 +123,11 @@ def test_lineage_and_lca_edge_cases(spark):
     taxa = spark.createDataFrame([(i, "n", "r", p) for i, p in CHAIN.items()] + [(80, "n", "r", 999), (90, "n", "r", 91), (91, "n", "r", 90)], "tax_id bigint, name string, rank string, parent_tax_id bigint")
     sets = {"a": {31, 32}, "b": {31, 33}, "c": {31, 41}, "d": {31}, "e": {777}, "f": {777, 31}, "g": {12, 31}, "h": {80}}
     rows = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts] + [("n", None)], "peptide string, tax_id bigint")
-    lines = graphs.lineage(taxa, rows.union(spark.createDataFrame([("x", 90)], rows.schema)))
+    ways = graphs.lineage(taxa, rows.union(spark.createDataFrame([("x", 90)], rows.schema)))
     got = dict(map(tuple, graphs.lowest_common_of(rows, graphs.tree(taxa, rows)).collect()))
     assert got == {"a": 12, "b": 5, "c": 2, "d": 31, "e": 777, "g": 12, "h": 80}
-    assert {r.ancestor_id for r in lines.where("tax_id = 80").collect()} == {80, 999}
-    assert {r.ancestor_id for r in lines.where("tax_id = 90").collect()} == {90, 91}
+    assert {r.ancestor_id for r in ways.where("tax_id = 80").collect()} == {80, 999}
+    assert {r.ancestor_id for r in ways.where("tax_id = 90").collect()} == {90, 91}
 
 
 def test_cycles_and_unknown_parents(spark):
@@ -140,10 +141,10 @@ def test_cycles_and_unknown_parents(spark):
             way.append(p)
         want[i] = way
     ids = taxa.select("tax_id").union(spark.createDataFrame([(70,)], "tax_id bigint"))
-    lines = {}
+    ways = {}
     for r in graphs.lineage(taxa, ids).orderBy("dist").collect():
-        lines.setdefault(r.tax_id, []).append(r.ancestor_id)
-    assert lines == {i: way for i, way in want.items() if i != 55}
+        ways.setdefault(r.tax_id, []).append(r.ancestor_id)
+    assert ways == {i: way for i, way in want.items() if i != 55}
     paths = {r.tax_id: r.path for r in graphs.tree(taxa, ids).collect()}
     assert paths[3] == [1, 3] and paths[2] == [1, 3, 2] and paths[5] == [1, 4, 5] and paths[10] == [8, 10] and paths[9] == [8, 9] and paths[11] == [55, 11] and paths[70] == [70] and paths[6] == [6]
 
@@ -226,6 +227,71 @@ def test_peptide_lists(spark, tmp_path):
             read(text)
 
 
+def test_fasta_files(spark, tmp_path):
+    """A file that begins without a header is an error wherever it lies among others; the last record of an id counts, by file and place."""
+    def read(**texts):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for name, text in texts.items():
+            (folder / f"{name}.fasta").write_text(text)
+        return proteins.last_records(proteins.read_fasta(spark, str(folder)))
+
+    got = read(a="\n\r\n>P1 x y\r\nM K\r\n W\n>P2\n\nAA\n", b=">P1\nLAST\n>P3 no sequence\n", c="", d="\n")
+    assert {tuple(r) for r in got.collect()} == {("P1", "LAST"), ("P2", "AA"), ("P3", "")}
+    for texts in ({"a": ">P1\nM\n", "b": "JUNK\n>X\nM\n"}, {"a": "JUNK\n", "b": ">P1\nM\n"}, {"a": " \n>P1\nM\n"}):
+        with pytest.raises(ValueError, match="before the first header"):
+            read(**texts)
+    with pytest.raises(Exception, match="empty header"):
+        read(a=">P1\nM\n>\nM\n").collect()
+    with pytest.raises(Exception, match="empty header"):
+        read(a="\n>P1\nM\n>\n>P2\nM\n").collect()
+    for text, message in (("", "empty"), ("MK\n", "no header"), (">a\n", "without sequence"), ("\n>a\n>b\nM\n", "without sequence")):
+        (tmp_path / "c.fasta").write_text(text)
+        with pytest.raises(ValueError, match=message):
+            proteins.check_fasta(spark, f"{tmp_path}/c.fasta")
+    (tmp_path / "c.fasta").write_text("\n>a\nM\n")
+    proteins.check_fasta(spark, f"{tmp_path}/c.fasta")
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Splits of 64 bytes, several of them in a task, over two files."""
+    texts = {"a.txt": [f"line {i} " + "x" * (i % 40) for i in range(300)], "b.txt": ["[s]" if i % 7 == 0 else "" for i in range(200)]}
+    for name, lines_ in texts.items():
+        (tmp_path / name).write_text("\n".join(lines_) + "\n")
+    want = [*texts["a.txt"], *texts["b.txt"]]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = lines.numbered_lines(spark, str(tmp_path)).collect()
+        counted = lines.running(lines.ordered_lines(spark, str(tmp_path)), F.col("value").startswith("[")).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.number, r.value) for r in got) == list(enumerate(want, 1))
+    assert [r.running for r in counted] == [sum(w.startswith("[") for w in want[: k + 1]) for k in range(500)]
+
+
+def test_parameters():
+    assert params.plain_name("db.dmnd") == "db.dmnd" and params.email(" a@b.org ") == "a@b.org" and params.email(" ") == params.plain_name("") == ""
+    for check, bad in ((params.plain_name, "../x"), (params.plain_name, "a\\b"), (params.email, "a@b"), (params.email, "a b@c.d")):
+        with pytest.raises(ValueError):
+            check(bad)
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            FilterPolicy(max_evalue=bad)
+
+
+def test_taxonomy_normal_form(spark, tmp_path):
+    """One line for each node or any other layout of the same object."""
+    taxa = spark.createDataFrame([(7, 'a "b", {c}', "r", 2), (2, "n", "no rank", None), (-1, "é", "r", 2)], "tax_id bigint, name string, rank string, parent_tax_id bigint")
+    references.write_taxonomy_json(taxa, f"{tmp_path}/t.json")
+    told = json.loads((tmp_path / "t.json").read_text())
+    assert told["nodes"]["2"] == {"name": "n", "rank": "no rank", "parent_tax_id": None} and len(told["nodes"]) == 3
+    (tmp_path / "u.json").write_text(json.dumps(told, indent=3))
+    for name in ("t.json", "u.json"):
+        assert {tuple(r) for r in references.read_taxonomy(spark, f"{tmp_path}/{name}").collect()} == {tuple(r) for r in taxa.collect()}
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "f.fasta").write_text(">sp|O43210|ABC_X Some OX=4242 GN=a\nMA\n>sp|P00001|NONE no taxon\nMK\n")
     taxa = proteins.read_fasta_taxa(spark, f"{tmp_path}/f.fasta")
