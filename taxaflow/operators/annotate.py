@@ -54,12 +54,16 @@ def annotated_peptides(peptides: DataFrame, summaries: DataFrame, tree: DataFram
 
 
 def signature_terms(summaries: DataFrame, edges: DataFrame, subject_go: DataFrame, go: GoOptions) -> DataFrame:
-    """signature, terms: the closure of each distinct set of own terms, sorted."""
+    """signature, terms: the closure of each distinct set of own terms, sorted.
+
+    A term's closure is one array, so a set meets as many rows as it has own terms, and their union is one of arrays.
+    """
     closed = graphs.closure(edges, subject_go.select("go_id"), go.edge_types, go.include_self)
+    closed = closed.groupBy("go_id").agg(F.collect_list("ancestor").alias("up"))
     text = F.concat_ws(";", F.transform("terms", lambda t: t.cast("string"))).cast("binary")
     sets = summaries.where(F.size("terms") > 0).select(F.md5(text).alias("signature"), "terms").dropDuplicates(["signature"])
     pairs = sets.select("signature", F.explode("terms").alias("go_id")).join(closed, "go_id")
-    return pairs.groupBy("signature").agg(F.array_sort(F.collect_set("ancestor")).alias("terms"))
+    return pairs.groupBy("signature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("up")))).alias("terms"))
 
 
 def lookup_subjects(ids: DataFrame, taxonomy: DataFrame, go_annotations: DataFrame) -> DataFrame:
