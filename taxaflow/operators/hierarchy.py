@@ -5,15 +5,18 @@ nodes: tax_id, name, rank, parent_tax_id, quantity, ratio_total, ... as a report
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import written
-from .graphs import lineage
+from .graphs import lineage, ranges
 
 # The canonical ranks, from the root down.
 RANKS = ("root", "domain", "kingdom", "phylum", "class", "order", "family", "genus", "species")
 
+#: Bytes of a row group of postings.
+POSTINGS_BYTES = 4 << 20
+
 
 def rank_index(rank: Column) -> Column:
     """Place of a canonical rank, from 0; null for others."""
@@ -137,6 +140,38 @@ def drill_down(mapping: DataFrame, tax_ids: list[int] | DataFrame | None = None,
     return rows
 
 
+def postings(mapping: DataFrame, rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """The mapping with `number`, that of its peptide's lowest common ancestor, clustered by it and then by peptide (see write_postings).
+
+    A peptide's organisms are the path of that ancestor, so those with an organism of a subtree are those whose number is in its
+    range. Peptides without organisms have none.
+    """
+    numbers = rows.join(tree.select(F.col("tax_id").alias("lca_tax_id"), "number"), "lca_tax_id", "left").select("peptide", "number")
+    return mapping.join(numbers, "peptide").repartitionByRange("number", "peptide").sortWithinPartitions("number", "peptide")
+
+
+def write_postings(mapping: DataFrame, rows: DataFrame, tree: DataFrame, folder: str) -> None:
+    """postings() and the ranges of all organisms below a folder. Row groups are small, so a click reads few of them."""
+    postings(mapping, rows, tree).write.option("parquet.block.size", str(POSTINGS_BYTES)).mode("overwrite").parquet(f"{folder}/postings")
+    ranges(tree).write.mode("overwrite").parquet(f"{folder}/ranges")
+
+
+def drill_into(spark: SparkSession, folder: str, tax_id: int | None = None, go_id=None) -> DataFrame:
+    """drill_down of the whole mapping that write_postings wrote: the rows with an organism at or below tax_id, and the function.
+
+    The organism becomes a range of numbers that Parquet compares with each row group's statistics. Nothing is selected by no selection.
+    """
+    rows = spark.read.parquet(f"{folder}/postings")
+    if tax_id is None and go_id is None:
+        rows = rows.limit(0)
+    if tax_id is not None:
+        span = spark.read.parquet(f"{folder}/ranges").where(F.col("tax_id") == tax_id).first()
+        rows = rows.where(F.col("number").between(span["first"], span["last"])) if span else rows.limit(0)
+    if go_id is not None:
+        rows = rows.where(F.array_contains("peptide_go_terms", go_id))
+    return rows.drop("number")
+
+
 def nested(mapping: DataFrame) -> DataFrame:
     """peptide, n_proteins, n_subjects: the peptide's proteins and its distinct subjects per protein, summed."""
     per = mapping.groupBy("peptide", "background_protein").agg(F.countDistinct("annotated_protein").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import aggregate, annotate, graphs, hierarchy, hits, matching
 from ..sinks import reports
+from ..sources.lines import numbered_lines
 from ..sources.proteins import annotation_tables, parse_gaf
+from .tables import shared_folder
 from .views import POLICY, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,11 +121,15 @@ def implied_subjects(v):
     return annotate.implied_subjects(v.matches, hits.accepted(v.hits, POLICY))
 
 
-@query("select 'db|' || cast(c_custkey as varchar) || '|' || c_name as subject_id, cast(c_custkey as varchar) as accession, s_suppkey + 1000 as tax_id from customer left join supplier on s_suppkey = c_custkey")
+@query(
+    "select 'db|' || cast(c_custkey as varchar) || '|' || c_name as subject_id, cast(c_custkey as varchar) as accession, s_suppkey + 1000 as tax_id, g.go_id from customer left join supplier on s_suppkey = c_custkey left join subject_go g on g.subject_id = c_custkey",
+    "subject_go",
+)
 def subject_lookup(v):
+    """Organism and functions by accession; customers beyond the suppliers have neither."""
     ids = v.table("customer").select(F.concat(F.lit("db|"), F.col("c_custkey").cast("string"), F.lit("|"), F.col("c_name")).alias("subject_id"))
-    taxonomy = v.subject_tax.select(F.col("subject_id").cast("string").alias("accession"), "tax_id")
-    return annotate.lookup_subjects(ids, taxonomy, taxonomy.limit(0).select("accession", F.lit("").alias("go_id"))).select("subject_id", "accession", "tax_id")
+    known = [df.select(F.col("subject_id").cast("string").alias("accession"), c) for df, c in ((v.subject_tax, "tax_id"), (v.subject_go, "go_id"))]
+    return annotate.lookup_subjects(ids, *known)
 
 
 @query("select s_suppkey, 'P' || cast(10000 + s_suppkey % 90000 as varchar) as accession, case when s_suppkey % 2 = 0 then 'P' || cast(10000 + s_suppkey % 90000 as varchar) end as strict from supplier")
@@ -273,6 +280,18 @@ def drilldown_tax(v):
     return _drilled(v, tax_ids=_below(v))
 
 
+def _postings(v) -> str:
+    folder = f"{shared_folder(v.spark)}/table-{uuid.uuid4().hex}"
+    hierarchy.write_postings(v.annotated.mapping(), v.annotated.rows, v.annotated.tree, folder)
+    return folder
+
+
+@query(_DRILL + _HAS_TAX, "mapping", "nodes_of", "lineage", branch=True)
+def drill_into_tax(v):
+    """By a range of the clustered mapping."""
+    return hierarchy.drill_into(v.spark, _postings(v), tax_id=11).select("peptide", "background_protein", "annotated_protein")
+
+
 @query(_DRILL + _HAS_GO, "mapping", "terms_of")
 def drilldown_go(v):
     return _drilled(v, go_id=35)
@@ -363,6 +382,44 @@ def normalize_metric(v):
     return hierarchy.normalized(v.annotated.taxonomy_nodes(), "ratio_total", log=False).select("tax_id", F.round("normalized", 9).alias("normalized"))
 
 
+@query(
+    "select row_number() over (order by quantity desc, tax_id) as place, tax_id from tax_nodes", "tax_nodes", branch=True
+)
+def report_order(v):
+    """Places of the report's rows as a file has them."""
+    rows = reports.taxonomy_report(v.annotated.taxonomy_nodes(), v.taxa)
+    path = f"{shared_folder(v.spark)}/table-{uuid.uuid4().hex}/report.csv"
+    reports.write_csv(rows, path)
+    numbered = numbered_lines(v.spark, path).where("number > 1")
+    return numbered.select((F.col("number") - 1).alias("place"), F.split_part("value", F.lit(","), F.lit(1)).cast("bigint").alias("tax_id"))
+
+
+@query("select n.go_id, n.ratio_total from go_nodes n join go_term t on t.go_id = n.go_id where t.namespace = 'molecular_function' and n.ratio_total >= 0.2", "go_nodes", "go_term")
+def terms_of_namespace(v):
+    return hierarchy.terms_of_namespace(v.annotated.go_terms().join(v.terms, "go_id"), "molecular_function", 0.2).select("go_id", "ratio_total")
+
+
+@query("select p_partkey, case when length(p_name || ' ' || p_type || ' ' || p_brand || ' of all the parts') > 40 then substring(p_name || ' ' || p_type || ' ' || p_brand || ' of all the parts', 1, 37) || '...' else p_name || ' ' || p_type || ' ' || p_brand || ' of all the parts' end as label from part")
+def short_labels(v):
+    return v.table("part").select("p_partkey", fn.short_label(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("of all the parts"))).alias("label"))
+
+
+@query("select s_suppkey, 'https://www.uniprot.org/uniprotkb/P' || cast(10000 + s_suppkey % 90000 as varchar) as url from supplier")
+def uniprot_urls(v):
+    acc = F.concat(F.lit("p"), (10000 + F.col("s_suppkey") % 90000).cast("string"), F.when(F.col("s_suppkey") % 3 == 0, "-2").otherwise(""))
+    return v.table("supplier").select("s_suppkey", fn.uniprot_url(acc).alias("url"))
+
+
+@query("select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), ''), lambda x: x not in ('A', 'E', 'I', 'O', 'U', 'L', 'R', 'N', 'T', 'S')))), '') as odd from part")
+def odd_letters(v):
+    return v.table("part").select("p_partkey", F.array_join(fn.outside_alphabet(fn.normalize_sequence(F.col("p_name")), "AEIOULRNTS"), "").alias("odd"))
+
+
+@query("select tax_id, round((ln(1 + quantity) - (select ln(1 + min(quantity)) from tax_nodes)) / ((select ln(1 + max(quantity)) from tax_nodes) - (select ln(1 + min(quantity)) from tax_nodes)), 9) as normalized from tax_nodes", "tax_nodes", branch=True)
+def normalize_log(v):
+    return hierarchy.normalized(v.annotated.taxonomy_nodes(), "quantity", log=True).select("tax_id", F.round("normalized", 9).alias("normalized"))
+
+
 @query("select t.namespace, count(*) as n from go_nodes g join go_term t on t.go_id = g.go_id group by t.namespace", "go_nodes", "go_term")
 def namespace_counts(v):
     return v.annotated.go_terms().join(v.terms, "go_id").groupBy("namespace").agg(F.count("*").alias("n"))

@@ -343,11 +343,50 @@ def test_drill_down_by_a_table_of_ids(spark):
     assert hierarchy.drill_down(m, ids, "h").count() == 1 and hierarchy.drill_down(m, ids.limit(0)).count() == 0
 
 
+def test_postings(spark, tmp_path):
+    """A click on each node gives what the whole mapping gives, from a few row groups."""
+    up = {1: None, 2: 1, 3: 1, 4: 2, 5: 4}
+    taxa = spark.createDataFrame([(i, "n", "r", p) for i, p in up.items()], "tax_id bigint, name string, rank string, parent_tax_id bigint")
+    tree = graphs.tree(taxa, taxa)
+    lcas = {f"P{k:04d}": [1, 2, 3, 4, 5, None][k % 6] for k in range(600)}
+    way = lambda i: [] if i is None else way(up[i]) + [i]
+    rows = spark.createDataFrame([*lcas.items()], "peptide string, lca_tax_id bigint")
+    mapping = spark.createDataFrame([(p, way(i), [f"g{k}"] if k else []) for p, i in lcas.items() for k in range(3)], "peptide string, peptide_lca_tax_ids array<bigint>, peptide_go_terms array<string>")
+    hierarchy.write_postings(mapping, rows, tree, f"{tmp_path}/x")
+    for node in (1, 2, 3, 4, 5, 9):
+        below = [i for i in up if node in way(i)]
+        got = sorted(map(str, hierarchy.drill_into(spark, f"{tmp_path}/x", node).collect()))
+        assert got == sorted(map(str, hierarchy.drill_down(mapping, below or [9]).collect())) and len(got) == 300 * len(below)
+    assert hierarchy.drill_into(spark, f"{tmp_path}/x", 4, "g1").count() == 200 and hierarchy.drill_into(spark, f"{tmp_path}/x").count() == 0
+    assert hierarchy.drill_into(spark, f"{tmp_path}/x", go_id="g2").count() == 600
+    plan = hierarchy.drill_into(spark, f"{tmp_path}/x", 3)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(number" in plan and "LessThanOrEqual(number" in plan
+
+
 def test_inbox(spark, tmp_path):
     from taxaflow.streaming.inbox import watch
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.tsv").write_text("seq\tq\nAB\t1\na-b\t2\n")
-    seen = []
-    watch(spark, f"{tmp_path}/in", f"{tmp_path}/ck", lambda df, n: seen.extend(map(tuple, df.collect())), once=True).awaitTermination(60)
-    assert seen == [("a.tsv", "AB", 3.0)]
+    (tmp_path / "in" / "b.csv").write_text("CD,1\nEF,-1\n")
+    seen, gone = [], []
+    watch(spark, f"{tmp_path}/in", f"{tmp_path}/ck", lambda df, n: seen.extend(map(tuple, df.collect())), lambda df, n: gone.extend(map(tuple, df.collect())), once=True).awaitTermination(60)
+    assert seen == [("a.tsv", "AB", 3.0)] and gone == [("b.csv", "line 2: not a quantity")]
+
+
+def test_inbox_that_annotates(spark, scenario, tmp_path):
+    """Two rounds of new files; a batch that comes again gives the same rows."""
+    from taxaflow.streaming import inbox
+
+    run, _, edges, taxa = scenario
+    background = spark.createDataFrame([("P10", "MKWANDERSK"), ("P11", "GGWANDERQQ"), ("P12", "LLSTREAMLL")], "protein_id string, sequence string")
+    handle = inbox.reporting(f"{tmp_path}/out", background, subject_tax=run.subject_tax, subject_go=run.subject_go, taxa=taxa, edges=edges, given=run.given)
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.tsv", "WANDER\t12\nSTREAM\t4\nLOST\t8\n"), ("b.tsv", "WANDER\t1\n"), ("c.tsv", "WANDER\n")):
+        (tmp_path / "in" / name).write_text(text)
+        inbox.watch(spark, f"{tmp_path}/in", f"{tmp_path}/ck", handle, inbox.rejected_into(f"{tmp_path}/out"), once=True).awaitTermination(120)
+    handle(spark.createDataFrame([("b.tsv", "WANDER", 1.0)], "list_id string, peptide string, quantity double"), 1)
+    nodes = spark.read.parquet(f"{tmp_path}/out/taxonomy_nodes").collect()
+    assert {(r.batch, r.list_id, r.tax_id, r.quantity, r.ratio_total) for r in nodes} == {(0, "a.tsv", 2, 12, 0.5), (0, "a.tsv", 5, 12, 0.5), (1, "b.tsv", 2, 1, 1), (1, "b.tsv", 5, 1, 1)} and len(nodes) == 4
+    assert spark.read.parquet(f"{tmp_path}/out/mapping").count() == 6
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/rejected").select("list_id", "problem").collect()] == [("c.tsv", "line 1: two columns are needed")]
