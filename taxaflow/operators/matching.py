@@ -98,10 +98,18 @@ def short_matches(patterns: DataFrame, texts: DataFrame, size: int) -> DataFrame
     return there.join(own, "peptide").select("peptide", "protein_id")
 
 
+def among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows whose seed's hash (__hash) is one of these, if those are few; else all rows, as a later join leaves out the rest."""
+    if hashes.count() > BROADCAST_SEEDS:
+        return rows
+    return rows.withColumn("__hash", F.xxhash64("seed")).join(F.broadcast(hashes), "__hash", "left_semi").drop("__hash")
+
+
 def rarest_seeds(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """peptide, seed, place, n: the stretch of each pattern that the texts have least often (n times), where they have all of its stretches."""
     own = stretches(patterns, "peptide", F.lit(0), F.length("peptide") - SEED, SEED)
-    counts = text_stretches(texts, SEED).groupBy("seed").agg(F.count("*").alias("n"))
+    there = among(text_stretches(texts, SEED).select("seed"), written(own.select(F.xxhash64("seed").alias("__hash")).distinct()))
+    counts = there.groupBy("seed").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "place", "seed")).alias("s")
     return own.join(counts, "seed", "left").groupBy("peptide").agg(least).select("peptide", "s.seed", "s.place", "s.n").where("n > 0")
 
@@ -120,9 +128,7 @@ def salts(chosen: DataFrame) -> DataFrame | None:
 def long_matches(patterns: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
     chosen = written(rarest_seeds(patterns, texts))
     there = text_stretches(texts, SEED, AROUND)
-    if chosen.count() <= BROADCAST_SEEDS:
-        wanted = F.broadcast(chosen.select(F.xxhash64("seed").alias("__hash")).distinct())
-        there = there.withColumn("__hash", F.xxhash64("seed")).join(wanted, "__hash", "left_semi")
+    there = among(there, chosen.select(F.xxhash64("seed").alias("__hash")).distinct())
     before = F.least("place", F.lit(AROUND)).alias("before")
     around = F.substring(F.col("piece"), F.col("place") - before + 1, before + SEED + AROUND)
     there = there.select("protein_id", "seed", "place", before, around.alias("around"))
