@@ -250,16 +250,68 @@ def test_quality_counts(spark, docs, rows):
 
 
 def test_quality_model_separates_classes():
+    """Two ways to be bad, three rules each; rules of a way go wrong together."""
     rng = np.random.default_rng(4)
     patterns, truth = Counter(), {}
-    for _ in range(5000):
-        good = rng.random() < 0.85
-        votes = tuple(int(-1 if rng.random() < (0.02 if good else 0.7) else 1) for _ in range(6))
+    for _ in range(6000):
+        kind = rng.choice(3, p=[0.85, 0.1, 0.05])
+        votes = tuple(int(-1 if rng.random() < (0.8 if j // 3 == kind - 1 else 0.02) else 1) for j in range(6))
         patterns[votes] += 1
-        truth.setdefault(votes, Counter())[good] += 1
-    share, false, hit = quality_rules.fit(patterns, 6)
-    wrong = sum(n for v, c in truth.items() for g, n in c.items() if (quality_rules.posterior(v, share, false, hit) >= 0.5) != g)
-    assert abs(share - 0.85) < 0.03 and wrong < 100
+        truth.setdefault(votes, Counter())[kind == 0] += 1
+    share, rates = quality_rules.fit(patterns, [[0, 1, 2], [3, 4, 5]])
+    good = quality_rules.posterior(np.array(list(patterns), float), share, rates)[:, 0]
+    wrong = sum(n for v, p in zip(patterns, good) for g, n in truth[v].items() if (p >= 0.5) != g)
+    assert np.abs(share - [0.85, 0.1, 0.05]).max() < 0.03 and wrong < 120
+    assert np.abs(rates - [[0.02] * 6, [0.8] * 3 + [0.02] * 3, [0.02] * 3 + [0.8] * 3]).max() < 0.08
+
+
+def test_quality_verdicts(spark):
+    """kept against plain expectation-maximisation over votes worked out in Python; more rules than one decide."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(3, 9))))
+    texts = []
+    for k in range(400):
+        words = [word() for _ in range(int(rng.integers(55, 120)))]
+        lines = [" ".join(words[i : i + 9]) + "." for i in range(0, len(words), 9)]
+        if k % 10 == 0:
+            lines = ["".join(c + "#" * int(rng.random() < 0.3) for c in x) for x in lines]
+        if k % 10 == 0 and k % 20:
+            lines = [" ".join("12$4" if rng.random() < 0.5 else w for w in x.split()) for x in lines]
+        if k % 14 == 1:
+            lines = lines[:4] * 2 + lines
+        if k % 28 == 1:
+            lines = [x.rstrip(".") for x in lines]
+        texts.append("\n".join(lines))
+    texts += [None, "", "short", "a b " * 200]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()}
+
+    names = [x.split()[0] for x in quality_rules._SCHEMA.split(", ")]
+
+    def holds(rule, n):
+        return eval(re.sub(r"(\w+) between (.+) and (.+)", r"\2 <= \1 <= \3", rule), {}, n)
+
+    votes = []
+    for t in texts:
+        n = dict(zip(names, quality_rules.text_counts((t or "").encode())))
+        votes.append([-1 if holds(bad, n) else 1 if holds(good, n) else 0 for _, good, bad in quality_rules.RULES])
+    rules = [r[0] for r in quality_rules.RULES]
+    kinds = list(quality_rules.KINDS.values())
+    first = [[0.02] * len(rules)] + [[0.5 if r in k else 0.05 for r in rules] for k in kinds]
+    share, rate = [0.9, 0.05, 0.05], first
+
+    def classes(v):
+        p = [s * np.prod([r[j] if x < 0 else 1 - r[j] for j, x in enumerate(v) if x]) for s, r in zip(share, rate)]
+        return [x / sum(p) for x in p]
+
+    for _ in range(400):
+        p = [classes(v) for v in votes]
+        new = [[(first[c][j] + sum(x[c] for x, v in zip(p, votes) if v[j] < 0)) / (1 + sum(x[c] for x, v in zip(p, votes) if v[j])) for j in range(len(rules))] for c in range(3)]
+        share, rate = [(10 * s + sum(x[c] for x in p)) / (10 + len(p)) for c, s in enumerate((0.9, 0.05, 0.05))], new
+    verdicts = {i: classes(v)[0] for i, v in enumerate(votes)}
+    assert all(abs(got[i].quality - q) < 1e-4 for i, q in verdicts.items())
+    assert {i for i, r in got.items() if r.kept} == {i for i, q in verdicts.items() if q >= 0.5 and not got[i].base_failed}
+    moved = {j for j in range(len(rules)) for v, q in zip(votes, verdicts.values()) if v[j] and (classes(v[:j] + [0] + v[j + 1 :])[0] >= 0.5) != (q >= 0.5)}
+    assert len(moved) >= 2
 
 
 def test_language_id(spark):
