@@ -1,11 +1,13 @@
 """Which patterns occur in which texts: two strategies with equal results.
 
 `contains` sends the patterns to every task and tests each text: for very few patterns. `seed` joins each pattern's rarest
-stretch of SEED letters with the texts' stretches, and verifies the whole pattern where its stretch was found:
+stretches of SEED letters with the texts' stretches, and verifies the whole pattern where a stretch of it was found:
 
-1. Texts are cut into overlapping pieces, so that no step depends on how long a text is, and pieces into stretches.
-2. Stretches that occur in a pattern are counted over all texts. A pattern with a stretch that no text has matches nothing;
-   each other pattern takes its rarest one, with its place in the pattern.
+1. Texts are cut into overlapping pieces, so that no step depends on how long a text is, and pieces into stretches at every
+   `stride`-th place. The shortest pattern has `stride` stretches (MOST_STRIDE at most).
+2. Stretches that occur in a pattern are counted over those of all texts. Wherever a text has a pattern, any `stride` neighbouring
+   stretches of the pattern include one that begins at such a place. Each pattern takes those neighbours that are rarest
+   together, with their places in it: for a stride of 1, its rarest stretch.
 3. The chosen stretches join the texts' stretches. One whose occurrences times patterns are many is dealt to several tasks
    on the texts' side (salted), so neither a common stretch nor many patterns that share one make a large task.
 4. The letters around an occurrence travel with it, and hold all of a pattern of ordinary length. Only candidates of longer
@@ -25,6 +27,8 @@ FEW_PATTERNS, FEW_BYTES = 8, 1 << 16
 SEED, PIECE, AROUND = 6, 128, 64
 #: Bytes of texts (as the optimizer estimates them) up to which they are dealt to all cores first, as such a table is one file or row group.
 SMALL_BYTES = 1 << 28
+#: Places between the texts' stretches, at most.
+MOST_STRIDE = 16
 #: Chosen seeds up to which they are broadcast (8 bytes each, as hashes) to leave out stretches that no pattern chose.
 BROADCAST_SEEDS = 2_000_000
 #: Occurrences times patterns of a seed in one task, at least; and how many parts of all of them a task may hold.
@@ -56,33 +60,36 @@ def dealt(texts: DataFrame) -> DataFrame:
     return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else texts
 
 
-def pieces(texts: DataFrame, around: int) -> DataFrame:
-    """protein_id, piece, lead: pieces of PIECE letters of their own, with `around` letters (lead) before and some more behind."""
-    number = F.floor((F.length("sequence") - 1) / PIECE)
+def pieces(texts: DataFrame, around: int, own: int) -> DataFrame:
+    """protein_id, piece, lead: pieces with `own` letters of their own, `around` letters (lead) before and some more behind."""
+    number = F.floor((F.length("sequence") - 1) / own)
     rows = texts.where("sequence <> ''").select("protein_id", "sequence", F.explode(F.sequence(F.lit(0), number.cast("int"))).alias("k"))
     lead = F.when(F.col("k") == 0, 0).otherwise(around)
-    return rows.select("protein_id", F.substring("sequence", F.col("k") * PIECE - lead + 1, lead + PIECE + SEED - 1 + around).alias("piece"), lead.alias("lead"))
+    return rows.select("protein_id", F.substring("sequence", F.col("k") * own - lead + 1, lead + own + SEED - 1 + around).alias("piece"), lead.alias("lead"))
 
 
-def stretches(rows: DataFrame, text: str, first: Column, last: Column, size: int) -> DataFrame:
-    """The rows with each place (from 0, first to last) of a stretch of `size` letters of the text, and the stretch."""
-    places = F.when(last >= first, F.sequence(first, last))
+def stretches(rows: DataFrame, text: str, first: Column, last: Column, size: int, stride: int = 1) -> DataFrame:
+    """The rows with each `stride`-th place (from 0, first to last) of a stretch of `size` letters of the text, and the stretch."""
+    places = F.when(last >= first, F.sequence(first, last, F.lit(stride)))
     return rows.withColumn("place", F.explode(places)).withColumn("seed", F.substring(F.col(text), F.col("place") + 1, size))
 
 
-def text_stretches(texts: DataFrame, size: int, around: int = 0) -> DataFrame:
-    """protein_id, piece, lead, place, seed: each stretch of the texts once, in the piece whose own part it starts in."""
-    end = F.least(F.col("lead") + PIECE - 1, F.length("piece") - size)
-    return stretches(pieces(texts, around), "piece", F.col("lead").cast("int"), end.cast("int"), size)
+def text_stretches(texts: DataFrame, size: int, around: int = 0, stride: int = 1) -> DataFrame:
+    """protein_id, piece, lead, place, seed: the texts' stretches at every `stride`-th place, in the piece whose own part they start in."""
+    own = PIECE // stride * stride
+    end = F.least(F.col("lead") + own - 1, F.length("piece") - size)
+    return stretches(pieces(texts, around, own), "piece", F.col("lead").cast("int"), end.cast("int"), size, stride)
 
 
 def by_seed(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """Joins on seeds; neither side has to fit in memory."""
     patterns, texts = written(patterns), dealt(texts)
-    sizes = {r.size: r.longest for r in patterns.groupBy(F.least(F.length("peptide"), F.lit(SEED)).alias("size")).agg(F.max(F.length("peptide")).alias("longest")).collect()}
+    lengths = F.length("peptide")
+    sizes = {r.size: r for r in patterns.groupBy(F.least(lengths, F.lit(SEED)).alias("size")).agg(F.min(lengths).alias("shortest"), F.max(lengths).alias("longest")).collect()}
     found = [short_matches(patterns, texts, size) for size in sorted(sizes) if size < SEED]
     if SEED in sizes:
-        found.append(long_matches(patterns.where(F.length("peptide") >= SEED), texts, sizes[SEED]))
+        stride = min(MOST_STRIDE, sizes[SEED].shortest - SEED + 1)
+        found.append(long_matches(patterns.where(lengths >= SEED), texts, sizes[SEED].longest, stride))
     if not found:
         return patterns.crossJoin(texts.limit(0)).select("peptide", "protein_id")
     out = found[0]
@@ -105,13 +112,17 @@ def among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     return rows.withColumn("__hash", F.xxhash64("seed")).join(F.broadcast(hashes), "__hash", "left_semi").drop("__hash")
 
 
-def rarest_seeds(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """peptide, seed, place, n: the stretch of each pattern that the texts have least often (n times), where they have all of its stretches."""
+def rarest_seeds(patterns: DataFrame, texts: DataFrame, stride: int) -> DataFrame:
+    """peptide, seed, place, n: the `stride` neighbouring stretches of each pattern that the texts' stretches have least often (n times each, but 0)."""
     own = stretches(patterns, "peptide", F.lit(0), F.length("peptide") - SEED, SEED)
-    there = among(text_stretches(texts, SEED).select("seed"), written(own.select(F.xxhash64("seed").alias("__hash")).distinct()))
+    there = among(text_stretches(texts, SEED, stride=stride).select("seed"), written(own.select(F.xxhash64("seed").alias("__hash")).distinct()))
     counts = there.groupBy("seed").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "place", "seed")).alias("s")
-    return own.join(counts, "seed", "left").groupBy("peptide").agg(least).select("peptide", "s.seed", "s.place", "s.n").where("n > 0")
+    entry = F.struct("place", "seed", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    rows = own.join(counts, "seed", "left").groupBy("peptide").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    together = lambda at: F.aggregate(F.slice("s", at + 1, F.lit(stride)), F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x.n)
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.size("s") - stride), lambda at: F.struct(together(at).alias("n"), at.alias("at"))))
+    rows = rows.withColumn("at", best.getField("at")).select("peptide", F.explode(F.slice("s", F.col("at") + 1, F.lit(stride))).alias("s"))
+    return rows.select("peptide", "s.seed", "s.place", "s.n").where("n > 0")
 
 
 def salts(chosen: DataFrame) -> DataFrame | None:
@@ -125,9 +136,9 @@ def salts(chosen: DataFrame) -> DataFrame | None:
     return cells.where(F.col("cells") > share).select("seed", F.least(F.ceil(F.col("cells") / share), F.col("n")).cast("int").alias("parts"))
 
 
-def long_matches(patterns: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
-    chosen = written(rarest_seeds(patterns, texts))
-    there = text_stretches(texts, SEED, AROUND)
+def long_matches(patterns: DataFrame, texts: DataFrame, longest: int, stride: int) -> DataFrame:
+    chosen = written(rarest_seeds(patterns, texts, stride))
+    there = text_stretches(texts, SEED, AROUND, stride)
     there = among(there, chosen.select(F.xxhash64("seed").alias("__hash")).distinct())
     before = F.least("place", F.lit(AROUND)).alias("before")
     around = F.substring(F.col("piece"), F.col("place") - before + 1, before + SEED + AROUND)

@@ -212,7 +212,10 @@ def test_seeds_of_long_patterns_and_hot_ones(spark, monkeypatch):
     want = {(x, i) for x in patterns for i, y in enumerate(texts) if x in y}
     assert {tuple(r) for r in matching.matches(p, t, "seed").collect()} == want
     monkeypatch.setattr(matching, "BROADCAST_SEEDS", 0)
-    assert {tuple(r) for r in matching.matches(p, t, "seed").collect()} == want
+    for shortest in (7, 9, 70):  # other strides
+        some = {x for x in patterns if len(x) >= shortest}
+        got = matching.matches(p.where(F.length("peptide") >= shortest), t, "seed").collect()
+        assert {tuple(r) for r in got} == {(x, i) for x, i in want if x in some}
 
 
 def test_peptide_lists(spark, tmp_path):
