@@ -12,7 +12,7 @@ from ..operators import graphs
 from ..run import matched_lists
 from ..sinks import reports
 from ..sources import peptides, proteins, references
-from ..sources.lines import numbered_lines
+from ..sources.lines import numbered_lines, ordered_lines, running
 from .queries import _gaf_lines, query
 from .tables import shared_folder
 
@@ -101,6 +101,51 @@ def taxonomy_nodes_json_reader(v):
     return references.read_taxonomy(v.spark, path)
 
 
+@query("select n.tax_id, n.name, n.rank, coalesce(n.parent_tax_id, 0) as parent_tax_id, n.quantity, n.n_peptides from reported n", "reported", branch=True)
+def report_csv(v):
+    """The report's file read back; a missing parent reads as 0."""
+    path = _free_path(v, "report.csv")
+    reports.write_csv(reports.taxonomy_report(v.annotated.taxonomy_nodes(), v.taxa), path)
+    schema = "tax_id bigint, name string, rank string, parent_tax_id bigint, quantity double, ratio_total double, ratio_annotated double, n_peptides bigint"
+    return references.read_report(v.spark, path, schema).select("tax_id", "name", "rank", "parent_tax_id", "quantity", "n_peptides")
+
+
+@query(
+    "select row_number() over (order by cast(peptide as varchar), cast(background_protein as varchar), cast(annotated_protein as varchar)) as place, peptide, background_protein, annotated_protein, evalue from"
+    " (select distinct peptide, background_protein, annotated_protein, evalue, pident from mapping)",
+    "mapping", branch=True,
+)
+def details_csv(v):
+    """The details' file read back, with the place of each row in it."""
+    path = _free_path(v, "details.csv")
+    ids = {c: F.col(c).cast("string") for c in ("peptide", "background_protein", "annotated_protein")}
+    reports.write_details(v.annotated.mapping().withColumns(ids), path)
+    cells = F.split(F.regexp_replace("value", '"', ""), ",")
+    at = lambda k, kind: F.get(cells, F.lit(k)).cast(kind)
+    rows = numbered_lines(v.spark, path).where("number > 1")
+    return rows.select((F.col("number") - 1).alias("place"), at(0, "bigint").alias("peptide"), at(1, "bigint").alias("background_protein"), at(2, "bigint").alias("annotated_protein"), at(3, "double").alias("evalue"))
+
+
+@query("select row_number() over (order by cast(p_partkey as varchar)) as place, '>' || p_partkey || '|' || rtrim(regexp_replace(p_name, '(.{5})', '\\1|', 'g'), '|') as record from part where p_partkey in (select peptide from match_)", "match_")
+def hit_fasta(v):
+    """The FASTA file of hit proteins, wrapped every five letters, with the place of each record."""
+    path = _free_path(v, "hits.fasta")
+    proteins_ = v.table("part").select(F.col("p_partkey").cast("string").alias("protein_id"), F.col("p_name").alias("sequence"))
+    reports.write_fasta(reports.subset_fasta(proteins_, v.matches.select(F.col("peptide").cast("string").alias("protein_id")), 5), path)
+    lines = running(ordered_lines(v.spark, path), F.col("value").startswith(">"))
+    return lines.groupBy(F.col("running").alias("place")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x.value), "|").alias("record"))
+
+
+def _free_path(v, name: str) -> str:
+    """A path in a folder that goes when the driver's JVM ends."""
+    folder = f"{shared_folder(v.spark)}/files-{uuid.uuid4().hex}"
+    path = v.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(v.spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{folder}/{name}"
+
+
 def _obo(v) -> str:
     tags = v.edges.select("child", F.when(F.col("edge_type") == "is_a", F.concat(F.lit("is_a: "), "parent")).otherwise(F.concat(F.lit("relationship: part_of "), "parent")).alias("tag"))
     tags = tags.groupBy(F.col("child").alias("go_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("tag", F.lit(" ! a comment\n")))), "").alias("tags"))
