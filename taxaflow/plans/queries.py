@@ -292,7 +292,7 @@ def drill_into_tax(v):
     return hierarchy.drill_into(v.spark, _postings(v), tax_id=11).select("peptide", "background_protein", "annotated_protein")
 
 
-@query(_DRILL + _HAS_GO, "mapping", "terms_of")
+@query(_DRILL + _HAS_GO, "mapping", "terms_of", branch=True)
 def drilldown_go(v):
     return _drilled(v, go_id=35)
 
@@ -312,7 +312,7 @@ def combo_slice_tax(v):
     return hierarchy.combo_slice(v.annotated.combos(), tax_id=11)
 
 
-@query("select * from combos where go_id = 35", "combos")
+@query("select * from combos where go_id = 35", "combos", branch=True)
 def combo_slice_go(v):
     return hierarchy.combo_slice(v.annotated.combos(), go_id=35)
 
