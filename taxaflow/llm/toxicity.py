@@ -2,9 +2,11 @@
 
 Fitting (on at most FIT_ROWS labelled rows, whole texts) learns which words and word beginnings stand almost only in
 toxic texts. A word of a text hits the lexicon exactly, by its beginning, or misspelled: a
-Levenshtein automaton of the word, run against a trie of the lexicon, finds terms within one edit; a word that the
-fit's clean texts use is no misspelling. A window of words around each hit tells a quotation (between marks, or after a verb of
-speech) from a direct voice, and dense hits from scattered ones. A logistic function of these counts is the score.
+Levenshtein automaton of the word, run against a trie of the lexicon, finds terms within one edit. A word that the
+fit's clean texts use is no misspelling, and a term beside which they use several words is not looked for misspelled: there,
+one edit leads from one common word to the next. A window of words around each hit tells a quotation (between marks, or after
+a verb of speech) from a direct voice, and dense hits from scattered ones. A logistic function of these counts is the score.
+Exact and misspelled hits have counts, density and strength of their own.
 
 Weights are cross-fitted: the evidence in either half of the rows is found with a lexicon from the other half. Few
 labelled texts misspell or quote a term, so each toxic one that holds a term also counts in two altered forms: with one
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -35,16 +37,17 @@ FIT_ROWS = 6000
 LEAST_TEXTS, LEAST_RATIO = 5, 40.0
 #: Lengths of the word beginnings that may become terms, and of terms that are found misspelled.
 STEMS, LEAST_FUZZY = (4, 5, 6, 7), 5
+#: Different words of clean texts within one edit of a term, from which on it is not looked for misspelled.
+CROWDED = 2
 #: Words on either side of a hit that are its context.
 WINDOW = 8
 #: Words whose verdict a worker keeps; then it starts afresh.
 KEPT_WORDS = 400_000
 WORD = re.compile(r"[\w@$]+|[\"“”„«»]")
 QUOTES = frozenset("\"“”„«»")
-# Letters that digits and signs stand for; verbs and nouns of reported speech; words of direct address.
+# Letters that digits and signs stand for; verbs and nouns of reported speech.
 FOLDED = str.maketrans("013457@$", "oieastas")
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term reported claims claimed sagte nannte wort dit appelle mot dijo llama palabra".split())
-ADDRESS = frozenset("you your youre u du dich dein ihr sie tu toi ton vous tú te usted eres".split())
 
 
 class LevenshteinAutomaton:
@@ -96,16 +99,17 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """Terms and stems with their log-odds of toxic text; words near a term that clean texts use."""
+    """Terms and stems with their log-odds of toxic text; words near a term that clean texts use; terms near several such words."""
 
     words: dict[str, float]
     stems: dict[str, float]
     known: set[str] = field(default_factory=set)
+    crowded: set[str] = field(default_factory=set)
     trie: Trie = field(init=False)
     halves: set[str] = field(init=False)
 
     def __post_init__(self):
-        long = [w for w in self.words if len(w) >= LEAST_FUZZY]
+        long = [w for w in self.words if len(w) >= LEAST_FUZZY and w not in self.crowded]
         self.trie = Trie(long)
         # One edit leaves one half of a term whole, at the beginning or at the end of the word.
         self.halves = {f"{len(w) + d}{side}{part}" for w in long for d in (-1, 0, 1) for side, part in (("<", w[: len(w) // 2]), (">", w[len(w) // 2 :]))}
@@ -143,29 +147,40 @@ class Verdicts(dict):
         return value
 
 
+def densest(places: Sequence[int]) -> float:
+    """The most of these rising places that one stretch of two windows holds."""
+    most = first = 0
+    for k, at in enumerate(places):
+        while at - places[first] > 2 * WINDOW:
+            first += 1
+        most = max(most, k - first + 1)
+    return float(most)
+
+
+#: What `evidence` gives of a text without hits.
+NOTHING = [0.0] * 7
+
+
 def evidence(text: str, verdicts: Verdicts) -> list[float]:
-    """What a score is made of: exact and misspelled hits in a direct voice, quoted ones, and of the direct ones address, density and strength."""
+    """What a score is made of: exact and misspelled hits in a direct voice, and quoted ones; density and strength of the exact direct ones, and of the misspelled."""
     words = WORD.findall(text.lower())
     hits = [(at, v) for at, v in enumerate(map(verdicts.__getitem__, words)) if v]
     if not hits:
-        return [0.0] * 6
-    exact = fuzzy = quoted = address = strong = 0.0
-    places = []
+        return NOTHING
+    quoted = 0
+    places: tuple[list[int], list[int]] = ([], [])
+    strong = [0.0, 0.0]
     for at, value in hits:
         before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
         inside = sum(w in QUOTES for w in before) % 2 == 1 and any(w in QUOTES for w in after)
         if inside or any(w in REPORTING for w in before[-3:]):
             quoted += 1
             continue
-        places.append(at)
-        if value > 0:
-            exact += 1
-        else:
-            fuzzy += 1
-        strong = max(strong, abs(value))
-        address += any(w in ADDRESS for w in before[-3:])
-    dense = max((sum(1 for p in places[k : k + 8] if p - at <= 2 * WINDOW) for k, at in enumerate(places)), default=0)
-    return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(address), float(dense), strong]
+        kind = int(value < 0)
+        places[kind].append(at)
+        strong[kind] = max(strong[kind], abs(value))
+    exact, fuzzy = places
+    return [np.log1p(len(exact)), np.log1p(len(fuzzy)), np.log1p(quoted), densest(exact), strong[0], densest(fuzzy), strong[1]]
 
 
 def altered(text: str, lexicon: Lexicon, rng: np.random.Generator) -> tuple[str, str] | None:
@@ -227,8 +242,9 @@ def learn_lexicon(sample: Sequence[tuple[int, str]]) -> Lexicon:
     stems = {s: v for s, v in stems.items() if not any(s[:n] in stems for n in STEMS if n < len(s))}
     lexicon = Lexicon(words, stems)
     clean = set().union(*(w for _, w in by_class[0])) - words.keys()
-    lexicon.known = {w for w in clean if lexicon.verdict(w) < 0}
-    return lexicon
+    known = {w for w in clean if lexicon.verdict(w) < 0}
+    beside = Counter(term for w in known for term in lexicon.trie.near(w, 1))
+    return Lexicon(words, stems, known, {term for term, n in beside.items() if n >= CROWDED})
 
 
 def fit(sample: Sequence[tuple[int, str]]) -> Model | None:
@@ -251,7 +267,7 @@ def fit(sample: Sequence[tuple[int, str]]) -> Model | None:
     y = np.array([t for t, _ in rows], float)
     # Direct hits raise a score; what is quoted may lower it.
     w, b = np.zeros(x.shape[1]), 0.0
-    least = np.array([0, 0, -np.inf, 0, 0, 0])
+    least = np.array([0, 0, -np.inf, 0, 0, 0, 0])
     for _ in range(800):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         step = p - y
@@ -277,7 +293,7 @@ def score(df: DataFrame, model: Model | None, columns: list[str], text_column: s
         own = shared.value
         verdicts = worker_cache(("verdicts", shared), lambda: own and Verdicts(own.lexicon))
         for text in texts:
-            x = evidence(text.decode(errors="replace"), verdicts) if own is not None else [0.0] * 6
+            x = evidence(text.decode(errors="replace"), verdicts) if own is not None else NOTHING
             value = own.score(x) if own is not None else 0.0
             direct, misspelled, quoted = (int(round(np.expm1(v))) for v in x[:3])
             yield direct, misspelled, quoted, value, int(value >= least)
