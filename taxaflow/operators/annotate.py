@@ -67,7 +67,10 @@ def signature_terms(summaries: DataFrame, edges: DataFrame, subject_go: DataFram
 
 
 def lookup_subjects(ids: DataFrame, taxonomy: DataFrame, go_annotations: DataFrame) -> DataFrame:
-    """subject_id, accession, tax_id, go_id of every asked id; null where nothing is known. One row for each term."""
+    """subject_id, accession, tax_id, go_id of every asked id; null where nothing is known. One row for each term.
+
+    Of tables that read_by_accession gives, neither is shuffled: the asked ids go to their buckets, once for both.
+    """
     from ..functions.text import accession
 
     asked = ids.select("subject_id").distinct().withColumn("accession", accession(F.col("subject_id")))

@@ -4,26 +4,33 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_sequence
-from ..operators import graphs
+from ..operators import annotate, graphs
 from ..run import matched_lists
 from ..sinks import reports
 from ..sources import peptides, proteins, references
+from ..sources.annotations import read_by_accession
 from ..sources.lines import numbered_lines, ordered_lines, running
 from .queries import _gaf_lines, query
 from .tables import shared_folder
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder's name; the folder goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def _file(lines: DataFrame, name: str = "lines.txt", folder: str | None = None, one: bool = False) -> str:
     """Where the rows of the one column of lines now stand as text files; the folder goes when the driver's JVM ends."""
     spark = lines.sparkSession
-    folder = folder or f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    folder = folder or _folder(spark)
     (lines.coalesce(1) if one else lines).write.text(f"{folder}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return f"{folder}/{name}"
 
 
@@ -195,3 +202,19 @@ def matches_by_list(v):
 )
 def combo_report(v):
     return reports.combo_report(v.annotated.combos(), v.taxa, v.terms, v.edges)
+
+
+@query(
+    "select 'db|' || cast(a.k as varchar) || '|' || cast(a.n as varchar) as subject_id, cast(a.k as varchar) as accession, t.p_size as tax_id, g.go_id"
+    " from (select distinct l_partkey as k, l_linenumber as n from lineitem) a left join (select p_partkey, p_size from part where p_partkey % 10 <> 9) t on t.p_partkey = a.k"
+    " left join (select distinct l_partkey, l_suppkey as go_id from lineitem where l_linenumber <= 2) g on g.l_partkey = a.k"
+)
+def lookup_by_accession(v):
+    """Asked ids share accessions; a tenth of those has no organism, others no functions. The tables are written by accession, then asked."""
+    lines = v.table("lineitem")
+    taxonomy = v.table("part").where("p_partkey % 10 <> 9").select(F.col("p_partkey").cast("string").alias("accession"), F.col("p_size").alias("tax_id"))
+    functions = lines.where("l_linenumber <= 2").select(F.col("l_partkey").cast("string").alias("accession"), F.col("l_suppkey").alias("go_id")).distinct()
+    folder = _folder(v.spark)
+    reports.write_annotation_tables(taxonomy, functions, folder)
+    ids = lines.select(F.concat_ws("|", F.lit("db"), "l_partkey", "l_linenumber").alias("subject_id"))
+    return annotate.lookup_subjects(ids, *(read_by_accession(v.spark, f"{folder}/{name}") for name in ("taxonomy", "go_annotations")))

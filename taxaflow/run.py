@@ -16,6 +16,7 @@ from .plans.pipeline import Annotated
 from .plans.tables import scratch, written
 from .sinks import files, reports
 from .sources import peptides, proteins, references
+from .sources.annotations import read_by_accession
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def _annotations(spark: SparkSession, path: str, subjects: DataFrame) -> tuple[D
     if path.endswith(".json"):
         tax, go = references.read_mock_annotations(spark, path)
         return tax.join(subjects, "subject_id", "left_semi"), go.join(subjects, "subject_id", "left_semi")
-    known = [spark.read.parquet(f"{path}/{name}") for name in ("taxonomy", "go_annotations")]
+    known = [read_by_accession(spark, f"{path}/{name}") for name in ("taxonomy", "go_annotations")]
     found = written(annotate.lookup_subjects(subjects, *known))
     return found.select("subject_id", "tax_id").distinct(), found.select("subject_id", "go_id").where("go_id is not null").distinct()
 

@@ -16,6 +16,12 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that it means the same to every session."""
+    system, at = _path(spark, path)
+    return system.makeQualified(at).toString()
+
+
 def files_below(spark: SparkSession, path: str) -> list[str]:
     """The files of a folder and its folders, by name; a file itself; nothing where nothing is. Those that begin with . or _ are left out."""
     system, at = _path(spark, path)

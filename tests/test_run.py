@@ -6,10 +6,10 @@ import json
 
 import pytest
 from taxaflow import run
-from taxaflow.operators import graphs
+from taxaflow.operators import annotate, graphs
 from taxaflow.params import FilterPolicy
 from taxaflow.sinks import reports
-from taxaflow.sources import references
+from taxaflow.sources import annotations, references
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +113,44 @@ def test_ancestors_inside_a_view(spark, files):
     assert {r.go_id for r in found.collect()} == {"GO:0000110", "GO:0000101"} and path.count() == 1
     inside = spark.createDataFrame([("GO:0000110",)], "go_id string")
     assert graphs.ancestors(edges, "GO:0000110", inside)[0].count() == 1
+
+
+@pytest.mark.parametrize("join", ["shuffle", "broadcast"])
+def test_lookup_in_tables_by_accession(spark, tmp_path, join):
+    """Only the asked ids are shuffled. Ids share accessions; some have no organism, some no terms, some neither; null finds nothing."""
+    taxonomy = spark.createDataFrame([(f"A{i}", i % 17) for i in range(300) if i % 3], "accession string, tax_id int")
+    terms = spark.createDataFrame([(f"A{i}", f"GO:{k}", "P") for i in range(300) if i % 2 for k in range(i % 4)], "accession string, go_id string, aspect string")
+    asked = [f"db|A{i}|n{k}" for i in range(0, 400, 7) for k in range(2)] + ["A11", "A11", "odd|id", None]
+    ids = spark.createDataFrame([(a,) for a in asked], "subject_id string")
+    folder = f"{tmp_path}/it's here"
+    for buckets in (3, 16):  # written again, with another layout
+        reports.write_annotation_tables(taxonomy, terms, folder, buckets)
+    stored = [annotations.read_by_accession(spark, f"{folder}/{name}") for name in ("taxonomy", "go_annotations")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if join == "shuffle" else "10m")
+    try:
+        found = annotate.lookup_subjects(ids, *stored).select("subject_id", "accession", "tax_id", "go_id")
+        got, plan = found.collect(), found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    of = dict(taxonomy.collect())
+    goes = {}
+    for a, g, _ in terms.collect():
+        goes.setdefault(a, []).append(g)
+    want = []
+    for s in set(asked):
+        a = s and (s.split("|")[1] if s.startswith("db|") else s)
+        want += [(s, a, of.get(a), g) for g in goes.get(a, [None])]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    if join == "shuffle":
+        final = plan.split("== Initial Plan ==")[0]
+        # One for distinct ids, one to the buckets.
+        assert final.count("Exchange hashpartitioning") == 2 and "hashpartitioning(accession" in final and "16)" in final
+
+
+def test_empty_and_plain_annotation_tables(spark, tmp_path):
+    taxonomy = spark.createDataFrame([], "accession string, tax_id int")
+    reports.write_annotation_tables(taxonomy, taxonomy.selectExpr("accession", "accession as go_id"), f"{tmp_path}/none")
+    assert [annotations.read_by_accession(spark, f"{tmp_path}/none/{t}").count() for t in ("taxonomy", "go_annotations")] == [0, 0]
+    spark.createDataFrame([("A1", 3)], taxonomy.schema).write.parquet(f"{tmp_path}/plain")
+    assert annotations.read_by_accession(spark, f"{tmp_path}/plain").collect() == [("A1", 3)]
+    assert annotations.buckets_for(0) == annotations.LEAST_BUCKETS and annotations.buckets_for(10**9) == 512
