@@ -25,8 +25,9 @@ from .common import map_texts
 
 #: Labelled documents of each language that the field is fitted on, and how many times as many a first cut by hash leaves.
 FIT_DOCS, SPARE = 300, 4
-#: More values than this in the column of languages are an error: there are some 7000 languages.
-MOST_LANGS = 10_000
+#: Languages that a fit learns: those with the most labelled documents, by name where they have equally many. Rarer values
+#: of a dirty column are not learned.
+MOST_LANGS = 200
 #: Hashed weights of one kind of feature.
 SIZE = 1 << 16
 #: Words in a block of the blocked forward-backward pass.
@@ -239,11 +240,8 @@ def fit_on(df: DataFrame, learn_from: Column, id_column: str = "doc_id", text_co
     usable = df.where(learn_from & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     usable = usable.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("hash"))
     # Hashes are even, so this bound leaves about SPARE times as many rows as are wanted, however many a language has.
-    counts = usable.groupBy("lang").agg((F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FIT_DOCS * SPARE)) / F.count("*")) - 2.0**63).alias("bound"))
-    bounds = counts.limit(MOST_LANGS + 1).collect()
-    if len(bounds) > MOST_LANGS:
-        raise ValueError(f"{lang_column} has more than {MOST_LANGS} values")
-    bounds = df.sparkSession.createDataFrame(bounds, counts.schema)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), (F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FIT_DOCS * SPARE)) / F.count("*")) - 2.0**63).alias("bound"))
+    bounds = df.sparkSession.createDataFrame(counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect(), counts.schema)
     near = usable.join(F.broadcast(bounds), "lang").where(F.col("hash").cast("double") <= F.col("bound"))
     order = Window.partitionBy("lang").orderBy("hash", "text")
     rows = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIT_DOCS).select("lang", "text", "hash").collect()  # FIT_DOCS of each language

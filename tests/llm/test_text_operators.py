@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from taxaflow.llm import byte_bpe, langid, license_scan, near_dedup, packing, quality_rules, token_counts, toxicity
 
 BASE = "the quick brown fox jumps over the lazy dog while seven old men watch from a green hill near town".split()
@@ -334,6 +335,14 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_languages_that_are_rare_are_not_learned(spark, monkeypatch):
+    """A dirty column: the most frequent values are learned, ties by name."""
+    rows = [(i, "kalo mitu relo", "aa") for i in range(9)] + [(20 + i, "schung verein", "bb") for i in range(5)] + [(40 + i, "xyz", f"x{i:02d}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    assert list(langid.fit_on(df, F.lit(True)).langs) == ["aa", "bb", "x00"]
+
+
 def test_blocked_posteriors_equal_plain_ones():
     rng = np.random.default_rng(6)
     counts = np.array([0, 1, 64, 65, 200, 3])
