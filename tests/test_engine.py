@@ -175,6 +175,16 @@ def test_lineage_of_a_deep_tree(spark):
     assert {(r.ancestor_id, r.dist) for r in got} == {(600 - d, d) for d in range(601)} and len(got) == 601
 
 
+def test_closure_shuffles_no_pairs(spark):
+    """However deep the graph, two tables are written, and pairs leave the tasks that make them as they are."""
+    before = tables_in(spark)
+    edges = spark.createDataFrame([(k, "is_a", k - 1) for k in range(1, 60)] + [(k, "is_a", k - 2) for k in range(2, 60)], "child bigint, edge_type string, parent bigint")
+    pairs = graphs.closure(edges, spark.range(30, 62).withColumnRenamed("id", "go_id"))
+    assert {tuple(r) for r in pairs.collect()} == {(i, a) for i in range(30, 60) for a in range(i + 1)} | {(60, 60), (61, 61)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert len(tables_in(spark) - before) == 2 and "Join" not in plan and "Exchange" not in plan.split("MapInArrow")[0]
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([(c, k, p) for k, c, p in EDGES] + [(20, "is_a", 21), (21, "is_a", 20)], "child bigint, edge_type string, parent bigint")
     ids = spark.createDataFrame([(111,), (110,), (20,), (99,)], "go_id bigint")
