@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from taxaflow import params
 from taxaflow.functions import text as fn
-from taxaflow.operators import aggregate, graphs, hierarchy, hits, matching
+from taxaflow.operators import aggregate, closing, graphs, hierarchy, hits, matching
 from taxaflow.params import FilterPolicy, GoOptions
+from taxaflow.plans import tables
 from taxaflow.plans.pipeline import Annotated
 from taxaflow.sinks import reports
 from taxaflow.sources import lines, peptides, proteins, references
@@ -403,3 +404,38 @@ def test_inbox_that_annotates(spark, scenario, tmp_path):
     assert {(r.batch, r.list_id, r.tax_id, r.quantity, r.ratio_total) for r in nodes} == {(0, "a.tsv", 2, 12, 0.5), (0, "a.tsv", 5, 12, 0.5), (1, "b.tsv", 2, 1, 1), (1, "b.tsv", 5, 1, 1)} and len(nodes) == 4
     assert spark.read.parquet(f"{tmp_path}/out/mapping").count() == 6
     assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/rejected").select("list_id", "problem").collect()] == [("c.tsv", "line 1: two columns are needed")]
+
+
+def test_sets_are_closed_where_they_are(spark, monkeypatch):
+    """Sets of texts, with terms that no edge has, cycles, and none; sums of them, over several tasks and parts."""
+    up = {"b": ["a"], "c": ["a", "b"], "d": ["c"], "x": ["y"], "y": ["x"]}
+    edges = tables.written(spark.createDataFrame([(c, p) for c, ps in up.items() for p in ps], "child string, parent string"))
+    own = [(k, [["d"], ["x"], ["A", "c", "zz"], None, ["b", "d"]][k % 5]) for k in range(100)]
+    closed = {0: "abcd", 1: "xy", 2: ["A", "a", "b", "c", "zz"], 3: "", 4: "abcd"}
+    for name, value in (("ROWS", 7), ("TERMS_AT_ONCE", 3), ("HELD", 2)):
+        monkeypatch.setattr(closing, name, value)
+    sets = tables.written(spark.createDataFrame(own, "k bigint, terms array<string>"))
+    got = closing.closed_sets(sets, edges, "k").collect()
+    assert len(got) == 100 and all(r.terms == list(closed[r.k % 5]) for r in got)
+    sums = tables.written(sets.where("terms is not null").selectExpr("k % 2 as odd", "terms", "cast(k as double) as quantity", "1L as n_peptides"))
+    want = {}
+    for k, _ in own:
+        for t in closed[k % 5]:
+            q, n = want.get((k % 2, t), (0, 0))
+            want[k % 2, t] = (q + k, n + 1)
+    got = closing.closed_sums(sums, edges, "go_id", ["odd"], F.xxhash64("odd")).collect()
+    assert {(r.odd, r.go_id): (r.quantity, r.n_peptides) for r in got} == want and len(got) == len(want)
+
+
+def test_reports_make_only_what_they_read(spark, scenario):
+    """Organisms need no terms, and pairs need no arrays; terms without themselves are those of a walk from each."""
+    one, _, edges, taxa = scenario
+    given = {"subject_tax": one.subject_tax, "subject_go": one.subject_go, "taxa": taxa, "edges": edges, "given": one.given}
+    run = Annotated(one.peptides, one.all_matches, **given)
+    run.taxonomy_nodes().collect()
+    assert {(r.peptide, r.background_protein, r.annotated_protein) for r in run.pairs().collect()} == {("WANDER", "P10", "S7"), ("WANDER", "P11", "S8"), ("WANDER", "P11", "S9")}
+    assert "own" not in run.__dict__ and "links" not in run.__dict__
+    ids = spark.createDataFrame([(12,)], "tax_id bigint")
+    assert run.drilled(ids).count() == 0 and run.drilled(go_id=go(102)).count() == 3 and run.drilled(go_id=go(99)).count() == 0
+    above = Annotated(one.peptides, one.all_matches, **given, go=GoOptions(include_self=False)).terms_of
+    assert {r.go_id for r in above.collect()} == {go(101), go(102), go(103)}
