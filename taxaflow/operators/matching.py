@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import upper_letters
 from ..plans.tables import written
 
 #: Patterns, and bytes of them, up to which they are broadcast and tested one by one.
@@ -41,7 +42,7 @@ def matches(patterns: DataFrame, texts: DataFrame, strategy: str = "auto") -> Da
     patterns: peptide. texts: protein_id, sequence. Empty patterns and nulls match nothing.
     """
     patterns = patterns.select("peptide").where("peptide <> ''").distinct()
-    texts = texts.select("protein_id", F.upper("sequence").alias("sequence")).where("sequence is not null")
+    texts = texts.select("protein_id", upper_letters(F.col("sequence")).alias("sequence")).where("sequence is not null")
     if strategy == "auto":
         some = patterns.limit(FEW_PATTERNS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("peptide")).alias("bytes")).first()
         strategy = "contains" if some.n <= FEW_PATTERNS and (some.bytes or 0) <= FEW_BYTES else "seed"

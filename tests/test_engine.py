@@ -439,3 +439,12 @@ def test_reports_make_only_what_they_read(spark, scenario):
     assert run.drilled(ids).count() == 0 and run.drilled(go_id=go(102)).count() == 3 and run.drilled(go_id=go(99)).count() == 0
     above = Annotated(one.peptides, one.all_matches, **given, go=GoOptions(include_self=False)).terms_of
     assert {r.go_id for r in above.collect()} == {go(101), go(102), go(103)}
+
+
+def test_a_sharp_s_is_one_letter(spark):
+    """As in the queries' SQL, whose upper case of it is no SS."""
+    patterns = spark.createDataFrame([("Maße",), ("masse",)], "text string").select(fn.upper_letters(F.col("text")).alias("peptide"))
+    texts = spark.createDataFrame([(1, "MASSE"), (2, "die maße"), (3, "MA\u1e9eE")], "protein_id int, sequence string")
+    want = {("MA\u1e9eE", 2), ("MA\u1e9eE", 3), ("MASSE", 1)}
+    assert {tuple(r) for r in matching.matches(patterns, texts, "contains").collect()} == want
+    assert {tuple(r) for r in matching.matches(patterns, texts, "seed").collect()} == want
