@@ -14,6 +14,7 @@ from taxaflow.operators import aggregate, closing, graphs, hierarchy, hits, matc
 from taxaflow.params import FilterPolicy, GoOptions
 from taxaflow.plans import tables
 from taxaflow.plans.pipeline import Annotated
+from taxaflow.plans.views import Views
 from taxaflow.sinks import reports
 from taxaflow.sources import lines, peptides, proteins, references
 
@@ -448,3 +449,13 @@ def test_a_sharp_s_is_one_letter(spark):
     want = {("MA\u1e9eE", 2), ("MA\u1e9eE", 3), ("MASSE", 1)}
     assert {tuple(r) for r in matching.matches(patterns, texts, "contains").collect()} == want
     assert {tuple(r) for r in matching.matches(patterns, texts, "seed").collect()} == want
+
+
+def test_line_items_stay_where_they_are(spark):
+    """Suppliers' places have a known size, so a threshold that they are under broadcasts them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        plan = Views(spark, "/root/testdata/sf0.001", branch=True).lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(l_suppkey" not in plan
