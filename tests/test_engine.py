@@ -4,6 +4,7 @@ import json
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -459,3 +460,49 @@ def test_line_items_stay_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
+def test_closing_as_bits(spark, monkeypatch):
+    """Random graphs, some with cycles, large and small groups, against a walk; edges are dealt to few tasks however many sets there are."""
+    rng = random.Random(5)
+    monkeypatch.setattr(closing, "ROWS", 1)
+    monkeypatch.setattr(closing, "WORDS_BYTES", 4000)
+    for cycles in (0, 10):
+        links = {(c, rng.randrange(c)) for c in range(1, 300) for _ in range(2)} | {(rng.randrange(300), rng.randrange(300)) for _ in range(cycles)}
+        above = {}
+        for c, p in links:
+            above.setdefault(c, set()).add(p)
+
+        def closed(own):
+            out, new = set(own), list(own)
+            while new:
+                more = above.get(new.pop(), set()) - out
+                out |= more
+                new += more
+            return out
+
+        sets = [[rng.randrange(320) for _ in range(rng.randint(1, 4))] for _ in range(300)]
+        graph = closing.Graph(*(np.array(x) for x in zip(*links)))
+        row, own = np.repeat(np.arange(300), [len(s) for s in sets]), graph.numbers(np.array([t for s in sets for t in s]))
+        got = [list(graph.values[nodes][places]) for nodes, first, words in graph.closed(row, own, 300) for places in closing._members(words, 300 - 64 * first)]
+        assert got == [sorted(closed(s)) for s in sets]
+        edges = spark.createDataFrame(list(links), "child bigint, parent bigint")
+        sums = tables.written(spark.createDataFrame([(k if k < 40 else k % 2, s, float(k), 2) for k, s in enumerate(sets)], "g bigint, terms array<bigint>, quantity double, n_peptides bigint"))
+        want = {}
+        for k, s in enumerate(sets):
+            for t in closed(s):
+                q, n = want.get((k if k < 40 else k % 2, t), (0, 0))
+                want[k if k < 40 else k % 2, t] = (q + k, n + 2)
+        for share in (F.xxhash64("g"), F.lit(1)):  # small groups, and with the large ones together
+            rows = closing.closed_sums(sums, edges, "go_id", ["g"], share).collect()
+            assert {(r.g, r.go_id): (r.quantity, r.n_peptides) for r in rows} == want and len(rows) == len(want)
+        dealt = closing._dealt(sums, edges, F.xxhash64("g"), "g")
+        assert dealt.rdd.getNumPartitions() <= max(8, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_arrays_are_shown_once_for_each_peptide(spark, scenario):
+    one, _, _, _ = scenario
+    shown = one.mapping(lambda array: F.array_join(F.transform(array, lambda x: x.cast("string")), ";"))
+    assert {(r.peptide, r.peptide_lca_tax_ids) for r in shown.collect()} == {("WANDER", "2;5")}
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(") < plan.index("array_join(")
