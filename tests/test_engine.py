@@ -506,3 +506,10 @@ def test_arrays_are_shown_once_for_each_peptide(spark, scenario):
     assert {(r.peptide, r.peptide_lca_tax_ids) for r in shown.collect()} == {("WANDER", "2;5")}
     plan = shown._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("inline(") < plan.index("array_join(")
+
+
+def test_details_are_distinct_and_ordered(spark, tmp_path):
+    rows = [(f"P{k % 7}", f"B{k % 5}", f"S{k % 3}", k % 2 / 4, None) for k in range(420)] * 2
+    reports.write_details(spark.createDataFrame(rows, "peptide string, background_protein string, annotated_protein string, evalue double, pident double").repartition(5), f"{tmp_path}/d.csv")
+    got = Path(f"{tmp_path}/d.csv").read_text().splitlines()[1:]
+    assert len(got) == 210 == len(set(got)) and [g.rsplit(",", 2)[0] for g in got] == sorted(g.rsplit(",", 2)[0] for g in got)
