@@ -513,3 +513,28 @@ def test_details_are_distinct_and_ordered(spark, tmp_path):
     reports.write_details(spark.createDataFrame(rows, "peptide string, background_protein string, annotated_protein string, evalue double, pident double").repartition(5), f"{tmp_path}/d.csv")
     got = Path(f"{tmp_path}/d.csv").read_text().splitlines()[1:]
     assert len(got) == 210 == len(set(got)) and [g.rsplit(",", 2)[0] for g in got] == sorted(g.rsplit(",", 2)[0] for g in got)
+
+
+def test_pairs_and_clicks_make_neither_rows_nor_own_terms(spark, scenario):
+    """Matches of a peptide that no list has, and of none, give no pairs; a peptide of two lists has its pairs in both."""
+    one, _, edges, taxa = scenario
+    given = {"subject_tax": one.subject_tax, "subject_go": one.subject_go, "taxa": taxa, "edges": edges, "given": one.given}
+    more = one.all_matches.unionByName(spark.createDataFrame([("OTHER", "P10"), (None, "P10")], "peptide string, protein_id string"))
+    run = Annotated(one.peptides, more, **given)
+    want = {("WANDER", "P10", "S7"), ("WANDER", "P11", "S8"), ("WANDER", "P11", "S9")}
+    shown = ["peptide", "background_protein", "annotated_protein"]
+    for values in (True, False):
+        assert sorted(tuple(r) for r in run.found_pairs(values).select(*shown).collect()) == sorted(want)
+    assert not {"rows", "own", "links", "tree"} & set(run.__dict__)
+    assert sorted(tuple(r) for r in run.drilled(go_id=go(103)).select(*shown).collect()) == sorted(want)
+    assert not {"rows", "own", "tree"} & set(run.__dict__)
+    ids = lambda *n: spark.createDataFrame([(k,) for k in n], "tax_id bigint")
+    for tax_ids, term, n in ((ids(5, 12), None, 3), (ids(12), None, 0), (ids(2), go(102), 3), (ids(2), go(99), 0), (ids(12), go(102), 0), (None, None, 3)):
+        assert run.drilled(tax_ids, term).count() == n
+    assert not {"rows", "own"} & set(run.__dict__)
+    lists = one.peptides.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("list_id"), "peptide", "quantity")
+    both = Annotated(lists, more, by=("list_id",), **given)
+    assert sorted(tuple(r) for r in both.drilled(ids(5)).select("list_id", *shown).collect()) == sorted((k, *w) for k in "ab" for w in want)
+    # Only known to be of the lists' peptides: nothing is joined with them.
+    known = Annotated(one.peptides, one.all_matches, only_asked=True, **given)
+    assert sorted(tuple(r) for r in known.found_pairs().select(*shown).collect()) == sorted(want)
