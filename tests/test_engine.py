@@ -538,3 +538,10 @@ def test_pairs_and_clicks_make_neither_rows_nor_own_terms(spark, scenario):
     # Only known to be of the lists' peptides: nothing is joined with them.
     known = Annotated(one.peptides, one.all_matches, only_asked=True, **given)
     assert sorted(tuple(r) for r in known.found_pairs().select(*shown).collect()) == sorted(want)
+
+
+def test_a_function_is_found_in_postings_by_subjects(spark, scenario, tmp_path):
+    one = scenario[0]
+    hierarchy.write_postings(one.found_pairs(), one.rows, one.tree, f"{tmp_path}/x", one.known_terms, one.links)
+    for tax_id, term, n in ((None, go(102), 3), (None, go(111), 3), (None, go(99), 0), (5, go(110), 3), (12, go(110), 0)):
+        assert hierarchy.drill_into(spark, f"{tmp_path}/x", tax_id, term).count() == n
