@@ -545,3 +545,12 @@ def test_a_function_is_found_in_postings_by_subjects(spark, scenario, tmp_path):
     hierarchy.write_postings(one.found_pairs(), one.rows, one.tree, f"{tmp_path}/x", one.known_terms, one.links)
     for tax_id, term, n in ((None, go(102), 3), (None, go(111), 3), (None, go(99), 0), (5, go(110), 3), (12, go(110), 0)):
         assert hierarchy.drill_into(spark, f"{tmp_path}/x", tax_id, term).count() == n
+
+
+def test_counting_pairs_writes_no_table(spark):
+    from taxaflow.plans.queries import QUERIES
+
+    folder = Path(tables.shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("table-*")}
+    assert QUERIES["hierarchy_counts"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {p.name for p in folder.glob("table-*")} == before
