@@ -443,6 +443,22 @@ def test_reports_make_only_what_they_read(spark, scenario):
     assert {r.go_id for r in above.collect()} == {go(101), go(102), go(103)}
 
 
+def test_only_stretches_that_may_be_seeds_become_rows(spark, monkeypatch):
+    """Texts of two letters have every short stretch everywhere; those as long as a pattern are few. Over borders of pieces and of bytes."""
+    monkeypatch.setattr(matching, "PIECE", 100)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ABABABAB\u00c9\u6f22") for _ in range(n)) for n in (11, 12, 99, 100, 101, 450, 900)]
+    patterns = {t[a : a + n] for t in texts for n in (12, 24, 36) for a in (0, 80, 90, 190, 400) if a + n <= len(t)}
+    p = spark.createDataFrame([(x,) for x in patterns | {x[:-1] + "Q" for x in patterns}], "peptide string")
+    t = spark.createDataFrame([*enumerate(texts)], "protein_id bigint, sequence string")
+    want = {(x, i) for x in patterns for i, y in enumerate(texts) if x in y}
+    assert {tuple(r) for r in matching.matches(p, t, "seed").collect()} == want
+    sizes = sorted({len(x.encode()) for x in patterns})
+    those = matching.seed_filter(p.select(F.col("peptide").cast("binary").alias("seed")))
+    rows = matching.text_stretches(t, sizes, those).select("protein_id", "seed").distinct()
+    assert len(want) <= rows.count() <= len(want) + 200  # of some 38,000
+
+
 def test_a_sharp_s_is_one_letter(spark):
     """As in the queries' SQL, whose upper case of it is no SS."""
     patterns = spark.createDataFrame([("Maße",), ("masse",)], "text string").select(fn.upper_letters(F.col("text")).alias("peptide"))
