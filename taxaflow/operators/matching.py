@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..functions.text import upper_letters
 from ..plans.tables import written
@@ -39,8 +39,8 @@ MOST_SEED, PIECE, AROUND = 64, 1 << 15, 64
 SMALL_BYTES = 1 << 28
 #: Seeds up to which a filter is broadcast (16 bits each and more, up to 2 ** MOST_BITS in all) to leave out stretches that are none of them.
 BROADCAST_SEEDS, MOST_BITS = 500_000_000, 30
-#: Places whose stretches are looked up at once; a task fills chunks of 2 ** CHUNK bits of the filter.
-PLACES, CHUNK = 1 << 16, 15
+#: Places whose stretches are looked up at once; stretches that a task holds; a task fills chunks of 2 ** CHUNK bits of the filter.
+PLACES, HELD, CHUNK = 1 << 16, 1_000_000, 15
 #: Occurrences times patterns of a seed in one task, at least; and how many parts of all of them a task may hold.
 CELL, PARTS = 200_000, 1000
 #: Odd factors of the hashes; the inverse of the first.
@@ -53,7 +53,7 @@ def matches(patterns: DataFrame, texts: DataFrame, strategy: str = "auto") -> Da
 
     patterns: peptide. texts: protein_id, sequence. Empty patterns and nulls match nothing.
     """
-    patterns = patterns.select("peptide").where("peptide <> ''").distinct()
+    patterns = patterns.select("peptide").where("peptide <> ''")
     texts = texts.select("protein_id", upper_letters(F.col("sequence")).alias("sequence")).where("sequence is not null")
     if strategy != "contains":
         patterns = written(patterns)  # looked at several times
@@ -70,9 +70,9 @@ def by_contains(patterns: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """The texts on all cores, if they are few."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else texts
+    """The texts on all cores, if they are few and in fewer files."""
+    size, cores = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if size <= SMALL_BYTES and len(texts.inputFiles()) < cores else texts
 
 
 def pieces(texts: DataFrame) -> DataFrame:
@@ -160,11 +160,15 @@ def seed_filter(seeds: DataFrame) -> Broadcast | None:
 
 
 def text_stretches(texts: DataFrame, sizes: list[int], those: Broadcast | None, around: bool = False) -> DataFrame:
-    """protein_id, seed, times: the stretches of these sizes that the filter lets through, and how often. With around a row for each occurrence: protein_id,
-    seed, before, around: how many bytes before it are in around, and the text from there to AROUND bytes behind it."""
+    """The stretches of these sizes that the filter lets through. seed, ids, times: some texts (protein_id) that have it, each once, and how often all do.
+    With around a row for each occurrence: protein_id, seed, before, around: how many bytes before it are in around, and the text from there to AROUND bytes
+    behind it."""
     rows = pieces(texts)
-    fields = [rows.schema["protein_id"], StructField("seed", BinaryType())]
-    fields += [StructField("before", IntegerType()), StructField("around", BinaryType())] if around else [StructField("times", LongType())]
+    id_, seed = rows.schema["protein_id"], StructField("seed", BinaryType())
+    if around:
+        fields = [id_, seed, StructField("before", IntegerType()), StructField("around", BinaryType())]
+    else:
+        fields = [seed, StructField("ids", ArrayType(id_.dataType)), StructField("times", LongType())]
     return rows.mapInArrow(_looked_up(sizes, those, around), StructType(fields))
 
 
@@ -183,11 +187,17 @@ def _looked_up(sizes: list[int], those: Broadcast | None, around: bool) -> Calla
             places, mixed = places[yes], mixed[yes]
         return begin + places
 
-    names = ["protein_id", "seed", *(("before", "around") if around else ("times",))]
+    def grouped(some: list[pa.Table], ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """A row for each seed of these, so that one which many texts have moves once with their ids."""
+        pairs = pa.concat_tables(some).group_by(["text", "seed"]).aggregate([([], "count_all")])
+        pairs = pairs.append_column("id", ids.take(pairs["text"].combine_chunks()))
+        out = pairs.group_by("seed").aggregate([("id", "list"), ("count_all", "sum")])
+        yield from out.select(["seed", "id_list", "count_all_sum"]).rename_columns(["seed", "ids", "times"]).to_batches(max_chunksize=10_000)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = _flat(batch.column(1))
+            ids, held, n_held = batch.column(0), [], 0
             for begin in range(0, len(data), PLACES):
                 sums = _sums(data[begin : begin + PLACES + MOST_SEED])
                 for size in sizes:
@@ -197,21 +207,25 @@ def _looked_up(sizes: list[int], those: Broadcast | None, around: bool) -> Calla
                     at, text = at[inside], text[inside]
                     if not len(at):
                         continue
-                    columns = {"text": pa.array(text), "seed": _cut(data, at, at + size)}
+                    seed = _cut(data, at, at + size)
                     if around:
                         first = np.maximum(at - AROUND, starts[text])
-                        columns |= {"before": pa.array((at - first).astype(np.int32)), "around": _cut(data, first, np.minimum(at + size + AROUND, starts[text + 1]))}
-                    table = pa.table(columns)
-                    if not around:
-                        table = table.group_by(["text", "seed"]).aggregate([([], "count_all")])
-                    ids = batch.column(0).take(table["text"].combine_chunks())
-                    yield from table.drop_columns("text").add_column(0, "protein_id", ids).rename_columns(names).to_batches()
+                        before, letters = pa.array((at - first).astype(np.int32)), _cut(data, first, np.minimum(at + size + AROUND, starts[text + 1]))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), seed, before, letters], names=["protein_id", "seed", "before", "around"])
+                    else:
+                        held.append(pa.table({"text": pa.array(text), "seed": seed}))
+                        n_held += len(at)
+                if n_held > HELD:
+                    yield from grouped(held, ids)
+                    held, n_held = [], 0
+            if held:
+                yield from grouped(held, ids)
 
     return rows
 
 
 def by_seed(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """Joins on seeds; neither side has to fit in memory. patterns: distinct, from a written table."""
+    """Joins on seeds; neither side has to fit in memory. patterns: from a written table, some more than once."""
     texts = dealt(texts)
     length = F.octet_length("peptide")
     rows = patterns.groupBy(F.least(length, F.lit(MOST_SEED + 1)).alias("length")).agg(F.max(length).alias("longest")).collect()
@@ -226,14 +240,16 @@ def by_seed(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     if whole := [n for n in sizes if n in lengths]:
         found.append(whole_matches(patterns.where(length == size), texts, whole))
     if len(lengths) > len(whole):
-        found.append(long_matches(patterns.where(length > size).withColumn("size", size), texts, sizes, max(r.longest for r in rows)))
+        found.append(long_matches(patterns.where(length > size).distinct().withColumn("size", size), texts, sizes, max(r.longest for r in rows)))
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 
 
 def whole_matches(patterns: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
     """Patterns that are their own seeds."""
     there = text_stretches(texts, sizes, seed_filter(patterns.select(F.col("peptide").cast("binary").alias("seed"))))
-    return there.select("protein_id", F.col("seed").cast("string").alias("peptide")).join(patterns, "peptide").select("peptide", "protein_id")
+    # Patterns move once, to be distinct and to be met. A task's share of them is small and needs no order.
+    there = there.select(F.col("seed").cast("string").alias("peptide"), "ids").join(patterns.distinct().hint("shuffle_hash"), "peptide")
+    return there.select("peptide", F.explode("ids").alias("protein_id"))
 
 
 def rarest_seeds(patterns: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
