@@ -524,6 +524,18 @@ def test_arrays_are_shown_once_for_each_peptide(spark, scenario):
     assert plan.index("inline(") < plan.index("array_join(")
 
 
+def test_closed_terms_meet_nothing(spark, scenario):
+    """Also where no table is broadcast: what is shuffled has a peptide's own terms only."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mapped = scenario[0].mapping()
+        plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan[: plan.index("MapInArrow")] and {tuple(r.peptide_lca_tax_ids) for r in mapped.collect()} == {(2, 5)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_details_are_distinct_and_ordered(spark, tmp_path):
     rows = [(f"P{k % 7}", f"B{k % 5}", f"S{k % 3}", k % 2 / 4, None) for k in range(420)] * 2
     reports.write_details(spark.createDataFrame(rows, "peptide string, background_protein string, annotated_protein string, evalue double, pident double").repartition(5), f"{tmp_path}/d.csv")
