@@ -536,6 +536,25 @@ def test_closed_terms_meet_nothing(spark, scenario):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_a_slice_closes_no_more_than_it_shows(spark, scenario, monkeypatch):
+    """Those of one function close nothing, and those of one organism only the sets below it."""
+    one, _, edges, taxa = scenario
+    lists = one.peptides.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("list_id"), "peptide", "quantity")
+    given = {"subject_tax": one.subject_tax, "subject_go": one.subject_go, "taxa": taxa, "edges": edges, "given": one.given}
+    run = Annotated(lists, one.all_matches, by=("list_id",), **given)
+    whole = run.combos().collect()
+    closed, plain = [], closing.closed_sums
+    monkeypatch.setattr(aggregate, "closed_sums", lambda sums, *a: closed.append(sums) or plain(sums, *a))
+    for term, n in ((go(102), 4), (go(99), 0)):
+        got = run.combo_slice(go_id=term).collect()
+        assert sorted(got) == sorted(r for r in whole if r.go_id == term) and len(got) == n
+    assert not closed
+    for node, n in ((2, 10), (5, 10), (41, 0)):
+        got = run.combo_slice(tax_id=node).collect()
+        assert sorted(got) == sorted(r for r in whole if r.tax_id == node) and len(got) == n
+        assert {r.tax_id for r in closed[-1].collect()} == ({node} if n else set())
+
+
 def test_details_are_distinct_and_ordered(spark, tmp_path):
     rows = [(f"P{k % 7}", f"B{k % 5}", f"S{k % 3}", k % 2 / 4, None) for k in range(420)] * 2
     reports.write_details(spark.createDataFrame(rows, "peptide string, background_protein string, annotated_protein string, evalue double, pident double").repartition(5), f"{tmp_path}/d.csv")
