@@ -516,6 +516,61 @@ def test_closing_as_bits(spark, monkeypatch):
         assert dealt.rdd.getNumPartitions() <= max(8, 2 * spark.sparkContext.defaultParallelism)
 
 
+def test_sums_of_short_lists(spark, monkeypatch):
+    """Sets with few terms in a large graph take pairs, not bits: against a walk, with cycles, terms without edges, wide and narrow groups."""
+    rng = random.Random(6)
+    up = {n: {n // 2, n // 3} - {n} for n in range(1, 3000)} | {5001: {5002}, 5002: {5001, 7}}
+
+    def closed(own):
+        out, new = set(own), list(own)
+        while new:
+            more = up.get(new.pop(), set()) - out
+            out |= more
+            new += more
+        return out
+
+    sets = [[rng.choice([rng.randrange(3000), rng.randrange(3000), 5001, 6000 + rng.randrange(3)]) for _ in range(rng.randint(1, 3))] for _ in range(600)]
+    of = lambda k: k // 2 if k < 200 else 200 + k % 3
+    edges = tables.written(spark.createDataFrame([(c, p) for c, ps in up.items() for p in ps], "child bigint, parent bigint"))
+    sums = tables.written(spark.createDataFrame([(of(k), s, float(k), 2) for k, s in enumerate(sets)], "g bigint, terms array<bigint>, quantity double, n_peptides bigint"))
+    want = {}
+    for k, s in enumerate(sets):
+        for t in closed(s):
+            q, n = want.get((of(k), t), (0, 0))
+            want[of(k), t] = (q + k, n + 2)
+    graph = closing.Graph(*(np.array(x) for x in zip(*((c, p) for c, ps in up.items() for p in ps))))
+    own = graph.numbers(np.array([2999, 2998, 6000, 5001]))
+    begin, length, lists = graph.listed(own)
+    assert [set(graph.values[lists[b : b + n]]) for b, n in zip(begin, length)] == [closed([t]) for t in (2999, 2998, 6000, 5001)]
+    row, own = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), graph.numbers(np.array([t for x in sets for t in x]))
+    group, weights = np.array([of(k) for k in range(len(sets))]), np.array([np.arange(len(sets)), np.full(len(sets), 2)], dtype=float)
+    order = np.argsort(group, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    by_row = np.argsort(place[row], kind="stable")
+    for limits in ({}, {"LISTED": 50, "PAIRS": 30, "LISTED_AT_ONCE": 7}, {"LONG": 3}, {"LONG_WAY": 2}, {"SPARSE": 1 << 40}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(closing, name, value)
+            graph.long = False
+            found = closing._summed_by_list(graph, place[row][by_row], own[by_row], group[order], weights[:, order])
+        assert (found is None) == bool({"LONG", "LONG_WAY", "SPARSE"} & set(limits))
+        got = {}
+        for keys, quantity, n in found or ():
+            for k, q, c in zip(keys.tolist(), quantity, n):
+                at = k >> closing.BITS, graph.values[k & ((1 << closing.BITS) - 1)]
+                got[at] = tuple(np.add(got.get(at, (0, 0)), (q, c)))
+        assert got == (want if found else {})
+        graph.list_begin[:] = -1  # made anew
+    # In tasks, and so that sums leave them in parts; with wide groups and without.
+    for limits in ({}, {"HELD": 500}, {"WIDE": 1 << 40}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(closing, name, value)
+            rows = closing.closed_sums(sums, edges, "go_id", ["g"], F.lit(1)).collect()
+        assert {(r.g, r.go_id): (r.quantity, r.n_peptides) for r in rows} == want and len(rows) == len(want)
+
+
 def test_arrays_are_shown_once_for_each_peptide(spark, scenario):
     one, _, _, _ = scenario
     shown = one.mapping(lambda array: F.array_join(F.transform(array, lambda x: x.cast("string")), ";"))
