@@ -2,9 +2,9 @@
 
 Equal vectors are indexed once (all their ids stay attached, through the k + 1 smallest, which are all that a list of
 the k nearest can hold under ties to smaller ids). Distinct vectors are dealt to shards of about SHARD rows by hash;
-each shard's graph is built from its top level down, a node entering a level where the levels above lead it, and kept
-as flat neighbour arrays in a table. Queries, in blocks as large as a shard's graph, walk every shard's graph, many at a
-time. All that a walk's beam holds is scored in double precision on the original vectors, and then shard results are merged.
+each shard's graph is built from its top level down, a node entering a level where the levels above lead it, as flat
+neighbour arrays in a task, to which the queries then come, a batch at a time: neither a graph nor a block of queries is a row.
+All that a walk's beam holds is scored in double precision on the original vectors, and then shard results are merged.
 
 A query meets each shard once, so the work is (queries) * (vectors / SHARD) walks; larger shards mean fewer of them, and
 a shard of SHARD vectors takes about 1 KB for each.
@@ -15,17 +15,17 @@ lengths are compared with their like only. With fewer than k candidates all are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bound_batches
 
-#: Vectors in a shard, queries in a block, neighbours of a node, width of the beam at building and at searching.
-SHARD, BLOCK, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 1 << 14, 1 << 14, 12, 48, 256
+#: Vectors in a shard, neighbours of a node, width of the beam at building and at searching.
+SHARD, LINKS, BUILD_WIDTH, SEARCH_WIDTH = 1 << 14, 12, 48, 256
 #: Bytes of the table of visited nodes (walks * vectors) of one step.
 VISITED = 1 << 25
 
@@ -160,6 +160,46 @@ def search(queries: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links:
     return out
 
 
+def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[str], np.ndarray, np.ndarray]]:
+    """dims, asked, keys, vectors, least of rows beside each other that have vectors of one length and are all asked or all not."""
+    for batch in batches:
+        dims, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dims", "asked"))
+        begins = np.flatnonzero(np.diff(2 * dims.astype(np.int64) + asked, prepend=-1))
+        for begin, end in zip(begins, [*begins[1:], len(dims)]):
+            part = batch.slice(begin, end - begin)
+            vectors = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(end - begin, dims[begin])
+            yield int(dims[begin]), bool(asked[begin]), part.column("key").to_pylist(), vectors, part.column("least").to_numpy(zero_copy_only=False)
+
+
+def searched(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """asked, key, least, score: for each query the best k + 1 that a walk of this shard holds, by the exact measure.
+
+    Rows of a shard: of each length its vectors, then the queries. What is held is the graph and a batch of queries.
+    """
+    length, held, graph = -1, [], None
+    for dims, asked, names, wanted, ids in runs(batches):
+        if not asked:
+            if dims != length:
+                length, held, graph = dims, [], None
+            held.append((names, wanted.copy(), ids.astype(np.int64)))
+        if not asked or dims != length:  # no vector of that length in this shard
+            continue
+        if graph is None:
+            keys, vectors, least = [x for h in held for x in h[0]], *(np.concatenate([h[i] for h in held]) for i in (1, 2))
+            units, norms, held = unit(vectors).astype(np.float32), np.linalg.norm(vectors, axis=1), []
+            graph = build(units)
+        nodes = search(unit(wanted).astype(np.float32), units, *graph, max(SEARCH_WIDTH, k + 1))
+        own_norms = np.linalg.norm(wanted, axis=1)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for i, found in enumerate(nodes):
+            found = found[found >= 0]
+            score = vectors[found] @ wanted[i] / (norms[found] * own_norms[i])
+            best = np.lexsort((least[found], -score))[: k + 1]
+            for column, values in zip(out, ([names[i]] * len(best), [keys[x] for x in found[best]], least[found[best]].tolist(), score[best].tolist())):
+                column += values
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["asked", "key", "least", "score"])
+
+
 def usable(vector: Column) -> Column:
     """The vector as doubles; null if it takes no part."""
     v = vector.cast("array<double>")
@@ -180,44 +220,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_i
     index = rows.groupBy("key").agg(F.first("v").alias("v"), F.min("id").alias("least")).select("key", "v", "least", dims)
     counts = {r[0]: r[1] for r in index.groupBy("dims").count().collect()}  # one row for each vector length
     shards = max(1, -(-max(counts.values(), default=1) // shard))
-    index = ws.write(index.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
-
-    def built(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        vectors = np.stack(group["v"].to_numpy())
-        levels, links = build(unit(vectors).astype(np.float32))
-        return pd.DataFrame({
-            "shard": [group["shard"].iloc[0]], "dims": [vectors.shape[1]], "vectors": [vectors.tobytes()], "keys": [group["key"].tolist()],
-            "least": [group["least"].to_numpy(np.int64).tobytes()], "levels": [levels.astype(np.int8).tobytes()], "links": [[x.astype(np.int32).tobytes() for x in links]],
-        })
-
-    graphs = ws.write(index.groupBy("shard", "dims").applyInPandas(built, "shard int, dims int, vectors binary, keys array<string>, least binary, levels binary, links array<binary>"))
-
-    asked = rows.where("q").select("key", "v", dims).distinct()
-    n_asked = asked.count()
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, -(-n_asked // BLOCK)))).cast("int"))
-    # Every shard meets every block of queries; a row of the left side is a whole block.
-    packed = blocks.groupBy("dims", "block").agg(F.collect_list(F.struct("key", "v")).alias("asked"))
-    meetings = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dims"])
-
-    def searched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for row in group.itertuples():
-            vectors, least = np.frombuffer(row.vectors).reshape(-1, row.dims), np.frombuffer(row.least, np.int64)
-            links = [np.frombuffer(x, np.int32).reshape(len(vectors), -1).astype(np.int64) for x in row.links]
-            wanted = np.stack([q["v"] for q in row.asked]).astype(float)
-            names = [q["key"] for q in row.asked]
-            nodes = search(unit(wanted).astype(np.float32), unit(vectors).astype(np.float32), np.frombuffer(row.levels, np.int8), links, max(SEARCH_WIDTH, k + 1))
-            norms, own_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(wanted, axis=1)
-            for i, found in enumerate(nodes):
-                found = found[found >= 0]
-                score = vectors[found] @ wanted[i] / (norms[found] * own_norms[i])
-                best = np.lexsort((least[found], -score))[: k + 1]
-                for column, values in zip(out, ([names[i]] * len(best), [row.keys[x] for x in found[best]], least[found[best]].tolist(), score[best].tolist())):
-                    column += values
-        return pd.DataFrame(dict(zip(("asked", "key", "least", "score"), out)))
-
-    found = meetings.groupBy("shard", "dims", "block").applyInPandas(searched, "asked string, key string, least bigint, score double")
+    index = index.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("asked", F.lit(False))
+    asked = rows.where("q").select("key", "v", F.lit(None).cast("bigint").alias("least"), dims).distinct()
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asked", F.lit(True))
+    # Rows stay as narrow as vectors: a shard's own come first, and its queries meet its graph in the task that builds it.
+    bound_batches(spark)
+    dealt = index.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dims", "asked", "key")
+    found = dealt.select("dims", "asked", "key", "v", "least").mapInArrow(lambda batches: searched(batches, k), "asked string, key string, least bigint, score double")
     # Of keys with equal scores those with the smallest ids: each key before the cut has an id that goes first.
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "least")
     found = ws.write(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r", "least"))

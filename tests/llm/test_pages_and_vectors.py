@@ -127,3 +127,29 @@ def test_nearest(spark):
     few = df.where("vec_id in (0, 1, 2)")
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_no_row_is_wider_than_a_vector(spark, monkeypatch):
+    """Graphs and queries meet in a task: nothing is joined to a graph, and batches of any size and vectors of several lengths give the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    kept = {d: rng.normal(size=(n, d)) for d, n in ((3, 40), (5, 70), (8, 0))}
+    asked = {d: rng.normal(size=(9, d)) for d in (3, 5, 8)}
+    rows = [(d, a, f"{d}-{a}-{i}", v.tolist(), None if a else i) for d in (3, 5, 8) for a, x in ((False, kept), (True, asked)) for i, v in enumerate(x[d])]
+    schema = pa.schema([("dims", pa.int32()), ("asked", pa.bool_()), ("key", pa.string()), ("v", pa.list_(pa.float64())), ("least", pa.int64())])
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for size in (7, 1000):
+        got = [r for b in ann.searched([whole.slice(i, size) for i in range(0, len(rows), size)], 2) for r in b.to_pylist()]
+        assert len(got) == 2 * 9 * 3 and not any(r["asked"].startswith("8") for r in got)
+        for d in (3, 5):
+            sims = ann.unit(asked[d]) @ ann.unit(kept[d]).T
+            for i in range(9):
+                mine = [r for r in got if r["asked"] == f"{d}-True-{i}"]
+                assert [r["least"] for r in mine] == np.argsort(-sims[i])[:3].tolist() and np.allclose([r["score"] for r in mine], np.sort(-sims[i])[:3] * -1)
+    plans = []
+    write = ann.Workspace.write
+    monkeypatch.setattr(ann.Workspace, "write", lambda ws, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(ws, df))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(kept[5])], "vec_id bigint, embedding array<double>")
+    assert ann.nearest(df, F.col("vec_id") < 4, shard=20).count() == 20
+    assert not any("Join" in p for p in plans[:-1]) and not any("collect_list" in p for p in plans)
